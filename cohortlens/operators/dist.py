@@ -82,3 +82,19 @@ def prefix_sum(df: DataFrame, by: list[str], order: list[Column | str], cols: li
     joined = local.join(F.broadcast(offsets), ["_pid", *by], "inner")
     out = joined.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols])
     return out
+
+
+def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int, salt_by: str | None = None,
+                    salts: int = 64, out: str = "rank") -> DataFrame:
+    """Rows ranked 1..k inside each key group (``order`` must be total).
+
+    Two stages so a hot group never lands in one task whole: first the top k
+    of every (group, salt) slice, where the salt is a hash of ``salt_by``,
+    then the top k of the at most ``k * salts`` survivors per group.
+    """
+    if salt_by is not None:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)))
+        w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w2)).filter(F.col(out) <= k)

@@ -8,10 +8,11 @@ broadcast of the concept vocabulary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import clamp_limit
+from cohortlens.operators.dist import top_k_per_group
 from cohortlens.operators.profile import with_concept
 from cohortlens.session import bounded_broadcast
 
@@ -80,9 +81,10 @@ def newest_first(df: DataFrame, date: str, tie: str) -> DataFrame:
 
 # WIN-01 -----------------------------------------------------------------------
 def newest(df: DataFrame, date: str, tie: str, n: int, key: str = "person_id") -> DataFrame:
-    """Newest ``n`` rows per key; one window partitioned by the key."""
-    w = Window.partitionBy(key).orderBy(F.col(date).desc_nulls_last(), F.col(tie))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """Newest ``n`` rows per key (salted two-stage top-k: a patient with a
+    third of all rows is still ranked by many tasks)."""
+    return top_k_per_group(df, [key], [F.col(date).desc_nulls_last(), F.col(tie)], n, salt_by=tie,
+                           out="_rn").drop("_rn")
 
 
 # JON-01 -----------------------------------------------------------------------
