@@ -456,3 +456,40 @@ def evl_13(cdm):
 def evl_10(cdm):
     """Probability min / median / max per (model, split)."""
     return _rounded(E.score_range(bscores(cdm), BY))
+
+
+# ---------------------------------------------------------------- UDF-01 / UDF-02 (rows-only: model code)
+def stub_model():
+    """Deterministic stand-in scorer (a real one loads weights here, once per task)."""
+    def score(texts):
+        out = []
+        for t in texts:
+            n = len(t or "")
+            out.append([-float(n % 7), -float(n % 5), -float(n % 3)])
+        return out
+    return score
+
+
+def stub_labeller(text):
+    """Deterministic stand-in labeller: fails on some letters, is unsure on others."""
+    n = len(text or "")
+    if n % 13 == 0:
+        raise TimeoutError("labeller timeout")
+    if n % 5 == 0:
+        return None
+    return int(n % 2)
+
+
+@query("udf_01_score_batches")
+def udf_01(cdm):
+    """Batch scorer over every document text (mapInPandas, scorer built once per task) -> probabilities."""
+    d = cdm.raw("documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+    scored = S.score_batches(d, stub_model, "text", "sample_id")
+    return S.decide(scored.withColumn("probs", C.softmax("scores")), "probs").select(
+        "sample_id", "predicted_label", "confidence")
+
+
+@query("udf_02_label_batches")
+def udf_02(cdm):
+    """Batch labeller with bounded retries over every letter; failures -> unresolved / api_failure."""
+    return S.label_batches(FX.letters(cdm), stub_labeller, "text", "note_id")
