@@ -64,7 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan, or None when unavailable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return size if isinstance(size, int) else int(size.toString())
     except Exception:  # Spark Connect or a plan without statistics
         return None
 

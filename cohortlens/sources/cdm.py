@@ -64,13 +64,14 @@ def concept(spark: SparkSession, sf_dir: str) -> DataFrame:
     conditions = part.select((200000 + F.col("p_partkey")).cast("long").alias("concept_id"),
                              F.concat_ws(" ", "p_brand", "p_type").alias("concept_name"),
                              F.lit("Condition").alias("domain_id"))
-    spark_ = nation.sparkSession
-    fixed = spark_.createDataFrame(
-        [(3000, "F", "Gender"), (3001, "M", "Gender"),
-         (VISIT_CONCEPT_ID, "Outpatient Visit", "Visit"),
-         (NOTE_TYPE_CONCEPT_ID, "Outpatient note", "Type Concept")]
-        + [(cid, name, "Measurement") for name, cid in EVENT_TYPE_CONCEPTS],
-        "concept_id long, concept_name string, domain_id string")
+    rows = ([(3000, "F", "Gender"), (3001, "M", "Gender"), (VISIT_CONCEPT_ID, "Outpatient Visit", "Visit"),
+             (NOTE_TYPE_CONCEPT_ID, "Outpatient note", "Type Concept")]
+            + [(cid, name, "Measurement") for name, cid in EVENT_TYPE_CONCEPTS])
+    # A literal array exploded over a one-row range: unlike createDataFrame the
+    # optimizer sees its (tiny) size, so the concept union stays broadcastable.
+    fixed = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(cid).cast("long").alias("concept_id"), F.lit(name).alias("concept_name"),
+                 F.lit(dom).alias("domain_id")) for cid, name, dom in rows])))
     return nation.unionByName(region).unionByName(fixed).unionByName(drugs).unionByName(conditions)
 
 
