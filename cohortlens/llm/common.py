@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,24 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of jobs in this block go when their job ends.
+
+    For jobs that write a table which is read back later: nothing runs their
+    plan again, so their shuffle files would only fill the disks.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -33,7 +53,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    with short_lived_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

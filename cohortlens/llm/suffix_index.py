@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import shared_path, stored
+from cohortlens.llm.common import shared_path, short_lived_shuffles, stored
 
 LENGTH, GRAM = 100, 32
 BATCHES = 4
@@ -152,28 +152,37 @@ def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 class SuffixIndex:
-    """Levels of suffix arrays with sizes 1, 2, 4, ... batches."""
+    """Levels of suffix arrays with sizes 1, 2, 4, ... batches.
+
+    The arrays are tables of a database that lives in the shared checkpoint
+    folder; a table is dropped, with its files, as soon as it is merged or scanned.
+    """
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None):
         self.spark, self.length, self.gram = spark, length, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, str]] = []  # (batches held, table), largest first
-        self._tables: list[str] = []
+        self.database = f"suffix_index_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{shared_path(spark, 'suffix-index')}'")
 
-    def _save(self, df: DataFrame, what: str) -> str:
-        name = f"suffix_{what}_{uuid.uuid4().hex}"
-        (df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", shared_path(self.spark, name))
-         .saveAsTable(name))
-        self._tables.append(name)
+    def _save(self, df: DataFrame) -> str:
+        name = f"{self.database}.array_{uuid.uuid4().hex}"
+        with short_lived_shuffles(self.spark):
+            df.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         return name
 
+    def _drop(self, *tables: str) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE {t}")
+
     def _merge_equal(self) -> None:
         while len(self.levels) >= 2 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
             x = self.spark.table(a).select("key", F.col("first").alias("_x"))
             y = self.spark.table(b).select("key", F.col("first").alias("_y"))
             both = x.join(y, "key", "full").select("key", F.least("_x", "_y").alias("first"))
-            self.levels.append((n + m, self._save(both, "level")))
+            self.levels.append((n + m, self._save(both)))
+            self._drop(a, b)
 
     def add(self, rows: DataFrame, last: bool = False) -> DataFrame:
         """Index a batch of (d, tag, text); returns the hits (key, d, tag, pos) that it brings.
@@ -181,12 +190,12 @@ class SuffixIndex:
         With ``last`` the batch is scanned but not kept as a level.
         """
         self._merge_equal()
-        suffixes = anchors(rows, self.length, self.gram).repartition(self.buckets, "key")
-        batch = self.spark.table(self._save(suffixes, "batch"))
+        table = self._save(anchors(rows, self.length, self.gram).repartition(self.buckets, "key"))
+        batch = self.spark.table(table)
         own = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "pos", "tag")).alias("first"))
         met, olds = own.select("key", "n"), []
-        for i, (_, table) in enumerate(self.levels):
-            met = met.join(self.spark.table(table).select("key", F.col("first").alias(f"_o{i}")), "key", "left")
+        for i, (_, level) in enumerate(self.levels):
+            met = met.join(self.spark.table(level).select("key", F.col("first").alias(f"_o{i}")), "key", "left")
             olds.append(F.col(f"_o{i}"))
         repeated = F.col("n") > 1
         for o in olds:
@@ -198,13 +207,13 @@ class SuffixIndex:
                                                                      o.pos.alias("pos")))
         hits = stored(hits, "suffix-hits")
         if not last:
-            self.levels.append((1, self._save(own.select("key", "first"), "level")))
+            self.levels.append((1, self._save(own.select("key", "first"))))
+        self._drop(table)
         return hits
 
-    def drop(self) -> None:
-        """Forget the tables' names; their files stay in the shared folder."""
-        for t in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+    def close(self) -> None:
+        """Drop all levels, when no further batch will come."""
+        self.spark.sql(f"DROP DATABASE {self.database} CASCADE")
 
 
 def _surroundings(rows: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
@@ -355,15 +364,14 @@ def repeated_spans(docs: DataFrame, key: tuple[Column, Column], length: int = LE
             part = part.filter(F.col("d") <= F.lit(int(cuts[i])))
         got = index.add(part, last=i == len(cuts))
         hits = got if hits is None else hits.unionByName(got)
+    index.close()
     hot = (hits.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell)
            .select("key", F.least(F.lit(length - gram + 1), F.ceil(F.col("_n") / cell)).cast("int").alias("_s")))
     sliced = hits.join(hot, "key", "left").select("d", "tag", "pos", F.coalesce("_s", F.lit(1)).alias("slices"))
     places = sliced.groupBy("d", "tag").agg(F.collect_set(F.struct("pos", "slices")).alias("spots"))
     found = _spans(_surroundings(rows, places, length, gram), length, gram)
     spans = found.groupBy("d", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = stored(spans, "suffix-spans")
-    index.drop()
-    return spans
+    return stored(spans, "suffix-spans")
 
 
 def union_spans(spans: list[dict] | None) -> list[list[int]]:
