@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import slices
+
 #: Symbol characters counted by ``n_symbols`` (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
 _SYMBOL_BYTES = np.frombuffer(SYMBOLS.encode(), np.uint8)
@@ -71,7 +73,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         names = ["doc_id", *MEASURES]
-        for b in batches:
+        for b in slices(batches):
             cols = list(zip(*(_measure(t) for t in b.column(1).to_pylist()))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names)
 
@@ -177,7 +179,7 @@ def keep_passing(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = list(zip(*(_measure(t) for t in b.column(at).to_pylist()))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, *(pa.array(c, pa.int64()) for c in cols)],

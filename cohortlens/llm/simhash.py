@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored
+from cohortlens.llm.common import slices, stored
 from cohortlens.llm.components import components
 
 BITS, UNIT, SEED = 64, 16, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` is the 64-bit pattern as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -45,14 +45,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import shared_path, short_lived_shuffles, stored
+from cohortlens.llm.common import shared_path, short_lived_shuffles, slices, stored
 
 LENGTH, GRAM = 100, 32
 BATCHES = 4
 #: Members of one prefix (different surroundings) that are compared in one cell.
 CELL = 16384
 #: Bytes of text hashed at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Broadcast the frequent prefixes (12 bytes each) up to this many.
+BROADCAST_KEYS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(20240607)
@@ -135,7 +137,7 @@ def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
     def run(batches):
         hasher = _Hasher(PIECE)
-        for b in batches:
+        for b in slices(batches):
             d, tag = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             keys, pos, at = [], [], []
             for i, p, h in _anchors(_utf8(b.column(2)), hasher, length, gram):
@@ -227,25 +229,25 @@ def _surroundings(rows: DataFrame, places: DataFrame, length: int, gram: int) ->
 
     def run(batches):
         seen: dict[tuple, tuple[int, int]] = {}
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             ids, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
             for d, tag, raw, spots in zip(ids, tags, _utf8(b.column(2)), b.column(3).to_pylist()):
                 n, done = len(raw), []
                 for spot in sorted(spots, key=lambda s: s["pos"]):
-                    p, slices = spot["pos"], spot["slices"]
+                    p, cuts = spot["pos"], spot["slices"]
                     if p + gram > n:  # of another text with this id
                         continue
-                    for s in range(slices):
-                        lo = max(s * (reach + 1) // slices, p + length - n)
-                        hi = min((s + 1) * (reach + 1) // slices - 1, p)
+                    for s in range(cuts):
+                        lo = max(s * (reach + 1) // cuts, p + length - n)
+                        hi = min((s + 1) * (reach + 1) // cuts - 1, p)
                         if lo > hi:
                             continue
                         start, end = p - hi, p - lo + length
                         text = raw[start:end]
-                        # Windows of equal slices of offsets share these bytes at least.
-                        core = raw[p - s * (reach + 1) // slices:p + length - (s + 1) * (reach + 1) // slices + 1]
-                        first = seen.setdefault((text, slices, lo, hi), (d, p))
+                        # Windows of equal cuts of offsets share these bytes at least.
+                        core = raw[p - s * (reach + 1) // cuts:p + length - (s + 1) * (reach + 1) // cuts + 1]
+                        first = seen.setdefault((text, cuts, lo, hi), (d, p))
                         if first < (d, p):
                             if done and start <= done[-1][1]:
                                 done[-1][1] = max(done[-1][1], end)
@@ -253,8 +255,8 @@ def _surroundings(rows: DataFrame, places: DataFrame, length: int, gram: int) ->
                                 done.append([start, end])
                             continue
                         if first > (d, p):
-                            seen[(text, slices, lo, hi)] = (d, p)
-                        cell = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([s, slices])).digest(),
+                            seen[(text, cuts, lo, hi)] = (d, p)
+                        cell = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([s, cuts])).digest(),
                                               "little", signed=True)
                         out.append((cell, d, tag, p, lo, hi, hi, text))
                 out += [((d * 31 + s) & 0x7FFFFFFFFFFF, d, tag, s, 0, e - s, 0, None) for s, e in done]
@@ -327,11 +329,9 @@ def _spans(cells: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 2048):
             cell = b.column(0).to_numpy()
-            if held and sum(x.num_rows for x in held) >= 8192:
+            if held and sum(x.num_rows for x in held) >= 6144:
                 # Emit up to the last change of cell in this batch.
                 last = held[-1].column(0).to_numpy()[-1]
                 change = np.flatnonzero(cell != last)
@@ -365,8 +365,12 @@ def repeated_spans(docs: DataFrame, key: tuple[Column, Column], length: int = LE
         got = index.add(part, last=i == len(cuts))
         hits = got if hits is None else hits.unionByName(got)
     index.close()
-    hot = (hits.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell)
-           .select("key", F.least(F.lit(length - gram + 1), F.ceil(F.col("_n") / cell)).cast("int").alias("_s")))
+    hot = stored(hits.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell)
+                 .select("key", F.least(F.lit(length - gram + 1), F.ceil(F.col("_n") / cell)).cast("int").alias("_s")),
+                 "suffix-hot")
+    # Usually a handful of keys, and their number is known here; beyond the bound the join shuffles.
+    if hot.count() <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     sliced = hits.join(hot, "key", "left").select("d", "tag", "pos", F.coalesce("_s", F.lit(1)).alias("slices"))
     places = sliced.groupBy("d", "tag").agg(F.collect_set(F.struct("pos", "slices")).alias("spots"))
     found = _spans(_surroundings(rows, places, length, gram), length, gram)
@@ -400,7 +404,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches
     rows = docs.select(key[0].alias("d"), key[1].alias("tag"), "text")
 
     def run(parts):
-        for b in parts:
+        for b in slices(parts):
             n, runs, kept = [], [], []
             for raw, s in zip(_utf8(b.column(1)), b.column(2).to_pylist()):
                 r = union_spans(s)
@@ -438,7 +442,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size_at = names.index("n_chars") if "n_chars" in names else None
 
     def run(parts):
-        for b in parts:
+        for b in slices(parts):
             cols = list(b.columns[:-1])
             texts = []
             for t, s in zip(cols[at].to_pylist(), b.columns[-1].to_pylist()):
