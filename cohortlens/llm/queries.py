@@ -7,22 +7,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import mixing, quality_ledger, simhash, spaced_seeds, suffix_index
+from cohortlens.llm import (cotraining, cross_entropy, html_blocks, language_codes, mixing, quality_ledger,
+                            quote_links, simhash, spaced_seeds, suffix_index)
 from cohortlens.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: flat blocks classified by a decision tree."""
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quality rule measured once; base verdict and the current policy's verdict."""
     return quality_ledger.verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by error-correcting output codes."""
+    return language_codes.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 100-byte strings that start earlier, and what remains."""
     return suffix_index.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, linked to what they quote, in reply order."""
+    return quote_links.threads(read_table(spark, sf_dir, "conversations"))
+
+
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality probability of every document from two co-trained views."""
+    return cotraining.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mix: hierarchical budgets, whole epochs and a seeded token prefix."""
     return mixing.choose(read_table(spark, sf_dir, "documents"))
@@ -38,8 +59,15 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Build] = {f.__name__: f for f in (op2_quality_ledger, op4_suffix_dedup, op7_mixing, op8_simhash,
-                                                op9_spaced_seeds)}
+def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean per-token loss difference between the good documents' model and the corpus model."""
+    labels = read_table(spark, sf_dir, "labels")
+    return cross_entropy.score(read_table(spark, sf_dir, "documents"), cross_entropy.good_documents(labels))
+
+
+QUERIES: dict[str, Build] = {f.__name__: f for f in (
+    op1_html_blocks, op2_quality_ledger, op3_language_codes, op4_suffix_dedup, op5_quote_links, op6_cotraining,
+    op7_mixing, op8_simhash, op9_spaced_seeds, op10_cross_entropy)}
 
 
 _OP2_SQL = r"""
@@ -83,8 +111,8 @@ FROM f
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op7_mixing": mixing.sql(),
-    "op9_spaced_seeds": spaced_seeds.SQL,
     "op2_quality_ledger": _OP2_SQL.replace(
         "{mask}", str(quality_ledger.POLICIES[quality_ledger.CURRENT].mask | quality_ledger.BASE.mask)),
+    "op7_mixing": mixing.sql(),
+    "op9_spaced_seeds": spaced_seeds.SQL,
 }
