@@ -34,6 +34,8 @@ from cohortlens.llm.common import n_words, stored
 
 LEAF = ["domain", "lang", "source"]
 NONE = "(none)"
+#: Rows of the budget table (about 100 bytes each) that may be broadcast.
+BROADCAST_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -114,9 +116,11 @@ def choose(docs: DataFrame, mix: Mix = Mix(), keep: list[Column] | None = None)
     base = stored(base.filter("n_tokens > 0"), "mix-tokens")
     names = base.columns
     sizes = base.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
-    plan = (budgets(sizes, mix)
-            .select(*LEAF, F.expr("cast(alloc div tokens as long)").alias("_epochs"),
-                    F.expr("alloc % tokens").alias("_rest")))
+    plan = stored(budgets(sizes, mix)
+                  .select(*LEAF, F.expr("cast(alloc div tokens as long)").alias("_epochs"),
+                          F.expr("alloc % tokens").alias("_rest")), "mix-plan")
+    if plan.count() <= BROADCAST_LEAVES:  # else a shuffle join, whose hot leaves AQE splits
+        plan = F.broadcast(plan)
     # Leading hex digits of the order key: a few thousand documents per group, whatever the corpus.
     digits = max(1, math.ceil(math.log(max(base.count(), 1) / 2048 + 1, 16)))
     key = F.sha2(F.concat_ws(":", F.lit(str(mix.seed)), F.col("_epochs").cast("string"),
