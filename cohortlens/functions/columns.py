@@ -170,7 +170,7 @@ def route(name, ordered_map: list[tuple[str, list[str]]], word_boundary: bool =
 
 
 def normalise_specialty(name) -> Column:
-    return F.regexp_replace(F.lower(F.trim(col_(name))), r"[\s\-]+", "_")
+    return F.translate(F.regexp_replace(F.lower(col_(name)), r"^\s+|\s+$", ""), " -", "__")
 
 
 # PRJ-15 -------------------------------------------------------------------
@@ -188,7 +188,8 @@ def parse_int01(c) -> Column:
 
 def parse_generated(c) -> Column:
     """Leading 0/1/2 is the label; anything else is BORDERLINE and invalid."""
-    first = F.regexp_extract(F.trim(col_(c).cast("string")), r"^([012])", 1)
+    text = F.coalesce(col_(c).cast("string"), F.lit(""))
+    first = F.regexp_extract(F.trim(text), r"^([012])", 1)
     return F.struct(F.when(first != "", first.cast("int")).otherwise(F.lit(1)).alias("label"),
                     (first == "").alias("invalid"))
 

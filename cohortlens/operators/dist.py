@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.session import checkpoint_dir
 
+#: One row per group, checked by a count, may be broadcast up to this many.
+MAX_BROADCAST_GROUPS = 500_000
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 
@@ -59,9 +61,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], out:
     range partitions instead of one window task.
     """
     ranked = dist_rank(df, [F.col(k) for k in keys] + list(order), "_g", partitions)
-    starts = ranked.groupBy(*keys).agg(F.min("_g").alias("_start"))
-    return (ranked.join(starts, keys, "inner")
-            .withColumn(out, F.col("_g") - F.col("_start") + 1).drop("_g", "_start"))
+    starts = ranked.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_g").alias("_start"))
+    if starts.count() <= MAX_BROADCAST_GROUPS:  # the ranked rows are not moved again for a look-up per class
+        starts = F.broadcast(starts)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return (ranked.join(starts, same, "inner")
+            .withColumn(out, F.col("_g") - F.col("_start") + 1).drop("_g", "_start", *[f"_k_{k}" for k in keys]))
 
 
 def prefix_sum(df: DataFrame, by: list[str], order: list[Column | str], cols: list[str],

@@ -15,7 +15,7 @@ from cohortlens.operators.dist import top_k_per_group
 DEFAULT_BUDGET = 24
 # Judge pass rule.
 PASS_MIN_SCORE = 4
-SCORES = ["faithfulness", "clinical_accuracy", "safety", "completeness"]
+SCORES = ["explanation_faithfulness", "evidence_grounding", "prediction_consistency", "safety_compliance"]
 
 
 def _case_order():
@@ -74,15 +74,18 @@ def check_judge(judge: DataFrame) -> DataFrame:
 # AGG-25 -----------------------------------------------------------------------
 def judge_summary(judged: DataFrame, by: list[str]) -> DataFrame:
     av = F.col("judge_available")
-    mean_score = sum(F.col(s) for s in SCORES) / len(SCORES)
+    explained = F.col("explanation_available")
     return judged.groupBy(*by).agg(
         F.count(F.lit(1)).alias("selected"),
+        F.count_if(explained).alias("explanations"),
+        F.avg(explained.cast("double")).alias("explanation_coverage"),
         F.count_if(av).alias("judged"),
+        F.count_if(~av).alias("unavailable"),
         F.avg(av.cast("double")).alias("coverage"),
         F.avg(F.when(av, F.col("judge_pass").cast("double"))).alias("pass_rate"),
         F.avg(F.when(av, F.col("judge_hallucination").cast("double"))).alias("hallucination_rate"),
         F.avg(F.when(av, (F.col("unsupported_claim_count") > 0).cast("double"))).alias("unsupported_rate"),
-        F.avg(F.when(av, mean_score)).alias("mean_score"))
+        *[F.avg(F.when(av, F.col(s).cast("double"))).alias(f"mean_{s}") for s in SCORES])
 
 
 # EVL-16 -----------------------------------------------------------------------

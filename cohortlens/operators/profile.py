@@ -119,7 +119,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by: list[str] | None = No
     """
     by = by or []
     v = F.col(col).cast("double")
-    data = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    data = df.select(*by, v.alias("_v")).filter(F.abs("_v") < F.lit(float("inf")))
     rng = data.groupBy(*by).agg(F.min("_v").alias("_lo0"), F.max("_v").alias("_hi0"))
     rng = (rng.withColumn("lo", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")))
               .withColumn("hi", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")))

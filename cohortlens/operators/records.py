@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import clamp_limit
-from cohortlens.operators.dist import top_k_per_group
+from cohortlens.operators.dist import rank_within, top_k_per_group
 from cohortlens.operators.profile import with_concept
 from cohortlens.session import bounded_broadcast
 
@@ -71,7 +71,7 @@ def first_ids(person: DataFrame, n: int = 20, maximum: int = SERVICE_LIMIT_MAX)
 def _cohort(df: DataFrame, ids: DataFrame | None) -> DataFrame:
     if ids is None:
         return df
-    return df.join(bounded_broadcast(valid_ids(ids.select("person_id")).distinct()), "person_id", "left_semi")
+    return df.join(bounded_broadcast(valid_ids(ids.select("person_id"))), "person_id", "left_semi")
 
 
 # WIN-14 -----------------------------------------------------------------------
@@ -97,10 +97,23 @@ def history(tables, domain: str, ids: DataFrame | None = None, limit: int | None
         facts = with_concept(facts, key, tables["concept"], name)
     facts = facts.select("person_id", *cols)
     if limit is not None:
-        facts = newest(facts, date, tie, clamp_limit(limit, QUERY_LIMIT_MAX))
+        if not 1 <= limit <= QUERY_LIMIT_MAX:
+            raise ValueError(f"limit {limit} is outside 1..{QUERY_LIMIT_MAX}; leave it out for the whole history")
+        facts = newest(facts, date, tie, limit)
     return newest_first(facts, date, tie) if sort else facts
 
 
+def newest_rank(tables, domain: str, ids: DataFrame | None = None) -> DataFrame:
+    """The domain's rows with ``newest_rank``, their place in the newest-first order of their person.
+
+    A distributed rank: a person with a large part of all rows is ranked by many tasks.
+    """
+    table, _, _, date, tie, _ = DOMAIN_SPECS[domain]
+    facts = _cohort(tables[table], ids).select("person_id", date, tie)
+    ranked = rank_within(facts, ["person_id"], [F.col(date).desc_nulls_last(), F.col(tie)], "newest_rank")
+    return ranked.withColumn("newest_rank", F.col("newest_rank").cast("long"))
+
+
 def person_record(tables, ids: DataFrame) -> DataFrame:
     """Person rows of the id set."""
     return _cohort(tables["person"], ids).select(

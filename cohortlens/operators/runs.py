@@ -19,9 +19,11 @@ def assign_cyclic(df: DataFrame, order: list[Column | str], items: list[str], ou
 
 # AGG-21 -----------------------------------------------------------------------
 def response_lines(results: DataFrame) -> DataFrame:
-    """Per-row line count and length of successful responses."""
+    """Per-row line count (of the trimmed response; null when empty) and length of successful responses."""
     r = F.col("response")
-    return results.select("*", F.when(r.isNotNull(), F.size(F.split(r, "\n"))).alias("response_lines"),
+    trimmed = F.regexp_replace(r, r"^\s+|\s+$", "")
+    lines = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")))
+    return results.select("*", F.when(r != "", lines).alias("response_lines"),
                           F.length(r).alias("response_chars"))
 
 
@@ -29,7 +31,8 @@ def run_responses(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     ok = F.col("status") == "success"
     length = F.when(ok, F.length("response"))
     return results.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("success"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
         F.avg(length).alias("avg_response_chars"), F.min(length).alias("min_response_chars"),
         F.max(length).alias("max_response_chars"))
 
@@ -39,9 +42,9 @@ def run_status(steps: DataFrame, run: str = "run_id") -> DataFrame:
     """partial_success when a run has failures and successes, failed when only failures, else success."""
     s = F.col("status")
     agg = steps.groupBy(run).agg(F.count_if(s == "failed").alias("n_failed"),
-                                 F.count_if(s == "success").alias("n_success"),
+                                 F.count_if(s == "succeeded").alias("n_succeeded"),
                                  F.count_if(s == "skipped").alias("n_skipped"))
-    return agg.withColumn("run_status", F.when((F.col("n_failed") > 0) & (F.col("n_success") > 0), "partial_success")
+    return agg.withColumn("run_status", F.when((F.col("n_failed") > 0) & (F.col("n_succeeded") > 0), "partial_success")
                           .when(F.col("n_failed") > 0, "failed").otherwise("success"))
 
 

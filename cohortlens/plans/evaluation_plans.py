@@ -219,14 +219,14 @@ def prj_22(cdm):
 @query("prj_19_pack_examples", """
   SELECT doc_id, CAST(k + 1 AS INTEGER) AS n_input, CAST(k AS INTEGER) AS n_masked,
          CAST(coalesce(list_sum(list_slice(ids, 1, k)), 0) + lbl AS BIGINT) AS sum_input_ids
-  FROM (SELECT doc_id, ids, lbl, CAST(greatest(0, least(len(ids), 64 - 1)) AS BIGINT) AS k
+  FROM (SELECT doc_id, ids, lbl, CAST(greatest(0, least(len(ids), 512 - 1)) AS BIGINT) AS k
         FROM (SELECT d.doc_id, CAST(lb.quality AS INTEGER) AS lbl,
                      list_transform(list_filter(regexp_split_to_array(d.text, '\\s+'), lambda w: w <> ''), lambda w: length(w)) AS ids
               FROM documents d JOIN labels lb ON d.doc_id = lb.doc_id))""")
 def prj_19(cdm):
-    """Supervised examples (max 64 tokens): prompt truncated to fit the response, prompt masked with -100."""
+    """Supervised examples (max 512 tokens): prompt truncated to fit the response, prompt masked with -100."""
     d = cdm.raw("documents").join(cdm.raw("labels"), "doc_id")
-    ex = S.pack_example(S.whitespace_token_ids("text"), F.array(F.col("quality").cast("int")), 64).alias("ex")
+    ex = S.pack_example(S.whitespace_token_ids("text"), F.array(F.col("quality").cast("int")), 512).alias("ex")
     x = d.select("doc_id", ex)
     return x.select("doc_id", F.size("ex.input_ids").alias("n_input"),
                     F.size(F.filter("ex.labels", lambda v: v == -100)).alias("n_masked"),
@@ -480,16 +480,27 @@ def stub_labeller(text):
     return int(n % 2)
 
 
-@query("udf_01_score_batches")
+@query("udf_01_score_batches", """
+  WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, -(length(coalesce(text, '')) % 7) AS a,
+                    -(length(coalesce(text, '')) % 5) AS b, -(length(coalesce(text, '')) % 3) AS c FROM documents)
+  SELECT sample_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS predicted_label,
+         round(exp(greatest(a, b, c)) / (exp(a) + exp(b) + exp(c)), 6) AS confidence FROM s""")
 def udf_01(cdm):
     """Batch scorer over every document text (mapInPandas, scorer built once per task) -> probabilities."""
     d = cdm.raw("documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
     scored = S.score_batches(d, stub_model, "text", "sample_id")
     return S.decide(scored.withColumn("probs", C.softmax("scores")), "probs").select(
-        "sample_id", "predicted_label", "confidence")
+        "sample_id", F.col("predicted_label").cast("int").alias("predicted_label"),
+        C.round6("confidence").alias("confidence"))
 
 
-@query("udf_02_label_batches")
+@query("udf_02_label_batches", with_views(f"""
+  SELECT CAST(note_id AS BIGINT) AS note_id,
+         CASE WHEN n % 13 = 0 OR n % 5 = 0 THEN 'unresolved' ELSE 'resolved' END AS status,
+         CAST(CASE WHEN n % 13 <> 0 AND n % 5 <> 0 THEN n % 2 END AS INTEGER) AS label, n % 13 = 0 AS label_failed,
+         CASE WHEN n % 13 = 0 THEN 'TimeoutError' END AS error_type,
+         CASE WHEN n % 13 = 0 THEN 'api_failure' WHEN n % 5 = 0 THEN 'labeller_uncertain' END AS unresolved_reason,
+         CAST(CASE WHEN n % 13 = 0 THEN {S.MAX_LABEL_ATTEMPTS} ELSE 1 END AS INTEGER) AS attempts FROM (SELECT note_id, length(text) AS n FROM letters)""", "letters"))
 def udf_02(cdm):
     """Batch labeller with bounded retries over every letter; failures -> unresolved / api_failure."""
     return S.label_batches(FX.letters(cdm), stub_labeller, "text", "note_id")

@@ -1,7 +1,7 @@
 """Derived inputs built by Spark from the driver tables (FIXTURES §3), with
 their DuckDB twins registered as oracle views.
 
-letters        provisional-labelled candidate notes (100..2000 characters)
+letters        provisional-labelled notes, every non-null note with its whole text
 relabel        labeller results: labels.quality for letters with a label row,
                unresolved otherwise (api_failure when note_id % 5 = 0)
 samples3       three-class samples: labelled documents, truth toxic -> 0,
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
 from cohortlens.functions.keywords import CORPUS_NEGATIVE, CORPUS_POSITIVE
-from cohortlens.operators.datasets import MAX_NOTE_CHARS, MIN_NOTE_CHARS, TEXT_CHAR_LIMIT
 from cohortlens.plans.oracle_views import register_view
 
 
@@ -24,19 +23,18 @@ def _hits_sql(col: str, words: list[str]) -> str:
 
 
 def letters(cdm):
-    n = cdm.note.filter(F.col("note_text").isNotNull()
-                        & F.length("note_text").between(MIN_NOTE_CHARS, MAX_NOTE_CHARS))
+    n = cdm.note.filter(F.col("note_text").isNotNull())
     return n.select("note_id", "person_id", F.col("note_date").cast("string").alias("note_date"),
-                    C.truncate("note_text", TEXT_CHAR_LIMIT).alias("text"),
+                    F.col("note_text").alias("text"),
                     C.provisional_label("note_text", CORPUS_POSITIVE, CORPUS_NEGATIVE).alias("label"))
 
 
 register_view("letters", ["note"], f"""
-  SELECT note_id, person_id, CAST(note_date AS VARCHAR) AS note_date, left(note_text, {TEXT_CHAR_LIMIT}) AS text,
+  SELECT note_id, person_id, CAST(note_date AS VARCHAR) AS note_date, note_text AS text,
          CAST(CASE WHEN {_hits_sql('note_text', CORPUS_POSITIVE)} > {_hits_sql('note_text', CORPUS_NEGATIVE)} THEN 1
                    WHEN {_hits_sql('note_text', CORPUS_NEGATIVE)} > {_hits_sql('note_text', CORPUS_POSITIVE)} THEN 0
               END AS INTEGER) AS label
-  FROM note WHERE note_text IS NOT NULL AND length(note_text) BETWEEN {MIN_NOTE_CHARS} AND {MAX_NOTE_CHARS}""")
+  FROM note WHERE note_text IS NOT NULL""")
 
 
 def relabel_results(cdm):

@@ -44,13 +44,28 @@ def _domain_query(domain: str, limit: int | None = None):
     return build
 
 
-for _domain in ["conditions", "medications", "visits", "observations", "procedures", "notes"]:
+for _domain in ["conditions", "medications", "visits", "measurements", "observations", "procedures", "notes"]:
     query(f"jon_01_{_domain}", _domain_sql(_domain))(_domain_query(_domain))
 
 query("win_01_newest_measurements", _domain_sql("measurements", REC.DEFAULT_MEASUREMENT_LIMIT))(
     _domain_query("measurements", REC.DEFAULT_MEASUREMENT_LIMIT))
 
 
+def _ranked_sql(domain: str) -> str:
+    table, _, _, date, tie, _ = REC.DOMAIN_SPECS[domain]
+    return with_views(f"""SELECT person_id, {tie}, CAST(row_number() OVER (PARTITION BY person_id
+         ORDER BY {date} DESC NULLS LAST, {tie}) AS BIGINT) AS newest_rank FROM {table}
+       WHERE person_id IN (SELECT person_id FROM person WHERE person_id > 0)""", table, "person")
+
+
+@query("win_14_newest_rank", _ranked_sql("measurements"))
+def win_14(cdm):
+    """Place of every measurement in its person's history, newest first."""
+    _, _, _, date, tie, _ = REC.DOMAIN_SPECS["measurements"]
+    return REC.newest_rank(cdm.tables(), "measurements", cdm.person.select("person_id")).select(
+        "person_id", tie, "newest_rank")
+
+
 @query("jon_01_person", with_views("""
   SELECT person_id, year_of_birth, gender_concept_id, race_concept_id, ethnicity_concept_id FROM person
   WHERE person_id > 0""", "person"))

@@ -48,30 +48,30 @@ def selected(cdm):
 
 
 def judge_rows(cdm):
-    s = selected(cdm)
+    s = cases3(cdm)
     k = F.col("doc_id")
     expl = k % 9 != 0
     avail = expl & (k % 7 != 0)
     scores = [F.when(avail, (1 + (k * (i + 1)) % 5).cast("int")).alias(name) for i, name in enumerate(J.SCORES)]
-    j = s.select("model", "sample_id", "split", "doc_id", "selection_reason", expl.alias("explanation_available"),
+    j = s.select("model", "sample_id", "split", "doc_id", expl.alias("explanation_available"),
                  avail.alias("judge_available"), *scores,
                  F.when(avail, k % 6 == 0).otherwise(F.lit(False)).alias("judge_hallucination"),
                  F.when(avail, (k % 4).cast("int")).otherwise(F.lit(0)).alias("unsupported_claim_count"))
     return J.check_judge(j)
 
 
-register_view("judged", ["selected"], """
-  SELECT *, judge_available AND faithfulness >= 4 AND clinical_accuracy >= 4 AND safety >= 4 AND completeness >= 4
+register_view("judged", ["cases3"], """
+  SELECT *, judge_available AND explanation_faithfulness >= 4 AND evidence_grounding >= 4 AND prediction_consistency >= 4 AND safety_compliance >= 4
               AND NOT judge_hallucination AS judge_pass
-  FROM (SELECT model, sample_id, split, doc_id, selection_reason, doc_id % 9 <> 0 AS explanation_available,
+  FROM (SELECT model, sample_id, split, doc_id, doc_id % 9 <> 0 AS explanation_available,
                doc_id % 9 <> 0 AND doc_id % 7 <> 0 AS judge_available,
-               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 1) % 5 AS INTEGER) END AS faithfulness,
-               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 2) % 5 AS INTEGER) END AS clinical_accuracy,
-               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 3) % 5 AS INTEGER) END AS safety,
-               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 4) % 5 AS INTEGER) END AS completeness,
+               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 1) % 5 AS INTEGER) END AS explanation_faithfulness,
+               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 2) % 5 AS INTEGER) END AS evidence_grounding,
+               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 3) % 5 AS INTEGER) END AS prediction_consistency,
+               CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(1 + (doc_id * 4) % 5 AS INTEGER) END AS safety_compliance,
                CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN doc_id % 6 = 0 ELSE false END AS judge_hallucination,
                CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 <> 0 THEN CAST(doc_id % 4 AS INTEGER) ELSE 0 END AS unsupported_claim_count
-        FROM selected)""")
+        FROM cases3)""")
 
 
 @query("win_04_priority_cases", with_views("""
@@ -94,8 +94,8 @@ def win_05(cdm):
 
 @query("prj_25_judge_checks", with_views("""
   SELECT model, sample_id, judge_available, judge_pass,
-         NOT judge_available OR (faithfulness BETWEEN 1 AND 5 AND clinical_accuracy BETWEEN 1 AND 5
-                                 AND safety BETWEEN 1 AND 5 AND completeness BETWEEN 1 AND 5) AS scores_valid
+         NOT judge_available OR (explanation_faithfulness BETWEEN 1 AND 5 AND evidence_grounding BETWEEN 1 AND 5
+                                 AND prediction_consistency BETWEEN 1 AND 5 AND safety_compliance BETWEEN 1 AND 5) AS scores_valid
   FROM judged""", "judged"))
 def prj_25(cdm):
     """Judge consistency: pass <=> four scores >= 4 and no hallucination; scores within 1..5."""
@@ -103,25 +103,32 @@ def prj_25(cdm):
 
 
 @query("agg_25_judge_summary", with_views("""
-  SELECT model, CAST(count(*) AS BIGINT) AS selected, CAST(count(*) FILTER (WHERE judge_available) AS BIGINT) AS judged,
+  SELECT model, CAST(count(*) AS BIGINT) AS selected,
+         CAST(count(*) FILTER (WHERE explanation_available) AS BIGINT) AS explanations,
+         round(avg(CASE WHEN explanation_available THEN 1.0 ELSE 0.0 END), 6) AS explanation_coverage,
+         CAST(count(*) FILTER (WHERE judge_available) AS BIGINT) AS judged,
+         CAST(count(*) FILTER (WHERE NOT judge_available) AS BIGINT) AS unavailable,
          round(avg(CASE WHEN judge_available THEN 1.0 ELSE 0.0 END), 6) AS coverage,
          round(avg(CASE WHEN judge_pass THEN 1.0 ELSE 0.0 END) FILTER (WHERE judge_available), 6) AS pass_rate,
          round(avg(CASE WHEN judge_hallucination THEN 1.0 ELSE 0.0 END) FILTER (WHERE judge_available), 6) AS hallucination_rate,
          round(avg(CASE WHEN unsupported_claim_count > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE judge_available), 6) AS unsupported_rate,
-         round(avg((faithfulness + clinical_accuracy + safety + completeness) / 4.0) FILTER (WHERE judge_available), 6) AS mean_score
+         round(avg(explanation_faithfulness) FILTER (WHERE judge_available), 6) AS mean_explanation_faithfulness,
+         round(avg(evidence_grounding) FILTER (WHERE judge_available), 6) AS mean_evidence_grounding,
+         round(avg(prediction_consistency) FILTER (WHERE judge_available), 6) AS mean_prediction_consistency,
+         round(avg(safety_compliance) FILTER (WHERE judge_available), 6) AS mean_safety_compliance
   FROM judged GROUP BY 1""", "judged"))
 def agg_25(cdm):
-    """Judge summary per model: coverage, pass / hallucination / unsupported rates, mean score (null if none)."""
+    """Judge summary per model: explanations, coverage, pass / hallucination / unsupported rates, four mean scores."""
     out = J.judge_summary(judge_rows(cdm), ["model"])
     return out.select(*[R(n).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
 
 
 @query("evl_16_flagged_cases", with_views("""
-  SELECT model, sample_id, selection_reason, judge_hallucination FROM judged WHERE judge_available AND NOT judge_pass""",
+  SELECT model, sample_id, split, judge_hallucination FROM judged WHERE judge_available AND NOT judge_pass""",
                                           "judged"))
 def evl_16(cdm):
     """Error analysis: judged cases that fail the judge."""
-    return J.flagged_cases(judge_rows(cdm)).select("model", "sample_id", "selection_reason", "judge_hallucination")
+    return J.flagged_cases(judge_rows(cdm)).select("model", "sample_id", "split", "judge_hallucination")
 
 
 @query("jon_11_assemble_cases", with_views("""
@@ -163,7 +170,7 @@ def prj_28(cdm):
 
 @query("agg_21_run_responses", f"""
   SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS success,
-         CAST(count(*) FILTER (WHERE status <> 'success') AS BIGINT) AS failed,
+         CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS failed,
          round(avg(length(response)) FILTER (WHERE status = 'success'), 6) AS avg_response_chars,
          CAST(min(length(response)) FILTER (WHERE status = 'success') AS INTEGER) AS min_response_chars,
          CAST(max(length(response)) FILTER (WHERE status = 'success') AS INTEGER) AS max_response_chars
@@ -175,7 +182,7 @@ def agg_21(cdm):
 
 
 @query("agg_21_response_lines", f"""
-  SELECT person_id, turn, CAST(CASE WHEN response IS NOT NULL THEN len(string_split(response, chr(10))) END AS INTEGER)
+  SELECT person_id, turn, CAST(CASE WHEN response <> '' THEN len(string_split(regexp_replace(response, '^\\s+|\\s+$', '', 'g'), chr(10))) END AS INTEGER)
          AS response_lines, CAST(length(response) AS INTEGER) AS response_chars FROM ({_RESULTS_SQL})""")
 def agg_21_lines(cdm):
     """Per-response line count and length."""
@@ -185,22 +192,22 @@ def agg_21_lines(cdm):
 def steps(cdm):
     c = cdm.raw("conversations")
     status = (F.when(F.length("text") % 11 == 0, "failed").when(F.col("turn") % 5 == 4, "skipped")
-              .otherwise("success"))
+              .otherwise("succeeded"))
     return c.select((F.col("conv_id") % 10).alias("run_id"),
                     F.concat(F.lit("step_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
                     .alias("step"), status.alias("status"), (F.length("text") / 100.0).alias("duration_seconds"))
 
 
 _STEPS_SQL = """SELECT conv_id % 10 AS run_id, 'step_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS step,
-         CASE WHEN length(text) % 11 = 0 THEN 'failed' WHEN turn % 5 = 4 THEN 'skipped' ELSE 'success' END AS status,
+         CASE WHEN length(text) % 11 = 0 THEN 'failed' WHEN turn % 5 = 4 THEN 'skipped' ELSE 'succeeded' END AS status,
          length(text) / 100.0 AS duration_seconds FROM conversations"""
 
 
 @query("agg_22_run_status", f"""
   SELECT run_id, CAST(count(*) FILTER (WHERE status = 'failed') AS BIGINT) AS n_failed,
-         CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS n_success,
+         CAST(count(*) FILTER (WHERE status = 'succeeded') AS BIGINT) AS n_succeeded,
          CAST(count(*) FILTER (WHERE status = 'skipped') AS BIGINT) AS n_skipped,
-         CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 AND count(*) FILTER (WHERE status = 'success') > 0
+         CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 AND count(*) FILTER (WHERE status = 'succeeded') > 0
               THEN 'partial_success' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' ELSE 'success' END
            AS run_status
   FROM ({_STEPS_SQL}) GROUP BY 1""")

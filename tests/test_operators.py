@@ -197,3 +197,69 @@ def test_remove_overlap_line_level(spark):
     test = spark.createDataFrame([("shared line\nx",)], "text string")
     kept = sorted(r.doc_id for r in D.remove_overlap(train, test, level="line").collect())
     assert kept == [2, 3]
+
+
+def test_run_status_words(spark):
+    from cohortlens.operators import runs as RU
+    rows = [(1, "succeeded"), (1, "failed"), (2, "failed"), (2, "skipped"), (3, "succeeded"), (3, "skipped")]
+    got = {r.run_id: r.run_status for r in RU.run_status(spark.createDataFrame(rows, "run_id int, status string")).collect()}
+    assert got == {1: "partial_success", 2: "failed", 3: "success"}
+
+
+def test_response_lines_trim_and_empty(spark):
+    from cohortlens.operators import runs as RU
+    df = spark.createDataFrame([("a\nb\n",), ("",), (None,), ("x\r\ny",), ("  one ",)], "response string")
+    assert [r.response_lines for r in RU.response_lines(df).collect()] == [2, None, None, 2, 1]
+
+
+def test_specialty_and_generated_parsers(spark):
+    df = spark.createDataFrame([(" General  Surgery ", None), ("ear-nose", "2 yes"), ("x", "no")], "s string, g string")
+    got = df.select(C.normalise_specialty("s").alias("s"), C.parse_generated("g").alias("g")).collect()
+    assert [r.s for r in got] == ["general__surgery", "ear_nose", "x"]
+    assert [(r.g.label, r.g.invalid) for r in got] == [(1, True), (2, False), (1, True)]
+
+
+def test_splits_keep_rows_without_label_or_group(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2, None if i % 5 == 0 else i % 11) for i in range(60)],
+                               "id int, label int, person int")
+    assert D.stratified_split(df, "id", "label", 0.2, 1).count() == 60
+    assert D.grouped_split(df, "person", "label", 1).count() == 60
+
+
+def test_history_limit_is_not_changed_in_silence(spark):
+    from cohortlens.operators import records as REC
+    from cohortlens.sources.cdm import Cdm
+    cdm = Cdm(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError):
+        REC.history(cdm.tables(), "measurements", None, limit=5000)
+
+
+def test_histogram_ignores_infinity(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("inf"),)], "v double")
+    assert [r.n for r in P.histogram(df, "v", 2).orderBy("bin").collect()] == [1, 1]
+
+
+def test_metric_and_log_readers(spark, tmp_path):
+    from cohortlens.sources import files as FL
+    (tmp_path / "base_external_metrics.json").write_text('{"f1": 0.5, "note": "x", "n": 3}')
+    (tmp_path / "bad_metrics.json").write_text("{")
+    got = {(r.dataset, r.model, r.split, r.metric, r.value)
+           for r in FL.collect_metric_files(spark, f"{tmp_path}/*_metrics.json").collect()}
+    assert {g[1:] for g in got} == {("base", "external_test", "f1", 0.5), ("base", "external_test", "n", 3.0)}
+    log = "BASE MODEL Results:\n  F1 : 0.7\n  ROC AUC : 0.6\n======\nCOMPARISON\n  F1 : 0.9\n"
+    (tmp_path / "run.log").write_text(log)
+    rows = FL.extract_log_metrics(FL.read_logs(spark, f"{tmp_path}/run.log")).collect()
+    assert {(r.section, r.metric, r.value) for r in rows} == {("BASE MODEL", "f1", 0.7), ("BASE MODEL", "roc_auc", 0.6)}
+    assert all(r.source.endswith("run.log") for r in rows)
+
+
+def test_json_list_is_strict(spark, tmp_path):
+    from pyspark.sql import types as T
+    from cohortlens.sources import files as FL
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    for name, text in (("o", '{"a": 1}'), ("b", '[{"a": 1'), ("e", "[]")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            FL.read_json_list(spark, str(tmp_path / name), schema)
+    (tmp_path / "g").write_text(' [{"a": 1}, {"a": 2}]')
+    assert FL.read_json_list(spark, str(tmp_path / "g"), schema).count() == 2
