@@ -46,10 +46,10 @@ def read_json_list(spark: SparkSession, path: str, schema: T.StructType) -> Data
         raise ValueError(f"{path}: not a list of records")
     strict = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = (spark.read.schema(strict).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    # Parsing a file for its broken records alone is not allowed: the records are read with them.
-    first = df.select(F.count(F.struct(*[f.name for f in schema.fields])).alias("n"), F.count(CORRUPT).alias("bad")).first()
-    if first["bad"] or not first["n"]:
-        raise ValueError(f"{path}: {'broken JSON' if first['bad'] else 'an empty list'}")
+    if df.filter(F.col(CORRUPT).isNotNull()).limit(1).collect():
+        raise ValueError(f"{path}: broken JSON")
+    if not df.limit(1).collect():
+        raise ValueError(f"{path}: an empty list")
     return df.drop(CORRUPT)
 
 
@@ -122,6 +122,7 @@ def collect_metric_files(spark: SparkSession, pattern: str, tags: dict[str, dict
     ``tags`` maps a tag column to {path fragment: value}; the first fragment in
     the lower-cased path (for model and split: the file name) wins, else the default.
     """
+    by_name = ("model", "split") if tags is None else ()  # the standard tags read these from the file name
     tags = METRIC_TAGS if tags is None else tags
     defaults = METRIC_DEFAULTS if defaults is None else defaults
     df = spark.read.text(pattern, wholetext=True).withColumn("source", F.col("_metadata.file_path"))

@@ -78,7 +78,7 @@ def test_metric_files_and_log_metrics(spark, tmpdir_):
                 "FINE-TUNED MODEL Results:\n  F1                : 0.8971\n")
     m = IO.extract_log_metrics(IO.read_logs(spark, log))
     got = {(r.section, r.metric): r.value for r in m.collect()}
-    assert got == {("BASE MODEL", "F1"): 0.7831, ("BASE MODEL", "Accuracy"): 0.6578, ("FINE-TUNED MODEL", "F1"): 0.8971}
+    assert got == {("BASE MODEL", "f1"): 0.7831, ("BASE MODEL", "accuracy"): 0.6578, ("FINE-TUNED MODEL", "f1"): 0.8971}
 
 
 def test_sinks(spark, tmpdir_):
