@@ -9,11 +9,14 @@ tokens: the lower, the more it reads like the target.
 1. Words of the whole corpus are counted; the vocabulary is every word with at
    least ``VOCAB_SHARE`` of all tokens, the rest is one unknown word. The share
    bounds the vocabulary (1 / share words) at every corpus size; no count is cut.
-2. Bigrams of vocabulary words are counted over the whole corpus, for the
+2. The corpus is written once as word ids of two bytes; only these narrow rows
+   are joined to the target's ids, with the same sort-merge plan at every size
+   (the list of targets grows with the corpus and is never broadcast).
+3. Bigrams of vocabulary words are counted over the whole corpus, for the
    background and for the target at once. Those with at least ``BIGRAM_SHARE``
    of the tokens of either side are kept (at most 2 / share), the others are
    read by their unigrams.
-3. Absolute discounting with back-off: kept bigrams give up ``DISCOUNT``
+4. Absolute discounting with back-off: kept bigrams give up ``DISCOUNT``
    counts, what is not given to kept bigrams goes to the add-one unigrams.
 
 Counts are summed per task before they are shuffled. Words are the lower-cased
@@ -74,23 +77,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(word ids of all texts, each text after a START; number of words per text)."""
-    out: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    get = vocab.get
-    for i, t in enumerate(texts):
-        words = _words(t)
-        sizes[i] = len(words)
-        out.append(START)
-        out += [get(w, UNKNOWN) for w in words]
-    return np.array(out, np.int64), sizes
-
-
-def bigram_counts(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """(key, n, n_target): ``key`` = previous id * size + id; the previous id -1 counts single words."""
+def encode(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """(doc_id, ids binary): the words of every text as ids of two bytes (the vocabulary is below 65,536)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most 1 / VOCAB_SHARE words
-    size = len(vocab) + 2
+
+    def run(batches):
+        get = shared.value.get
+        for b in slices(batches):
+            ids = [np.array([get(w, UNKNOWN) for w in _words(t)], "<u2").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def _joined(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word ids of all texts, each text after a START; number of words per text)."""
+    start = np.array([START], "<u2").tobytes()
+    ids = np.frombuffer(b"".join(start + c for c in coded), "<u2").astype(np.int64)
+    return ids, np.array([len(c) // 2 for c in coded], np.int64)
+
+
+def bigram_counts(flagged: DataFrame, size: int) -> DataFrame:
+    """(key, n, n_target) of (ids, target): ``key`` = previous id * size + id; the previous id -1 counts
+    single words, and texts under START."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -104,19 +113,20 @@ def bigram_counts(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
                                               ["key", "n", "n_target"])
 
         for b in slices(batches):
-            ids, sizes = _ids(b.column(0).to_pylist(), shared.value)
+            ids, sizes = _joined(b.column(0).to_pylist())
             target = np.repeat(np.array(b.column(1).to_pylist(), bool), sizes + 1)
             word = np.flatnonzero(ids != START)
+            first = word[ids[word - 1] == START] - 1  # every text with a word is one START context
             pair = word[(ids[word] > UNKNOWN) & (ids[word - 1] > UNKNOWN)]
-            held.append((np.concatenate((ids[word] - size, ids[pair - 1] * size + ids[pair])),
-                         np.concatenate((target[word], target[pair]))))
+            held.append((np.concatenate((ids[word] - size, ids[first] - size, ids[pair - 1] * size + ids[pair])),
+                         np.concatenate((target[word], target[first], target[pair]))))
             if sum(len(k) for k, _ in held) > 5 * FLUSH:
                 yield flush()
                 held.clear()
         if held:
             yield flush()
 
-    return (docs.select("text", "target").mapInArrow(run, "key long, n long, n_target long")
+    return (flagged.select("ids", "target").mapInArrow(run, "key long, n long, n_target long")
             .groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
 
 
@@ -124,18 +134,17 @@ def bigram_counts(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
 class Models:
     """Log probabilities of both models: [0] target, [1] background."""
 
-    vocab: dict[bytes, int]
     keys: np.ndarray  #: kept bigrams, sorted
     pair: np.ndarray  #: (2, len(keys))
     single: np.ndarray  #: (2, size)
     back: np.ndarray  #: (2, size) back-off weight of a previous word
 
-    def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def losses(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, unknown tokens, (2, texts) mean loss) of every text; NaN without tokens."""
-        ids, sizes = _ids(texts, self.vocab)
+        ids, sizes = _joined(coded)
         at = np.flatnonzero(ids != START)
-        loss = np.full((2, len(texts)), np.nan)
-        unknown = np.zeros(len(texts), np.int64)
+        loss = np.full((2, len(coded)), np.nan)
+        unknown = np.zeros(len(coded), np.int64)
         if len(at):
             word, prev = ids[at], ids[at - 1]
             log_p = self.single[:, word] + self.back[:, prev]
@@ -144,16 +153,16 @@ class Models:
                 place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 known = self.keys[place] == key
                 log_p[:, known] = self.pair[:, place[known]]
-            owner = np.repeat(np.arange(len(texts)), sizes)
+            owner = np.repeat(np.arange(len(coded)), sizes)
             some = sizes > 0
             for m in range(2):
-                total = np.bincount(owner, weights=log_p[m], minlength=len(texts))
+                total = np.bincount(owner, weights=log_p[m], minlength=len(coded))
                 loss[m, some] = -total[some] / sizes[some]
-            unknown = np.bincount(owner, weights=word == UNKNOWN, minlength=len(texts)).astype(np.int64)
+            unknown = np.bincount(owner, weights=word == UNKNOWN, minlength=len(coded)).astype(np.int64)
         return sizes, unknown, loss
 
 
-def build(vocab: dict[bytes, int], single_n: np.ndarray, keys: np.ndarray, pair_n: np.ndarray) -> Models:
+def build(single_n: np.ndarray, keys: np.ndarray, pair_n: np.ndarray) -> Models:
     """Models from (2, size) word counts and (2, kept) bigram counts (row 0 target, row 1 background)."""
     size = single_n.shape[1]
     seen = single_n.copy()
@@ -171,31 +180,31 @@ def build(vocab: dict[bytes, int], single_n: np.ndarray, keys: np.ndarray, pair_
         back[m] -= np.bincount(prev, weights=rate[m], minlength=size)[:size] if len(keys) else 0
     back = np.clip(back, 1e-6, 1.0)
     pair = rate + back[:, prev] * p[:, word]
-    return Models(vocab, keys, np.log(pair), np.log(p), np.log(back))
+    return Models(keys, np.log(pair), np.log(p), np.log(back))
 
 
-def train(docs: DataFrame, flagged: DataFrame) -> Models:
-    """Models from the corpus (text) and the same rows as (text, target boolean)."""
+def vocabulary(docs: DataFrame) -> dict[bytes, int]:
+    """Ids of the words with at least VOCAB_SHARE of all tokens, in byte order after UNKNOWN and START."""
     counts = stored(word_counts(docs), "lm-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    words = [r.word for r in counts.filter(F.col("n") >= VOCAB_SHARE * total).orderBy("word").collect()] if total else []
-    vocab = {bytes(w): i + 2 for i, w in enumerate(words)}
-    size = len(vocab) + 2
-    grams = stored(bigram_counts(flagged, vocab), "lm-bigrams")
+    words = counts.filter(F.col("n") >= VOCAB_SHARE * total).orderBy("word").collect()
+    return {bytes(r.word): i + 2 for i, r in enumerate(words)}
+
+
+def train(flagged: DataFrame, size: int) -> Models:
+    """Models from the encoded corpus (ids, target boolean); ``size`` counts the vocabulary, UNKNOWN and START."""
+    grams = stored(bigram_counts(flagged, size), "lm-bigrams")
     single = np.zeros((2, size))
     rows = grams.filter("key < 0").toPandas()  # at most one row per vocabulary word
     at = rows["key"].to_numpy(np.int64) + size
     single[0, at], single[1, at] = rows["n_target"], rows["n"]
-    tokens = single.sum(axis=1)
+    tokens = single.sum(axis=1) - single[:, START]
     kept = (grams.filter("key >= 0")
             .filter((F.col("n") >= BIGRAM_SHARE * float(tokens[1]))
                     | ((F.col("n_target") > 0) & (F.col("n_target") >= BIGRAM_SHARE * float(tokens[0]))))
             .toPandas().sort_values("key"))
-    # Every non-empty text is one START context.
-    starts = flagged.filter(F.length("text") > 0).agg(F.count(F.lit(1)), F.count_if("target")).first()
-    single[0, START], single[1, START] = starts[1], starts[0]
     pair_n = np.stack([kept["n_target"].to_numpy(float), kept["n"].to_numpy(float)])
-    return build(vocab, single, kept["key"].to_numpy(np.int64), pair_n)
+    return build(single, kept["key"].to_numpy(np.int64), pair_n)
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -203,11 +212,13 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has the doc_id of the target documents.
     """
-    ids = targets.select(F.col("doc_id").cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = (marked.join(ids, F.col("doc_id") == F.col("_t"), "left")
-               .select("text", F.col("_t").isNotNull().alias("target")))
-    shared = docs.sparkSession.sparkContext.broadcast(train(marked, flagged))  # bounded by the two shares
+    wanted = targets.select(F.col("doc_id").cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    vocab = vocabulary(plain)
+    coded = stored(encode(plain, vocab), "lm-ids")
+    flagged = (coded.join(wanted.hint("merge"), F.col("doc_id") == F.col("_t"), "left")
+               .select("ids", F.col("_t").isNotNull().alias("target")))
+    shared = docs.sparkSession.sparkContext.broadcast(train(flagged, len(vocab) + 2))  # bounded by the two shares
 
     def run(batches):
         for b in slices(batches):
@@ -217,8 +228,8 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(unknown), *cols],
                                              ["doc_id", "n_tokens", "n_unknown", "loss_target", "loss_background", "score"])
 
-    return marked.mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
-                                  "loss_background double, score double")
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
+                                 "loss_background double, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
