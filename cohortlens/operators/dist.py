@@ -7,6 +7,10 @@ checkpoint so partition contents cannot change between passes, numbered
 inside each partition, and shifted by the exclusive running total of the
 partition sizes. Only the per-partition totals table (one row per partition
 and group) is small enough to be windowed unpartitioned.
+
+Callers rank narrow frames (keys and ids). Where only a cut through a seeded
+order is wanted (splits, samples), ``seeded_cuts`` finds it from counts, and
+wide rows are neither sorted nor moved.
 """
 
 from __future__ import annotations
@@ -27,14 +31,20 @@ def seeded_key(id_col, seed: int | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), c.cast("string")), 256)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """``df`` (one row per group), computed once; broadcast only when its counted rows are within ``max_rows``."""
+    checkpoint_dir(df.sparkSession)
+    fixed = df.checkpoint(eager=True)
+    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+
+
 def _fixed_ranges(df: DataFrame, order: list[Column | str], partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    checkpoint_dir(df.sparkSession)
+    # Without a count AQE merges small ranges; a large cluster sets the session's shuffle width.
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     # Reliable checkpoint: partition contents survive executor loss and stay
     # identical for the counting pass and the numbering pass.
-    return ranged.checkpoint(eager=True)
+    return ranged.sortWithinPartitions(*order).checkpoint(eager=True)
 
 
 def dist_rank(df: DataFrame, order: list[Column | str], out: str = "rank",
@@ -70,23 +80,90 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], out:
 
 
 def prefix_sum(df: DataFrame, by: list[str], order: list[Column | str], cols: list[str],
-               partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+               partitions: int | None = None, suffix: str = "_cum", total_suffix: str | None = None) -> DataFrame:
     """Inclusive running sums of ``cols`` inside each ``by`` group along ``order``.
 
-    ``df`` should already be aggregated to one row per (by, order) value.
+    ``df`` should already be aggregated to one row per (by, order) value. With
+    ``total_suffix`` the group totals come along, from the same small table of
+    per-partition sums, so no join on the (few, hot) group keys is needed.
     """
     keys = [F.col(k) for k in by] + list(order)
     fixed = _fixed_ranges(df, keys, partitions)
     tagged = fixed.withColumn("_pid", F.spark_partition_id())
     totals = tagged.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w_off = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}")
-                                          for c in cols])
+    w_all = Window.partitionBy(*by)
+    w_off = w_all.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    small = totals.select(F.col("_pid").alias("_op"), *[F.col(k).alias(f"_o_by_{k}") for k in by],
+                          *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in cols],
+                          *[F.sum(f"_t_{c}").over(w_all).alias(f"_all_{c}") for c in cols])
+    # Ranges are contiguous, so this has about as many rows as partitions plus groups.
+    offsets = F.broadcast(small) if totals.count() <= MAX_BROADCAST_GROUPS else small
     w_in = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(c).over(w_in).alias(f"_l_{c}") for c in cols])
-    joined = local.join(F.broadcast(offsets), ["_pid", *by], "inner")
-    out = joined.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols])
-    return out
+    same = [F.col("_pid") == F.col("_op")] + [F.col(k).eqNullSafe(F.col(f"_o_by_{k}")) for k in by]
+    whole = [F.col(f"_all_{c}").alias(f"{c}{total_suffix}") for c in cols] if total_suffix else []
+    return local.join(offsets, same, "inner").select(
+        *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols], *whole)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of ``col`` per group, one column per entry of ``at``.
+
+    From (group, value) counts and their running sum, so no task ever holds the values of a group.
+    """
+    counts = (df.select(*by, F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL")
+              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    cum = prefix_sum(counts, by, [F.col("_v").asc()], ["_n"], total_suffix="_total")
+    found = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("_n_total") - 1)
+        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            holds = (F.col("_n_cum") > index) & (F.col("_n_cum") - F.col("_n") <= index)
+            found.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}_{side}"))
+    wide = cum.groupBy(*by).agg(F.max("_n_total").alias("_n_total"), *found)
+    out = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("_n_total") - 1)
+        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        mixed = (F.ceil(place) - place) * lo + (place - F.floor(place)) * hi
+        out.append(F.when(lo == hi, lo).otherwise(mixed).alias(name))
+    return wide.select(*by, *out)
+
+
+#: Leading hex digits of the seeded key that are counted: about a million slots per class.
+SLOT_DIGITS = 5
+
+
+def order_key(id_col: str, seed: int | str) -> Column:
+    """(seeded key, id) as one comparable value; rows without an id come first."""
+    return F.struct(F.coalesce(seeded_key(id_col, seed), F.lit("")).alias("k"), F.col(id_col).alias("id"))
+
+
+def seeded_cuts(df: DataFrame, by: list[str], id_col: str, seed: int | str, quotas: DataFrame) -> DataFrame:
+    """(by..., cut): the ``order_key`` of the last row that each class's ``quota`` admits.
+
+    ``quotas`` has (by..., quota). Rows are counted per class and leading
+    digits of the key (combined before the shuffle); only the rows of the one
+    slot where the quota ends are ordered. A quota beyond the class gives its
+    last row, a quota of 0 no row. Rows with one id stand and fall together.
+    """
+    keyed = df.select(*by, order_key(id_col, seed).alias("_o")).withColumn(
+        "_slot", F.substring("_o.k", 1, SLOT_DIGITS))
+    slots = keyed.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*by).orderBy("_slot")
+    wanted = quotas.select(*[F.col(k).alias(f"_q_{k}") for k in by], "quota")
+    same = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in by] or [F.lit(True)]
+    ends = (slots.withColumn("_before", F.sum("_n").over(along) - F.col("_n"))
+            .withColumn("_last", F.lead("_slot").over(along).isNull())
+            .join(F.broadcast(wanted), same)  # one row per class
+            .filter((F.col("_before") < F.col("quota"))
+                    & ((F.col("_before") + F.col("_n") >= F.col("quota")) | F.col("_last")))
+            .select(*[F.col(k).alias(f"_e_{k}") for k in by], F.col("_slot").alias("_e_slot"),
+                    F.least(F.col("quota") - F.col("_before"), F.col("_n")).alias("_need")))
+    here = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in by] + [F.col("_slot") == F.col("_e_slot")]
+    inside = keyed.join(F.broadcast(ends), here).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*by).orderBy("_o")))
+    return inside.filter(F.col("_r") == F.col("_need")).select(*by, F.col("_o").alias("cut"))
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column | str], k: int, salt_by: str | None = None,

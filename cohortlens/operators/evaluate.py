@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.dist import prefix_sum
+from cohortlens.functions import columns as C
+from cohortlens.operators.dist import checked_broadcast, exact_quantiles, prefix_sum
 
 LABELS3 = [0, 1, 2]
 # Threshold search settings.
@@ -37,6 +38,13 @@ def confusion(df: DataFrame, by: list[str], labels: list[int] = LABELS3, true: s
     return grid.join(counts, by + [true, pred], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def off_grid(df: DataFrame, labels: list[int] = LABELS3, true: str = "true_label",
+             pred: str = "predicted_label") -> DataFrame:
+    """Violation rows that no cell of the grid counts: a null or unknown true or predicted label."""
+    known = F.coalesce(F.col(true).isin(labels), F.lit(False)) & F.coalesce(F.col(pred).isin(labels), F.lit(False))
+    return df.filter(~known)
+
+
 # EVL-02 -----------------------------------------------------------------------
 def per_class(conf: DataFrame, by: list[str], true: str = "true_label", pred: str = "predicted_label") -> DataFrame:
     """Precision / recall / F1 / support per class (zero_division = 0)."""
@@ -83,10 +91,8 @@ def score_curve(df: DataFrame, by: list[str], score: str = "score", label: str =
     """One row per (group, distinct score, descending) with cumulative tp / fp and group totals."""
     pts = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("tp"),
                                      F.sum((1 - F.col(label)).cast("long")).alias("fp"))
-    cum = prefix_sum(pts, by, [F.col(score).desc()], ["tp", "fp"])
-    totals = pts.groupBy(*by).agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"))
-    return cum.join(totals, by, "inner") if by else cum.withColumn("_one", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    cum = prefix_sum(pts, by, [F.col(score).desc()], ["tp", "fp"], total_suffix="_total")
+    return cum.withColumnRenamed("tp_total", "P").withColumnRenamed("fp_total", "N")
 
 
 def roc_auc(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -131,15 +137,17 @@ def apply_threshold(df: DataFrame, thresholds: DataFrame, by: list[str], score:
                     out: str = "predicted_label") -> DataFrame:
     """PRJ-24: predicted = score >= threshold of the group (0.5 when none was chosen)."""
     t = thresholds.select(*by, "threshold")
-    j = df.join(F.broadcast(t), by, "left")
+    j = df.join(checked_broadcast(t), by, "left")
     thr = F.coalesce(F.col("threshold"), F.lit(DEFAULT_THRESHOLD))
     return j.withColumn(out, (F.col(score) >= thr).cast("int")).drop("threshold")
 
 
 # EVL-10 / EVL-11 ----------------------------------------------------------------
 def score_range(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    return df.groupBy(*by).agg(F.min(score).alias("probability_min"), F.median(score).alias("probability_median"),
-                               F.max(score).alias("probability_max"))
+    """Least, middle and greatest score; the exact median is taken from value counts, not from a buffer per group."""
+    ends = df.groupBy(*by).agg(F.min(score).alias("probability_min"), F.max(score).alias("probability_max"))
+    middle = exact_quantiles(df, by, score, {"probability_median": 0.5})
+    return ends.join(middle, by, "left").select(*by, "probability_min", "probability_median", "probability_max")
 
 
 def confidence_rates(df: DataFrame, by: list[str], conf: float = 0.80, margin: float = 0.15) -> DataFrame:
@@ -189,18 +197,88 @@ def binary_suite(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 # EVL-14 -----------------------------------------------------------------------
-def evaluate(cases: DataFrame, by: list[str]) -> DataFrame:
-    """All three-class metrics for every group, as a long (by, metric, value) table."""
-    pc = per_class(confusion(cases, by), by)
-    ov = overall(pc, by)
-    us = unsafe(cases, by)
-    wide = ov.join(us, by, "inner")
-    metrics = ["accuracy", "balanced_accuracy", "macro_f1", "macro_f1_fixed", "weighted_f1",
-               "unsafe_eligible_count", "unsafe_eligible_rate", "manual_review_rate"]
+CLASS_KEYS = ["not_eligible", "borderline", "eligible"]
+_CASE_COLUMNS = {"confidence", "top_two_margin", "safety_flag_count", "requires_human_review"}
+
+
+def _measures(cells: DataFrame, by: list[str], labels: list[int] = LABELS3) -> DataFrame:
+    """All label metrics in one wide row per group, from (by, true_label, predicted_label) cells with ``n``.
+
+    A row with an off-grid label counts as wrong in the accuracy and in no class.
+    """
+    t, p, n = F.col("true_label"), F.col("predicted_label"), F.col("n")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+    per = []
+    for k in labels:
+        per += [total(t == k).alias(f"_s{k}"), total(p == k).alias(f"_p{k}"), total((t == k) & (p == k)).alias(f"_t{k}")]
+    counted = cells.groupBy(*by).agg(F.sum("n").alias("n"), total(t == p).alias("_right"),
+                                     total((t == 0) & (p == 2)).alias("unsafe_eligible_count"),
+                                     *per, *[F.sum(c).alias(c) for c in cells.columns if c.startswith("_sum_")])
+    s, pr, tp = ([F.col(f"_{x}{k}") for k in labels] for x in "spt")
+    recall = [_div0(a, b) for a, b in zip(tp, s)]
+    precision = [_div0(a, b) for a, b in zip(tp, pr)]
+    f1 = [_div0(2 * a, b + c) for a, b, c in zip(tp, s, pr)]
+    mean_of = lambda vs, oks: F.try_divide(
+        sum((F.when(ok, v).otherwise(0.0) for v, ok in zip(vs, oks)), F.lit(0.0)),
+        sum((ok.cast("int") for ok in oks), F.lit(0)))
+    support = sum(s, F.lit(0))
+    return counted.select(
+        "*", _div0(F.col("_right"), F.col("n")).alias("accuracy"),
+        mean_of(recall, [x > 0 for x in s]).alias("balanced_accuracy"),
+        mean_of(f1, [a + b > 0 for a, b in zip(s, pr)]).alias("macro_f1"),
+        (sum(f1, F.lit(0.0)) / len(labels)).alias("macro_f1_fixed"),
+        _div0(sum((a * b for a, b in zip(f1, s)), F.lit(0.0)), support).alias("weighted_f1"),
+        F.try_divide(F.col("unsafe_eligible_count"), F.nullif(s[0], F.lit(0))).alias("unsafe_eligible_rate"),
+        _div0(pr[1], F.col("n")).alias("manual_review_rate"), (F.col("n") - F.col("_right")).alias("misclassified_count"),
+        *[v.alias(f"{name}_{what}") for k, name in zip(labels, CLASS_KEYS) for what, v in (
+            ("precision", precision[k]), ("recall", recall[k]), ("f1", f1[k]), ("support", s[k]))])
+
+
+def evaluate(cases: DataFrame, by: list[str], conf: float = 0.80, margin: float = 0.15) -> DataFrame:
+    """All three-class metrics for every group, as a long (by, metric, value) table.
+
+    The cases are reduced once to (by, true, predicted) cells with counts and
+    sums; every metric is arithmetic on those. Confidence, margin, flag and
+    review rates are given when the cases have the columns for them.
+    """
+    sums = []
+    metrics = ["n", "accuracy", "balanced_accuracy", "macro_f1", "macro_f1_fixed", "weighted_f1",
+               "unsafe_eligible_count", "unsafe_eligible_rate", "manual_review_rate", "misclassified_count",
+               *[f"{c}_{m}" for c in CLASS_KEYS for m in ("precision", "recall", "f1", "support")]]
+    full = _CASE_COLUMNS <= set(cases.columns)
+    if full:
+        sums = [F.sum("confidence").alias("_sum_conf"), F.sum("top_two_margin").alias("_sum_margin"),
+                F.sum(F.when(F.col("true_label") == F.col("predicted_label"), F.col("confidence"))).alias("_sum_right"),
+                F.count_if(F.col("confidence") < conf).alias("_sum_low"),
+                F.count_if(F.col("top_two_margin") < margin).alias("_sum_close"),
+                F.count_if(F.col("safety_flag_count") > 0).alias("_sum_flag"),
+                F.count_if("requires_human_review").alias("_sum_review")]
+    cells = cases.groupBy(*by, "true_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"), *sums)
+    wide = _measures(cells, by)
+    if full:
+        n, right, wrong = F.col("n"), F.col("_right"), F.col("misclassified_count")
+        rates = {"mean_confidence": (F.col("_sum_conf"), n), "mean_confidence_correct": (F.col("_sum_right"), right),
+                 "mean_confidence_incorrect": (F.col("_sum_conf") - F.coalesce("_sum_right", F.lit(0.0)), wrong),
+                 "mean_top_two_margin": (F.col("_sum_margin"), n), "low_confidence_rate": (F.col("_sum_low"), n),
+                 "close_margin_rate": (F.col("_sum_close"), n), "safety_flag_rate": (F.col("_sum_flag"), n),
+                 "human_review_required_rate": (F.col("_sum_review"), n)}
+        wide = wide.select("*", *[F.try_divide(a, F.nullif(b, F.lit(0))).alias(m) for m, (a, b) in rates.items()])
+        metrics += list(rates)
     stack = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
     return wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(metrics)}, {stack}) AS (metric, value)")
 
 
+# EVL-15 -----------------------------------------------------------------------
+def generated_metrics(outputs: DataFrame, by: list[str], raw: str = "raw") -> DataFrame:
+    """Metrics of generated answers: the leading digit is the class, anything else is invalid and BORDERLINE."""
+    parsed = outputs.select(*by, "true_label", C.parse_generated(raw).alias("_g"))
+    cells = (parsed.groupBy(*by, "true_label", F.col("_g.label").alias("predicted_label"))
+             .agg(F.count(F.lit(1)).alias("n"), F.count_if("_g.invalid").alias("_sum_invalid")))
+    return _measures(cells, by).select(
+        *by, "n", F.col("_sum_invalid").alias("invalid_outputs"), "accuracy", "balanced_accuracy", "macro_f1",
+        "weighted_f1", "unsafe_eligible_count", "unsafe_eligible_rate")
+
+
 # JON-09 -----------------------------------------------------------------------
 def compare(metrics: DataFrame, by: list[str], model: str = "model", base: str = "base",
             tuned: str = "tuned") -> DataFrame:

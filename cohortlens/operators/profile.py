@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
+from cohortlens.operators.dist import checked_broadcast, exact_quantiles
 from cohortlens.session import bounded_broadcast
 
 
@@ -124,6 +125,7 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by: list[str] | None = No
     rng = (rng.withColumn("lo", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")))
               .withColumn("hi", F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")))
               .drop("_lo0", "_hi0"))
+    rng = checked_broadcast(rng)  # one row per group; the values are not moved for a few hot groups
     joined = data.join(rng, by, "inner") if by else _with_scalar(data, rng)
     binned = joined.withColumn(
         "bin", F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
@@ -144,7 +146,11 @@ def unit_histogram(df: DataFrame, col: str, by: list[str] | None = None) -> Data
     data = df.select(*by, v.alias("value")).filter(F.col("value").isNotNull())
     counts = data.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
     rng = data.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    grid = rng.select(*by, F.explode(F.sequence("_lo", "_hi")).alias("value"))
+    # Two steps, so that a wide range is rows of the result but never one array.
+    block = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr("(_hi - _lo) div 4096"))).alias("_b"))
+    start = F.col("_lo") + F.col("_b") * 4096
+    grid = block.select(*by, F.explode(F.sequence(start, F.least(start + 4095, F.col("_hi")))).alias("value"))
     return grid.join(counts, by + ["value"], "left").select(
         *by, "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -172,12 +178,35 @@ def counts_per_person(df: DataFrame, name: str = "n") -> DataFrame:
 
 
 # AGG-07 -----------------------------------------------------------------------
-def top_by_persons(df: DataFrame, name: str, id_col: str, n: int = 20, count_name: str = "occurrence_count",
-                   person: str = "person_id", approx: bool = False) -> DataFrame:
-    """Rank names by distinct patients, then occurrences; name breaks ties."""
-    distinct = F.approx_count_distinct(person) if approx else F.countDistinct(person)
-    agg = df.groupBy(name).agg(F.count(id_col).alias(count_name), distinct.alias("patient_count"))
-    return agg.orderBy(F.desc("patient_count"), F.desc(count_name), F.asc(name)).limit(n)
+def name_ids(concept: DataFrame, name: str = "concept_name") -> DataFrame:
+    """(_cid, _nid, name): every concept with the smallest id that carries the same name."""
+    named = concept.select(F.col("concept_id").alias("_cid"), F.col("concept_name").alias(name))
+    first = named.groupBy(name).agg(F.min("_cid").alias("_nid"))
+    return named.join(first, name)
+
+
+def _counted_per_person(df: DataFrame, key: str, ids: DataFrame, id_col: str, person: str) -> DataFrame:
+    """(_nid, person, _n): events reduced to numbers before any name is touched; unmatched keys have a null ``_nid``."""
+    slim = df.select(F.col(key).alias("_key"), person, id_col)
+    mapped = slim.join(bounded_broadcast(ids.select("_cid", "_nid")), F.col("_key") == F.col("_cid"), "left")
+    return mapped.groupBy("_nid", person).agg(F.count(id_col).alias("_n"))
+
+
+def top_by_persons(df: DataFrame, key: str, concept: DataFrame, id_col: str, fallback: str, n: int = 20,
+                   count_name: str = "occurrence_count", person: str = "person_id") -> DataFrame:
+    """Rank names by distinct patients, then occurrences; name breaks ties.
+
+    Events are counted per (name id, person), then per name id; names join
+    the few counted rows. Unmatched keys count under ``fallback``, which must
+    not itself name a concept.
+    """
+    ids = name_ids(concept)
+    agg = (_counted_per_person(df, key, ids, id_col, person).groupBy("_nid")
+           .agg(F.sum("_n").alias(count_name), F.count(person).alias("patient_count")))
+    names = ids.filter("_cid = _nid").select(F.col("_nid").alias("_id"), "concept_name")
+    return (agg.join(names, F.col("_nid") == F.col("_id"), "left")
+            .select(C.name_or("concept_name", fallback).alias("concept_name"), count_name, "patient_count")
+            .orderBy(F.desc("patient_count"), F.desc(count_name), F.asc("concept_name")).limit(n))
 
 
 # AGG-08 -----------------------------------------------------------------------
@@ -197,19 +226,19 @@ def measurement_totals(named: DataFrame, name: str = "concept_name") -> DataFram
 def iqr_fence(df: DataFrame, col: str, by: list[str], k: float = 3.0, approx: bool = False) -> DataFrame:
     """Keep values within [q1 - k*iqr, q3 + k*iqr] of their group when iqr > 0.
 
-    Quartiles are exact (linear interpolation) unless ``approx``; they are
-    computed once per group and joined back by the group key.
+    Quartiles are exact (linear interpolation, from value counts) unless
+    ``approx``; one row per group is joined back, broadcast when counted small,
+    so that a group holding most rows is not moved.
     """
     v = F.col(col)
     if approx:
-        q = F.percentile_approx(v, [0.25, 0.75], 10000)
+        quart = (df.filter(v.isNotNull()).groupBy(*by).agg(F.percentile_approx(v, [0.25, 0.75], 10000).alias("_q"))
+                 .select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))
     else:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    quart = (df.filter(v.isNotNull()).groupBy(*by).agg(q.alias("_q"))
-             .select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))
+        quart = exact_quantiles(df, by, col, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     keep = (iqr <= 0) | v.between(F.col("q1") - k * iqr, F.col("q3") + k * iqr)
-    return df.filter(v.isNotNull()).join(quart, by, "inner").filter(keep).drop("q1", "q3")
+    return df.filter(v.isNotNull()).join(checked_broadcast(quart), by, "inner").filter(keep).drop("q1", "q3")
 
 
 # AGG-10 -----------------------------------------------------------------------
@@ -245,23 +274,29 @@ def band_share(df: DataFrame, count_col: str) -> DataFrame:
 
 
 # AGG-13 -----------------------------------------------------------------------
-def band_matrix(events: DataFrame, person_bands: DataFrame, name: str = "concept_name", n: int = 10) -> DataFrame:
+def band_matrix(events: DataFrame, key: str, concept: DataFrame, person_bands: DataFrame, n: int = 10) -> DataFrame:
     """Age band x top-n name matrix of distinct patients (long form, zero-filled).
 
-    ``events`` has person_id and ``name``; ``person_bands`` person_id and age_group.
+    ``events`` has person_id and the concept ``key``; ``person_bands`` one
+    row per person_id with age_group. One pass over the events: they become
+    distinct (name id, person), then one row per name id with a count for
+    each band, from which both the top list and the cells are read.
     """
-    named = events.join(person_bands, "person_id", "left").filter(
-        F.col(name).isNotNull() & F.col("age_group").isNotNull())
-    top = (named.groupBy(name).agg(F.countDistinct("person_id").alias("_p"))
-           .orderBy(F.desc("_p"), F.asc(name)).limit(n)
-           .withColumn("name_rank", F.row_number().over(Window.orderBy(F.desc("_p"), F.asc(name)))))
-    cells = (keep_top(named, top, name).groupBy("age_group", name)
-             .agg(F.countDistinct("person_id").alias("patient_count")))
-    bands = F.array(*[F.lit(label) for _, label in C.AGE_BANDS])
-    grid = top.select(name, "name_rank", F.posexplode(bands).alias("band_order", "age_group"))
-    return grid.join(cells, ["age_group", name], "left").select(
-        "band_order", "age_group", "name_rank", name,
-        F.coalesce("patient_count", F.lit(0)).cast("long").alias("patient_count"))
+    bands = [label for _, label in C.AGE_BANDS]
+    ids = name_ids(concept).filter("concept_name IS NOT NULL")
+    pairs = _counted_per_person(events, key, ids, key, "person_id").filter("_nid IS NOT NULL")
+    banded = pairs.join(person_bands.filter("age_group IS NOT NULL"), "person_id")
+    wide = banded.groupBy("_nid").agg(F.count(F.lit(1)).alias("_all"), *[
+        F.count_if(F.col("age_group") == b).alias(f"_b{i}") for i, b in enumerate(bands)])
+    names = ids.filter("_cid = _nid").select(F.col("_nid").alias("_id"), "concept_name")
+    top = (wide.join(names, F.col("_nid") == F.col("_id"))
+           .orderBy(F.desc("_all"), F.asc("concept_name")).limit(n)
+           .withColumn("name_rank", F.row_number().over(Window.orderBy(F.desc("_all"), F.asc("concept_name")))))
+    cells = F.array(*[F.struct(F.lit(b).alias("age_group"), F.col(f"_b{i}").alias("patient_count"))
+                      for i, b in enumerate(bands)])
+    return (top.select("concept_name", "name_rank", F.posexplode(cells).alias("band_order", "_c"))
+            .select("band_order", "_c.age_group", "name_rank", "concept_name",
+                    F.col("_c.patient_count").cast("long").alias("patient_count")))
 
 
 # AGG-14 -----------------------------------------------------------------------
@@ -296,13 +331,15 @@ def note_features(note: DataFrame, concept: DataFrame) -> DataFrame:
 
 
 def note_summary(features: DataFrame) -> DataFrame:
+    """Corpus statistics. Patients come from the per-person counts, medians from one buffer of value counts
+    (lengths are small integers), so no buffer is shuffled per person."""
     per_person = features.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"))
     corpus = features.agg(
-        F.count(F.lit(1)).alias("notes"), F.countDistinct("person_id").alias("patients"),
+        F.count(F.lit(1)).alias("notes"),
         F.avg("note_length").alias("mean_chars"), F.median("note_length").alias("median_chars"),
         F.max("note_length").alias("max_chars"), F.avg("word_count").alias("mean_words"),
         F.median("word_count").alias("median_words"), F.max("word_count").alias("max_words"))
-    pp = per_person.agg(F.avg("_n").alias("mean_notes_per_patient"),
+    pp = per_person.agg(F.count("person_id").alias("patients"), F.avg("_n").alias("mean_notes_per_patient"),
                         F.median("_n").alias("median_notes_per_patient"),
                         F.max("_n").alias("max_notes_per_patient"))
     return _with_scalar(corpus, pp)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
-from cohortlens.operators.profile import with_concept
+from cohortlens.session import bounded_broadcast
 
 # Rule thresholds.
 MULTIMORBIDITY_MIN = 3
@@ -123,11 +123,13 @@ def person_flags(tables: dict[str, DataFrame], specialty_map=None) -> DataFrame:
         (F.col("n_visits") < F.col("_median_visits")).alias("sparse_visits"),
         (F.col("n_trendable_measurements") > 0).alias("trend_possible"))
     if specialty_map is not None:
-        named = with_concept(cond.filter(F.col("condition_concept_id") != 0), "condition_concept_id",
-                             tables["concept"], "condition_name")
-        spec = named.select("person_id", specialty(F.col("condition_name"), specialty_map).alias("_s"))
-        s_agg = spec.filter(F.col("_s").isNotNull()).groupBy("person_id").agg(
-            F.countDistinct("_s").alias("n_specialties"))
+        # The keyword lists run once per vocabulary entry, not per fact row.
+        routed = (tables["concept"].select(F.col("concept_id").alias("_cid"),
+                                           specialty(F.col("concept_name"), specialty_map).alias("_s"))
+                  .filter("_s IS NOT NULL AND _cid <> 0"))
+        spec = cond.select("person_id", "condition_concept_id").join(
+            bounded_broadcast(routed), F.col("condition_concept_id") == F.col("_cid"))
+        s_agg = spec.groupBy("person_id").agg(F.countDistinct("_s").alias("n_specialties"))
         out = (out.join(s_agg, "person_id", "left").fillna(0, subset=["n_specialties"])
                .withColumn("multi_specialty", F.col("n_specialties") > 1))
     return out

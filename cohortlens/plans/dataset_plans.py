@@ -117,25 +117,56 @@ def prj_16(cdm):
     return d.select("doc_id", C.challenge_label(is_stop, ev).alias("challenge_label"))
 
 
-@query("prj_17_normalised_samples", """
-  SELECT coalesce(CAST(CASE WHEN d.doc_id % 4 <> 0 THEN d.doc_id END AS VARCHAR),
-                  left(sha256(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g')))), 16)) AS sample_id,
-         sha256(d.text) AS text_hash,
-         CAST(CASE WHEN lb.toxic = 1 THEN 0 WHEN lb.quality = 1 THEN 2 ELSE 1 END AS INTEGER) AS label,
-         CASE WHEN lb.toxic = 1 THEN 'NOT_ELIGIBLE' WHEN lb.quality = 1 THEN 'ELIGIBLE' ELSE 'BORDERLINE' END AS label_name,
-         'pifu_synthetic_training' AS source
-  FROM labels lb JOIN documents d ON lb.doc_id = d.doc_id""")
+def _training_rows(cdm, unknown: bool = False):
+    """Labelled documents in the nested shape of training rows; every 13th label is unknown on request."""
+    d = cdm.raw("labels").join(cdm.raw("documents"), "doc_id")
+    name = (F.when(F.col("toxic") == 1, "not_eligible").when(F.col("quality") == 1, "eligible").otherwise("borderline"))
+    if unknown:
+        name = F.when(F.col("doc_id") % 13 == 0, "unsure").otherwise(name)
+    ident = F.when(F.col("doc_id") % 4 != 0, F.col("doc_id").cast("string")).otherwise(F.lit(""))
+    return d.select("doc_id", F.col("text").alias("input"),
+                    F.struct(F.struct(name.alias("eligibility")).alias("pifu_assessment")).alias("expected_output"),
+                    F.create_map(F.lit("document_id"), ident, F.lit("lang"), F.col("lang")).alias("metadata"))
+
+
+@query("prj_17_normalised_samples", f"""
+  , t AS (SELECT d.doc_id, d.text, d.lang, d.source,
+                 CASE WHEN lb.toxic = 1 THEN 0 WHEN lb.quality = 1 THEN 2 ELSE 1 END AS k
+          FROM labels lb JOIN documents d ON lb.doc_id = d.doc_id),
+  u AS (SELECT CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id AS VARCHAR)
+                    ELSE left(sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 16) END AS sample_id,
+               text, k, 'pifu_synthetic_training' AS source, lang AS meta FROM t
+        UNION ALL SELECT 'eval_' || CAST(doc_id AS VARCHAR), text, k, 'eval_sample_150_v3', lang FROM t
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), text, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END, 'edge_case', 'false'
+                  FROM t)
+  SELECT sample_id, sha256(text) AS text_hash, CAST(k AS INTEGER) AS label,
+         CASE k WHEN 0 THEN 'NOT_ELIGIBLE' WHEN 1 THEN 'BORDERLINE' ELSE 'ELIGIBLE' END AS label_name, source, meta
+  FROM u""".replace("  , t AS", "  WITH t AS", 1))
 def prj_17(cdm):
-    """Training rows -> sample records (document id, else first 16 normalised-hash characters)."""
-    lab = cdm.raw("labels")
-    d = cdm.raw("documents")
-    raw = lab.join(d, "doc_id").select(
-        F.col("text").alias("input"),
-        F.when(F.col("toxic") == 1, "not_eligible").when(F.col("quality") == 1, "eligible")
-        .otherwise("borderline").alias("eligibility"),
-        F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")).alias("document_id"))
-    s = D.normalise_training(raw)
-    return s.select("sample_id", F.sha2("text", 256).alias("text_hash"), "label", "label_name", "source")
+    """Training, external-test and challenge rows -> one sample shape (id, text, label, source, metadata)."""
+    rows = _training_rows(cdm)
+    external = rows.select(F.col("doc_id").alias("_idx"), "input", "metadata",
+                           F.col("expected_output.pifu_assessment.eligibility").alias("_class"))
+    challenge = rows.select(F.col("doc_id").alias("document_id"), F.col("input").alias("document_content"),
+                            (F.col("doc_id") % 2 == 0).alias("is_clock_stop"),
+                            F.lit(C.PIFU_EVENT).alias("clock_stop_event_type"))
+    out = None
+    for part, field in ((D.training_samples(rows), "lang"), (D.external_samples(external), "lang"),
+                        (D.challenge_samples(challenge, "edge_case"), "hard_negative")):
+        part = part.select("sample_id", F.sha2("text", 256).alias("text_hash"), "label", "label_name", "source",
+                           F.try_element_at("metadata", F.lit(field)).alias("meta"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("prj_17_unknown_labels", """
+  SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, 'UNSURE' AS label_name
+  FROM labels lb JOIN documents d ON lb.doc_id = d.doc_id WHERE d.doc_id % 13 = 0 AND d.doc_id % 4 <> 0""")
+def prj_17_unknown(cdm):
+    """Training rows with a label outside the label space (planted), by document id."""
+    bad = D.unknown_labels(D.training_samples(_training_rows(cdm, unknown=True)))
+    given = F.try_element_at("metadata", F.lit("document_id"))
+    return bad.select(given.alias("doc_id"), "label_name").filter("doc_id <> ''")
 
 
 _TEMPLATE = "Clinic letter:\n{text}\n\nReturn only 0, 1, or 2:"

@@ -305,16 +305,32 @@ def evl_12(cdm):
     return _rounded(E.report(pc, BY, dict(enumerate(C.LABEL_NAMES))))
 
 
-_EVAL_LONG = """SELECT model, split, metric, value FROM (
-    SELECT o.model, o.split, o.accuracy, o.balanced_accuracy, o.macro_f1, o.macro_f1_fixed, o.weighted_f1,
-           CAST(u.unsafe_eligible_count AS DOUBLE) AS unsafe_eligible_count, u.unsafe_eligible_rate, u.manual_review_rate
-    FROM ov3 o JOIN us3 u ON o.model = u.model AND o.split = u.split)
-  UNPIVOT INCLUDE NULLS (value FOR metric IN (accuracy, balanced_accuracy, macro_f1, macro_f1_fixed, weighted_f1,
-                                              unsafe_eligible_count, unsafe_eligible_rate, manual_review_rate))"""
+register_view("cf3", ["cases3"], """
+  SELECT model, split, avg(confidence) AS mean_confidence,
+         avg(confidence) FILTER (WHERE true_label = predicted_label) AS mean_confidence_correct,
+         avg(confidence) FILTER (WHERE true_label <> predicted_label) AS mean_confidence_incorrect,
+         avg(top_two_margin) AS mean_top_two_margin, avg((confidence < 0.8)::INT) AS low_confidence_rate,
+         avg((top_two_margin < 0.15)::INT) AS close_margin_rate, avg((safety_flag_count > 0)::INT) AS safety_flag_rate,
+         CAST(1.0 AS DOUBLE) AS human_review_required_rate,
+         CAST(count(*) FILTER (WHERE true_label <> predicted_label) AS DOUBLE) AS misclassified_count
+  FROM cases3 GROUP BY 1, 2""")
+
+_CLASS_SQL = ", ".join(f"CAST(max({m}) FILTER (WHERE label = {k}) AS DOUBLE) AS {c}_{m}"
+                       for k, c in enumerate(E.CLASS_KEYS) for m in ("precision", "recall", "f1", "support"))
+
+_EVAL_LONG = f"""SELECT model, split, metric, value FROM (
+    SELECT o.model, o.split, CAST(o.n AS DOUBLE) AS n, o.accuracy, o.balanced_accuracy, o.macro_f1, o.macro_f1_fixed,
+           o.weighted_f1, CAST(u.unsafe_eligible_count AS DOUBLE) AS unsafe_eligible_count, u.unsafe_eligible_rate,
+           u.manual_review_rate, c.* EXCLUDE (model, split), f.* EXCLUDE (model, split)
+    FROM ov3 o JOIN us3 u ON o.model = u.model AND o.split = u.split
+    JOIN (SELECT model, split, {_CLASS_SQL} FROM pc3 GROUP BY 1, 2) c ON o.model = c.model AND o.split = c.split
+    JOIN cf3 f ON o.model = f.model AND o.split = f.split)
+  UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(* EXCLUDE (model, split))))"""
+_EVAL_VIEWS = ("ov3", "us3", "pc3", "cf3")
 
 
 @query("evl_14_evaluate", with_views(f"SELECT model, split, metric, round(value, 6) AS value FROM ({_EVAL_LONG})",
-                                     "ov3", "us3"))
+                                     *_EVAL_VIEWS))
 def evl_14(cdm):
     """All three-class metrics for every (model, split) in one pass, long form."""
     return E.evaluate(cases3(cdm), BY).withColumn("value", R("value"))
@@ -325,7 +341,7 @@ def evl_14(cdm):
   SELECT coalesce(b.split, t.split) AS split, coalesce(b.metric, t.metric) AS metric, round(b.value, 6) AS base,
          round(t.value, 6) AS tuned, round(t.value - b.value, 6) AS delta
   FROM (SELECT * FROM m WHERE model = 'base') b FULL OUTER JOIN (SELECT * FROM m WHERE model = 'tuned') t
-    ON b.split = t.split AND b.metric = t.metric""", "ov3", "us3"))
+    ON b.split = t.split AND b.metric = t.metric""", *_EVAL_VIEWS))
 def jon_09(cdm):
     """Base vs tuned model per (split, metric) with the delta."""
     out = E.compare(E.evaluate(cases3(cdm), BY), ["split"])
@@ -334,7 +350,7 @@ def jon_09(cdm):
 
 @query("prj_26_finite_metrics", with_views(f"""
   SELECT model, split, 'external_' || metric AS metric, round(value, 6) AS value FROM ({_EVAL_LONG})
-  WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE""", "ov3", "us3"))
+  WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 'inf'::DOUBLE""", *_EVAL_VIEWS))
 def prj_26(cdm):
     """Finite scalar metrics only (null / NaN / infinite dropped), names prefixed."""
     out = E.finite_metrics(E.evaluate(cases3(cdm), BY), "external_")
@@ -347,19 +363,38 @@ def prj_26(cdm):
           FROM cases3),
   p AS (SELECT model, split, true_label, regexp_matches(trim(raw), '^[012]') AS ok,
                CASE WHEN regexp_matches(trim(raw), '^[012]') THEN CAST(left(trim(raw), 1) AS INTEGER) ELSE 1 END AS predicted_label
-        FROM g)
-  SELECT model, split, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS invalid_outputs,
-         round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-  FROM p GROUP BY 1, 2""", "cases3"))
+        FROM g),
+  k AS (SELECT model, split, label, count(*) FILTER (WHERE true_label = label) AS s,
+               count(*) FILTER (WHERE predicted_label = label) AS q,
+               count(*) FILTER (WHERE true_label = label AND predicted_label = label) AS t
+        FROM p, (VALUES (0), (1), (2)) v(label) GROUP BY ALL),
+  m AS (SELECT model, split, avg(t / s) FILTER (WHERE s > 0) AS balanced_accuracy,
+               avg(2 * t / (s + q)) FILTER (WHERE s + q > 0) AS macro_f1,
+               sum(CASE WHEN s + q > 0 THEN 2 * t / (s + q) * s ELSE 0 END) / sum(s) AS weighted_f1 FROM k GROUP BY ALL),
+  o AS (SELECT model, split, count(*) AS n, count(*) FILTER (WHERE NOT ok) AS invalid_outputs,
+               avg((true_label = predicted_label)::INT) AS accuracy,
+               count(*) FILTER (WHERE true_label = 0 AND predicted_label = 2) AS unsafe_eligible_count,
+               count(*) FILTER (WHERE true_label = 0) AS negatives FROM p GROUP BY ALL)
+  SELECT model, split, CAST(n AS BIGINT) AS n, CAST(invalid_outputs AS BIGINT) AS invalid_outputs,
+         round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, round(macro_f1, 6) AS macro_f1,
+         round(weighted_f1, 6) AS weighted_f1, CAST(unsafe_eligible_count AS BIGINT) AS unsafe_eligible_count,
+         round(unsafe_eligible_count / nullif(negatives, 0), 6) AS unsafe_eligible_rate
+  FROM o JOIN m USING (model, split)""", "cases3"))
 def evl_15(cdm):
     """Generation-mode evaluation: leading-digit parse, invalid outputs routed to BORDERLINE and counted."""
-    c = cases3(cdm)
     raw = F.when(F.col("doc_id") % 11 == 0, F.lit("maybe")).otherwise(
         F.concat(F.col("predicted_label").cast("string"), F.lit(" - rationale")))
-    g = c.select("model", "split", "true_label", C.parse_generated(raw).alias("g"))
-    g = g.select("model", "split", "true_label", F.col("g.label").alias("predicted_label"), F.col("g.invalid").alias("invalid"))
-    return g.groupBy(*BY).agg(F.count_if("invalid").alias("invalid_outputs"),
-                              R(F.avg((F.col("true_label") == F.col("predicted_label")).cast("double"))).alias("accuracy"))
+    return _rounded(E.generated_metrics(cases3(cdm).select("model", "split", "true_label", raw.alias("raw")), BY))
+
+
+@query("evl_01_off_grid", with_views("""
+  SELECT sample_id, model, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 7 ELSE true_label END AS true_label
+  FROM cases3 WHERE doc_id % 13 = 0 OR doc_id % 17 = 0""", "cases3"))
+def evl_01_off_grid(cdm):
+    """Cases that no confusion cell counts: null or unknown labels (planted by id)."""
+    planted = (F.when(F.col("doc_id") % 13 == 0, F.lit(None).cast("int")).when(F.col("doc_id") % 17 == 0, F.lit(7))
+               .otherwise(F.col("true_label")))
+    return E.off_grid(cases3(cdm).withColumn("true_label", planted)).select("sample_id", "model", "true_label")
 
 
 # ---------------------------------------------------------------- EVL-06..10 / 13 / PRJ-24

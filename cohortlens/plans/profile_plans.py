@@ -211,16 +211,16 @@ def _top_sql(table, key, id_col, count_name, fallback, n):
                                           "exposure_count", C.UNMAPPED_MEDICATION, 20))
 def agg_07_meds(cdm):
     """Top-20 medications by distinct patients, then exposures."""
-    named = _named(cdm, "drug_exposure", "drug_concept_id", C.UNMAPPED_MEDICATION)
-    return P.top_by_persons(named, "concept_name", "drug_exposure_id", 20, "exposure_count")
+    return P.top_by_persons(cdm.drug_exposure, "drug_concept_id", cdm.concept, "drug_exposure_id",
+                            C.UNMAPPED_MEDICATION, 20, "exposure_count")
 
 
 @query("agg_07_top_conditions", _top_sql("condition_occurrence", "condition_concept_id",
                                          "condition_occurrence_id", "occurrence_count", C.UNMAPPED_CONDITION, 20))
 def agg_07_conds(cdm):
     """Top-20 conditions by distinct patients, then occurrences."""
-    named = _named(cdm, "condition_occurrence", "condition_concept_id", C.UNMAPPED_CONDITION)
-    return P.top_by_persons(named, "concept_name", "condition_occurrence_id", 20, "occurrence_count")
+    return P.top_by_persons(cdm.condition_occurrence, "condition_concept_id", cdm.concept, "condition_occurrence_id",
+                            C.UNMAPPED_CONDITION, 20, "occurrence_count")
 
 
 # ---------------------------------------------------------------- AGG-08 / AGG-10
@@ -311,9 +311,8 @@ def agg_13(cdm):
     """Age band x top-10 condition matrix of distinct patients, zero-filled."""
     valid = cdm.condition_occurrence.filter(F.col("condition_concept_id").isNotNull()
                                             & (F.col("condition_concept_id") != 0))
-    named = P.with_concept(valid, "condition_concept_id", cdm.concept)
-    bands = persons_with_bands(cdm).select("person_id", "age_group")
-    out = P.band_matrix(named.select("person_id", "concept_name"), bands, "concept_name", 10)
+    bands = cdm.person.select("person_id", C.age_band(C.age("year_of_birth")).alias("age_group"))
+    out = P.band_matrix(valid, "condition_concept_id", cdm.concept, bands, 10)
     return out.withColumn("name_rank", F.col("name_rank").cast("int"))
 
 
