@@ -4,6 +4,8 @@ whole-stage codegen and never leave the executor."""
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,7 +97,7 @@ def char_len(text) -> Column:
 
 def word_count(text) -> Column:
     """Whitespace word count, equal to ``len(str.split())``."""
-    return F.size(F.filter(F.split(col_(text), r"\s+"), lambda w: w != ""))
+    return F.regexp_count(col_(text), F.lit(r"\S+"))
 
 
 # PRJ-11 -------------------------------------------------------------------
@@ -122,9 +124,13 @@ def shorten(text, width: int, placeholder: str = "...") -> Column:
 # PRJ-12 -------------------------------------------------------------------
 def keyword_hits(text, keywords: list[str]) -> Column:
     """Number of distinct keywords contained in the lower-cased text."""
-    low = F.lower(col_(text))
-    arr = F.array(*[F.lit(k.lower()) for k in dict.fromkeys(keywords)])
-    return F.aggregate(arr, F.lit(0), lambda acc, k: acc + F.when(F.instr(low, k) > 0, 1).otherwise(0))
+    low = F.coalesce(F.lower(col_(text)), F.lit(""))
+    return sum((low.contains(k.lower()).cast("int") for k in dict.fromkeys(keywords)), F.lit(0))
+
+
+def contains_any(lowered: Column, words: list[str]) -> Column:
+    """Whether any of the words occurs; plain ORs, which stay in generated code."""
+    return reduce(or_, [lowered.contains(w.lower()) for w in words])
 
 
 def provisional_label(text, positive: list[str], negative: list[str]) -> Column:
@@ -140,17 +146,12 @@ def binary_label_name(label) -> Column:
 
 
 # PRJ-13 -------------------------------------------------------------------
-def topic_pattern(keywords: list[str]) -> str:
-    return "|".join(re.escape(k.lower()) for k in keywords)
-
-
 def topic_flags(df, text: str, topics: dict[str, list[str]], lowered: bool = False):
     """One boolean column per topic: any keyword contained (case-insensitive)."""
     low = F.coalesce(F.lower(F.col(text)), F.lit(""))
     cols = []
     for name, words in topics.items():
-        arr = F.array(*[F.lit(w.lower()) for w in words])
-        cols.append(F.exists(arr, lambda w: F.instr(low, w) > 0).alias(name))
+        cols.append(contains_any(low, words).alias(name))
     return df.select("*", *cols)
 
 
@@ -163,8 +164,7 @@ def route(name, ordered_map: list[tuple[str, list[str]]], word_boundary: bool =
         if word_boundary:
             cond = low.rlike(r"\b(" + "|".join(re.escape(w.lower()) for w in words) + r")\b")
         else:
-            arr = F.array(*[F.lit(w.lower()) for w in words])
-            cond = F.exists(arr, lambda w: F.instr(low, w) > 0)
+            cond = contains_any(low, words)
         expr = F.when(cond, specialty) if expr is None else expr.when(cond, specialty)
     return expr
 

@@ -45,9 +45,11 @@ def select_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET)
     """
     pri = priority_cases(cases, by, budget)
     n_pri = pri.groupBy(*by).agg(F.count(F.lit(1)).alias("_n_pri"))
-    rest = cases.join(pri.select(*by, "sample_id"), by + ["sample_id"], "left_anti")
-    bucketed = top_k_per_group(rest, by + ["split", "predicted_label"], _case_order(), budget,
-                               salt_by="sample_id", out="_bucket_rank")
+    # A bucket's best rows, with as many more as priority cases may be among them: the anti join sees only those.
+    deep = top_k_per_group(cases, by + ["split", "predicted_label"], _case_order(), budget + max(1, budget // 2),
+                           salt_by="sample_id", out="_deep").drop("_deep")
+    rest = deep.join(pri.select(*by, "sample_id"), by + ["sample_id"], "left_anti")
+    bucketed = top_k_per_group(rest, by + ["split", "predicted_label"], _case_order(), budget, out="_bucket_rank")
     fill = top_k_per_group(bucketed, by, [F.col("_bucket_rank"), F.col("split"), F.col("predicted_label")],
                            budget, out="_fill_order")
     fill = (fill.join(n_pri, by, "left").withColumn("_n_pri", F.coalesce("_n_pri", F.lit(0)))
@@ -58,6 +60,17 @@ def select_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET)
     return pri.unionByName(fill)
 
 
+# Texts that stand for a missing explanation or judgement.
+NO_EXPLANATION = "Automated narrative explanation was unavailable."
+NO_JUDGE = "LLM-as-a-Judge evaluation was unavailable:"
+
+
+def availability(df: DataFrame, summary: str = "clinical_summary", judged: str = "judge_summary") -> DataFrame:
+    """Whether a real explanation and a real judgement are there; missing text counts as not there."""
+    return df.select("*", F.coalesce(F.col(summary) != NO_EXPLANATION, F.lit(False)).alias("explanation_available"),
+                     F.coalesce(~F.col(judged).startswith(NO_JUDGE), F.lit(False)).alias("judge_available"))
+
+
 # PRJ-25 -----------------------------------------------------------------------
 def check_judge(judge: DataFrame) -> DataFrame:
     """Pass <=> all four scores >= 4 and no hallucination (judge available)."""

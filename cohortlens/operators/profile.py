@@ -57,11 +57,6 @@ def with_counts(base: DataFrame, counts: DataFrame, key: str, count_col: str) ->
             .withColumn(count_col, F.coalesce(F.col(count_col), F.lit(0)).cast("long")))
 
 
-def with_person(df: DataFrame, person: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach person attributes (a shuffle join on person_id at scale; AQE splits skew)."""
-    return df.join(person.select("person_id", *cols), "person_id", "left")
-
-
 def keep_top(df: DataFrame, top: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in a top-k list (k is small and fixed: broadcast)."""
     return df.join(F.broadcast(top.select(key).distinct()), key, "left_semi")
@@ -173,10 +168,6 @@ def events_per_person(domains: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def counts_per_person(df: DataFrame, name: str = "n") -> DataFrame:
-    return df.groupBy("person_id").agg(F.count(F.lit(1)).alias(name))
-
-
 # AGG-07 -----------------------------------------------------------------------
 def name_ids(concept: DataFrame, name: str = "concept_name") -> DataFrame:
     """(_cid, _nid, name): every concept with the smallest id that carries the same name."""

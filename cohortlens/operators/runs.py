@@ -39,13 +39,18 @@ def run_responses(results: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 # AGG-22 -----------------------------------------------------------------------
 def run_status(steps: DataFrame, run: str = "run_id") -> DataFrame:
-    """partial_success when a run has failures and successes, failed when only failures, else success."""
+    """partial_success when a run has failures and successes, failed when only failures, else success.
+
+    Flags: results are always research outputs and for clinicians to review; after a failure they may be incomplete.
+    """
     s = F.col("status")
     agg = steps.groupBy(run).agg(F.count_if(s == "failed").alias("n_failed"),
                                  F.count_if(s == "succeeded").alias("n_succeeded"),
                                  F.count_if(s == "skipped").alias("n_skipped"))
     return agg.withColumn("run_status", F.when((F.col("n_failed") > 0) & (F.col("n_succeeded") > 0), "partial_success")
-                          .when(F.col("n_failed") > 0, "failed").otherwise("success"))
+                          .when(F.col("n_failed") > 0, "failed").otherwise("success")).select(
+        "*", F.lit(True).alias("research_output"), F.lit(True).alias("needs_clinician_review"),
+        (F.col("n_failed") > 0).alias("may_be_incomplete"))
 
 
 # AGG-23 -----------------------------------------------------------------------
@@ -61,15 +66,13 @@ def step_totals(steps: DataFrame, run: str = "run_id") -> DataFrame:
 
 # WIN-06 / SRC-11 ----------------------------------------------------------------
 def last_bundle(bundles: DataFrame, keys: list[str], order: str = "source") -> DataFrame:
-    """Deduplicate on keys + source, then keep the last bundle (by ``order``) per key."""
-    dedup = bundles.dropDuplicates(keys + [order])
-    others = [c for c in dedup.columns if c not in keys]
-    return (dedup.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_b"))
-            .select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others]))
+    """The last bundle (by ``order``) per key; copies of one source count once, as only one row per key is kept."""
+    return latest(bundles, keys, order)
 
 
 def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Newest row per key by timestamp (``max_by``: one pass, partial aggregation)."""
+    """Newest row per key by timestamp (``max_by``: one pass, partial aggregation); equal times: greatest row hash."""
     others = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ts)).alias("_b"))
+    place = F.struct(F.col(ts), F.xxhash64(*others))
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), place).alias("_b"))
             .select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others]))

@@ -9,6 +9,8 @@ and ``label_batches`` run a pluggable function over Arrow batches with
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -27,6 +29,7 @@ REVIEW_MORE = " Additional review triggers: "
 SUM_TOLERANCE = 1e-3
 CONFIDENCE_TOLERANCE = 1e-4
 MAX_LABEL_ATTEMPTS = 6
+BASE_WAIT_SECONDS, MAX_WAIT_SECONDS = 2.0, 60.0
 
 
 # PRJ-19 -----------------------------------------------------------------------
@@ -72,6 +75,15 @@ def check_predictions(df: DataFrame, probs: str = "probs") -> DataFrame:
     return df.withColumn("violations", rules).filter(F.size("violations") > 0)
 
 
+def check_reports(df: DataFrame) -> DataFrame:
+    """Reports breaking a report rule: marked for research only, and reviewed by a human when the safety check asks so."""
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = F.array_compact(F.array(
+        F.when(known("requires_human_review") & ~known("human_review_required"), F.lit("human_review_not_required")),
+        F.when(~known("research_use_only"), F.lit("not_research_only"))))
+    return df.withColumn("violations", rules).filter(F.size("violations") > 0)
+
+
 # PRJ-23 -----------------------------------------------------------------------
 def review_flags(df: DataFrame, conf: float = C.CONFIDENCE_THRESHOLD, margin: float = C.MARGIN_THRESHOLD) -> DataFrame:
     flags = F.array_compact(F.array(
@@ -102,9 +114,13 @@ def score_batches(df: DataFrame, model_fn: Callable[[], Callable[[pd.Series], li
 
 # UDF-02 -----------------------------------------------------------------------
 def label_batches(df: DataFrame, label_fn: Callable[[str], int | None], text: str = "text", key: str = "note_id",
-                  retries: int = MAX_LABEL_ATTEMPTS) -> DataFrame:
+                  retries: int = MAX_LABEL_ATTEMPTS, base_wait: float = BASE_WAIT_SECONDS) -> DataFrame:
     """Label each row with bounded retries: after ``retries`` failures the row is
-    unresolved / api_failure; a None answer is unresolved / labeller_uncertain."""
+    unresolved / api_failure; a None answer is unresolved / labeller_uncertain.
+
+    Between attempts a task waits ``base_wait`` * 2^attempt seconds and up to one
+    more, at most ``MAX_WAIT_SECONDS``; 0 turns waiting off (labellers without a service).
+    """
     schema = (f"{key} long, status string, label int, label_failed boolean, error_type string, "
               "unresolved_reason string, attempts int")
 
@@ -119,6 +135,8 @@ def label_batches(df: DataFrame, label_fn: Callable[[str], int | None], text: st
                         break
                     except Exception as exc:  # noqa: BLE001 - any failure is retried
                         err = type(exc).__name__
+                        if base_wait and attempts < retries:
+                            time.sleep(min(MAX_WAIT_SECONDS, base_wait * 2 ** (attempts - 1) + random.random()))
                 failed = err is not None
                 if label is None:
                     rows.append((int(k), "unresolved", None, failed, err,

@@ -538,4 +538,4 @@ def udf_01(cdm):
          CAST(CASE WHEN n % 13 = 0 THEN {S.MAX_LABEL_ATTEMPTS} ELSE 1 END AS INTEGER) AS attempts FROM (SELECT note_id, length(text) AS n FROM letters)""", "letters"))
 def udf_02(cdm):
     """Batch labeller with bounded retries over every letter; failures -> unresolved / api_failure."""
-    return S.label_batches(FX.letters(cdm), stub_labeller, "text", "note_id")
+    return S.label_batches(FX.letters(cdm), stub_labeller, "text", "note_id", base_wait=0)

@@ -209,7 +209,8 @@ _STEPS_SQL = """SELECT conv_id % 10 AS run_id, 'step_' || CAST(conv_id AS VARCHA
          CAST(count(*) FILTER (WHERE status = 'skipped') AS BIGINT) AS n_skipped,
          CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 AND count(*) FILTER (WHERE status = 'succeeded') > 0
               THEN 'partial_success' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'failed' ELSE 'success' END
-           AS run_status
+           AS run_status, true AS research_output, true AS needs_clinician_review,
+         count(*) FILTER (WHERE status = 'failed') > 0 AS may_be_incomplete
   FROM ({_STEPS_SQL}) GROUP BY 1""")
 def agg_22(cdm):
     """Run status rollup: partial_success / failed / success."""

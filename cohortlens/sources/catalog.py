@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # CDM tables that must be present before any cohort work.
 REQUIRED_CDM_TABLES = [
@@ -13,15 +16,25 @@ REQUIRED_CDM_TABLES = [
 ]
 
 
-def _parquet_stems(directory: str) -> list[str]:
-    names = []
-    for entry in sorted(os.listdir(directory)):
-        path = os.path.join(directory, entry)
-        if entry.endswith(".parquet"):
-            names.append(entry[: -len(".parquet")])
-        elif os.path.isdir(path) and any(f.endswith(".parquet") for f in os.listdir(path)):
-            names.append(entry)
-    return names
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet data at ``path``, or None when there is none; any file system that Spark reads."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _parquet_stems(spark: SparkSession, directory: str) -> list[str]:
+    """Names of the tables below ``directory``: one row each, from file metadata only."""
+    if "://" not in directory and not directory.startswith(("/", "file:")):
+        directory = os.path.abspath(directory)
+    inside = re.escape(directory.rstrip("/").split("://")[-1].removeprefix("file:")) + "/+([^/]+)"
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(directory))
+    names = files.select(F.regexp_extract("path", inside, 1).alias("name")).filter("name <> ''").distinct()
+    return sorted({r["name"].removesuffix(".parquet") for r in names.collect()})
 
 
 def load_tables(spark: SparkSession, directory: str, names: list[str] | None = None,
@@ -31,13 +44,13 @@ def load_tables(spark: SparkSession, directory: str, names: list[str] | None = N
     Reading is lazy: only the footers are touched here; scans happen when a
     query runs and then read just the columns and row groups it needs.
     """
-    stems = names if names is not None else _parquet_stems(directory)
+    stems = names if names is not None else _parquet_stems(spark, directory)
     tables: dict[str, DataFrame] = {}
     for stem in stems:
-        path = os.path.join(directory, f"{stem}.parquet")
-        if not os.path.exists(path):
-            path = os.path.join(directory, stem)
-        df = spark.read.parquet(path)
+        base = f"{directory.rstrip('/')}/{stem}"
+        df = read_if_there(spark, base + ".parquet")
+        if df is None:
+            df = spark.read.parquet(base)
         tables[stem] = df
         if register:
             df.createOrReplaceTempView(stem)

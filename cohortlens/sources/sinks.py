@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,19 @@ def write_splits(df: DataFrame, path: str, label_map: dict[str, str], task: str
                  mode: str = "overwrite") -> DataFrame:
     """Samples partitioned by split plus a one-row manifest (counts, label map, class counts)."""
     df.write.mode(mode).partitionBy("split").parquet(os.path.join(path, "samples"))
+    manifest = split_manifest(df, label_map, task)
+    manifest.coalesce(1).write.mode(mode).json(os.path.join(path, "manifest"))
+    return manifest
+
+
+def split_manifest(df: DataFrame, label_map: dict[str, str], task: str = "classification") -> DataFrame:
+    """One row per split: samples, class counts and the label map."""
     counts = df.groupBy("split", F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     per_split = counts.groupBy("split").agg(F.sum("n").alias("n_samples"),
                                             F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("class_counts"))
-    manifest = per_split.select(
+    return per_split.select(
         F.lit(task).alias("task"), "split", "n_samples", "class_counts",
         F.create_map(*[x for k, v in label_map.items() for x in (F.lit(k), F.lit(v))]).alias("label_map"))
-    manifest.coalesce(1).write.mode(mode).json(os.path.join(path, "manifest"))
-    return manifest
 
 
 # SNK-02 -----------------------------------------------------------------------
@@ -46,6 +51,21 @@ def write_confusion(conf: DataFrame, path: str, by: list[str], names: list[str],
     confusion_grid(conf, by, names).write.mode(mode).option("header", True).csv(path)
 
 
+def read_confusion(spark: SparkSession, path: str, by: list[str], names: list[str]) -> DataFrame:
+    """A written grid as (by..., true_label, predicted_label, n) cells.
+
+    Tolerant: blanks around numbers and names, whole numbers written as decimals, further columns; a cell that is no
+    number, or whose column is missing, is null. Rows of other labels are left out.
+    """
+    grid = spark.read.option("header", True).csv(path)
+    place = lambda c: F.array_position(F.array(*[F.lit(n) for n in names]), F.trim(c)) - 1
+    cells = F.array(*[F.struct(F.lit(i).alias("predicted_label"),
+                               (F.trim(F.col(f"`{n}`")).try_cast("double") if n in grid.columns else F.lit(None))
+                               .cast("long").alias("n")) for i, n in enumerate(names)])
+    return (grid.select(*by, place(F.col("`true/predicted`")).cast("int").alias("true_label"), F.explode(cells).alias("_c"))
+            .filter("true_label >= 0").select(*by, "true_label", "_c.predicted_label", "_c.n"))
+
+
 # SNK-04 -----------------------------------------------------------------------
 def nested_metrics(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Long (by, metric, value) -> one row per group with a metrics map."""

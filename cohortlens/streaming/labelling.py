@@ -10,14 +10,13 @@ unbounded streaming state), and the latest record per note wins on read.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.operators.datasets import last_record
 from cohortlens.operators.scoring import label_batches
+from cohortlens.sources.catalog import read_if_there
 
 LETTER_SCHEMA = T.StructType([T.StructField("note_id", T.LongType()), T.StructField("person_id", T.LongType()),
                               T.StructField("text", T.StringType())])
@@ -30,9 +29,9 @@ def label_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
     def handle(batch: DataFrame, epoch: int) -> None:
         todo = batch.dropDuplicates(["note_id"])
-        if os.path.exists(out_dir) and any(f.endswith(".parquet") for f in os.listdir(out_dir)):
-            done = batch.sparkSession.read.parquet(out_dir).select("note_id")
-            todo = todo.join(done, "note_id", "left_anti")
+        stored = read_if_there(batch.sparkSession, out_dir)
+        if stored is not None:  # also makes the replay of an epoch that had been written append nothing
+            todo = todo.join(stored.select("note_id"), "note_id", "left_anti")
         labelled = label_batches(todo, label_fn, "text", "note_id").withColumn("epoch", F.lit(epoch).cast("long"))
         labelled.write.mode("append").parquet(out_dir)
 

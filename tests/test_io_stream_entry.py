@@ -124,7 +124,7 @@ def test_label_batches_retries_and_reasons(spark):
             raise ConnectionError("down")
         return None if t == "unsure" else 1
 
-    rows = {r.note_id: r for r in S.label_batches(df, fn, "text", "note_id").collect()}
+    rows = {r.note_id: r for r in S.label_batches(df, fn, "text", "note_id", base_wait=0).collect()}
     assert rows[1].status == "resolved" and rows[1].label == 1
     assert rows[2].unresolved_reason == "api_failure" and rows[2].attempts == 6
     assert rows[3].unresolved_reason == "labeller_uncertain"
