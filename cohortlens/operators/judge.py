@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.dist import top_k_per_group
+from cohortlens.session import checkpoint_dir
 
 DEFAULT_BUDGET = 24
 # Judge pass rule.
@@ -43,7 +44,8 @@ def select_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET)
     then order by (rank, bucket key): pass one takes the first case of every
     bucket, pass two the second, and so on.
     """
-    pri = priority_cases(cases, by, budget)
+    checkpoint_dir(cases.sparkSession)
+    pri = priority_cases(cases, by, budget).checkpoint()  # a few rows per group, used three times
     n_pri = pri.groupBy(*by).agg(F.count(F.lit(1)).alias("_n_pri"))
     # A bucket's best rows, with as many more as priority cases may be among them: the anti join sees only those.
     deep = top_k_per_group(cases, by + ["split", "predicted_label"], _case_order(), budget + max(1, budget // 2),
