@@ -1,27 +1,32 @@
 """Cross-entropy difference scoring with matched n-gram models (operator 10).
 
 Two word-bigram models, one of the target texts and one of the whole corpus
-(the background), share one vocabulary, one set of kept bigrams and one
-smoothing, so that a token's two losses differ only by what the texts say. A
-document's score is the mean of (target loss - background loss) over its
-tokens: the lower, the more it reads like the target.
-
-1. Words of the whole corpus are counted; the vocabulary is every word with at
-   least ``VOCAB_SHARE`` of all tokens, the rest is one unknown word. The share
-   bounds the vocabulary (1 / share words) at every corpus size; no count is cut.
-2. The corpus is written once as word ids of two bytes; only these narrow rows
-   are joined to the target's ids, with the same sort-merge plan at every size
-   (the list of targets grows with the corpus and is never broadcast).
-3. Bigrams of vocabulary words are counted over the whole corpus, for the
-   background and for the target at once. Those with at least ``BIGRAM_SHARE``
-   of the tokens of either side are kept (at most 2 / share), the others are
-   read by their unigrams.
-4. Absolute discounting with back-off: kept bigrams give up ``DISCOUNT``
-   counts, what is not given to kept bigrams goes to the add-one unigrams.
-
-Counts are summed per task before they are shuffled. Words are the lower-cased
-``[^\\x20\\x09-\\x0D]+`` runs. The target of ``score`` is any boolean column;
-the registered query takes the documents labelled good and not toxic.
+(the background), share one vocabulary, one set of bigrams and one smoothing,
+so that a token's two losses differ only by what the texts say. A document's
+score is the mean of (target loss - background loss) over its tokens: the
+lower, the more it reads like the target.
+
+Every word and every bigram of the corpus counts, however rare; nothing is
+broadcast and no task holds the vocabulary.
+
+1. Texts get their target flag by a join of the same plan at every size (the
+   list of targets grows with the corpus and is never broadcast). Each task
+   deals its texts into blocks of about ``BLOCK`` tokens and writes, per block,
+   the distinct words (by 64-bit hash), the distinct bigrams with their counts
+   (64-bit keys, packed into one row per bucket of keys), and every text as
+   places in the block's list of words.
+2. Per bucket, the counts of a bigram are summed over its blocks and go back to
+   them; those of a word (and of what follows it) are summed over the bigrams.
+   A key occurs at most once a block, so a frequent one is no load on its task.
+3. Each block gets the totals of its own words and bigrams, makes their log
+   probabilities and scores its texts.
+4. Absolute discounting with back-off: bigrams give up ``DISCOUNT`` counts,
+   what is not given to bigrams goes to the add-one unigrams.
+
+Words are the lower-cased ``[^\\x20\\x09-\\x0D]+`` runs. The target of
+``score`` is any boolean column; the registered query takes the documents
+labelled good and not toxic. ``n_unknown`` is zero: no word of the corpus is
+unknown.
 
 Edge cases: null or blank text has no tokens, losses and score are null.
 Without target texts the target model is uniform over the vocabulary. An empty
@@ -33,178 +38,236 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import slices, stored
 
-VOCAB_SHARE = 2e-5
-BIGRAM_SHARE = 5e-6
+#: Least share of the tokens that a word or bigram needs to be counted: none.
+VOCAB_SHARE = BIGRAM_SHARE = 0.0
 DISCOUNT = 0.75
-UNKNOWN, START = 0, 1
-#: Entries counted in a task before they are handed on.
-FLUSH = 400_000
+#: Stands before every text; no word, as it is a space.
+START = b" "
+#: Tokens and texts of a block, at least (the last text is whole): bounds what a task holds.
+BLOCK, BLOCK_TEXTS = 1 << 20, 1 << 16
+#: Bytes of text for one bucket of bigrams.
+BUCKET_BYTES = 1 << 23
+WORD, GRAM, TOTAL, TEXT = range(4)
+CODED = "block long, kind int, i int, word long, key binary, n binary, n_target binary, doc_id long, ids binary"
+
 
 
 def _words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split() if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) over the whole corpus."""
+def _hash(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+START_HASH = _hash(START)
+
+
+def _rows(n: int, /, **cols) -> pa.RecordBatch:
+    """``n`` rows of CODED; columns that are not given are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in CODED.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, kinds[k]) if name not in cols else
+         pa.array(np.full(n, cols[name]) if np.isscalar(cols[name]) else cols[name], kinds[k]) for name, k in fields],
+        [name for name, _ in fields])
+
+
+def _pair_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit keys of bigrams from the hashes of their words."""
+    x = prev.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    for factor in (0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def _bigrams(hashes: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The distinct bigrams of a block's texts (places in ``hashes``, START is 0) in the order of their keys:
+    (key, previous word, word, counts), the place in them of every token, and the texts' sizes."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    word = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int64)
+    prev = np.concatenate(([0], word))[:-1]
+    prev[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    pairs, at, n = np.unique(prev * len(hashes) + word, return_inverse=True, return_counts=True)
+    prev, word = pairs // len(hashes), pairs % len(hashes)
+    key = _pair_keys(hashes[prev], hashes[word])
+    order = np.argsort(key, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return key[order], prev[order], word[order], n[order], place[at], sizes
+
+
+def _block(block: int, bits: int, local: dict[bytes, int], texts: list[tuple[int | None, np.ndarray, bool]]):
+    """The rows of one block: its words, its bigrams by bucket with their counts, and its texts."""
+    hashes = np.array([_hash(w) for w in local], np.int64)
+    yield _rows(len(hashes), block=block, kind=WORD, i=np.arange(len(hashes)), word=hashes)
+    key, _, _, n, at, sizes = _bigrams(hashes, [ids for _, ids, _ in texts])
+    target = np.repeat(np.array([t for *_, t in texts], bool), sizes)
+    n_target = np.bincount(at, weights=target, minlength=len(key)).astype("<u4")
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    spans = list(zip(edges, [*edges[1:], len(key)]))
+    if spans:
+        packed = {name: [x[a:z].tobytes() for a, z in spans] for name, x in (
+            ("key", key), ("n", n.astype("<u4")), ("n_target", n_target))}
+        yield _rows(len(spans), block=block, kind=GRAM, i=bucket[edges], **packed)
+    for lo in range(0, len(texts), 1024):
+        part = texts[lo:lo + 1024]
+        yield _rows(len(part), block=block, kind=TEXT, i=np.arange(lo, lo + len(part)), doc_id=[d for d, *_ in part],
+                    ids=[ids.tobytes() for _, ids, _ in part])
+
+
+def encode(flagged: DataFrame, bits: int) -> DataFrame:
+    """Blocks of (doc_id, text, target) as rows of CODED: kind WORD, GRAM or TEXT, ``i`` the place in its kind (GRAM:
+    the bucket, one of 2 ** bits)."""
 
     def run(batches):
-        acc: Counter = Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(acc), pa.binary()), pa.array(list(acc.values()), pa.int64())],
-                                              ["word", "n"])
-
+        block = TaskContext.get().partitionId() << 32
+        local, texts, held = {START: 0}, [], 0
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                acc.update(_words(t))
-            if len(acc) > FLUSH:
-                yield flush()
-                acc.clear()
-        if acc:
-            yield flush()
+            for d, t, target in zip(*(c.to_pylist() for c in b.columns)):
+                ids = np.array([local.setdefault(w, len(local)) for w in _words(t)], "<i4")
+                texts.append((d, ids, target))
+                held += len(ids)
+                if held >= BLOCK or len(texts) >= BLOCK_TEXTS:
+                    yield from _block(block, bits, local, texts)
+                    block, local, texts, held = block + 1, {START: 0}, [], 0
+        if texts:
+            yield from _block(block, bits, local, texts)
+
+    return flagged.select("doc_id", "text", "target").mapInArrow(run, CODED)
+
+
+def _runs(batches):
+    """(values of the first two columns, slice) for every run of rows that agree in them."""
+    for b in batches:
+        x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        for lo, hi in zip([0, *new], [*new, len(x)]):
+            if lo < hi:
+                yield x[lo], y[lo], b.slice(lo, hi - lo)
+
+
+def _unpack(rows: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for r in rows for x in r.column(name).to_pylist()), kind)
+
+
+def bigram_totals(coded: DataFrame) -> DataFrame:
+    """(block, i, n, n_target, first): counts of the whole corpus for the bigrams of every block and bucket, packed;
+    ``first`` marks a bigram in one of its blocks."""
+    names = ["block", "i", "n", "n_target", "first"]
+
+    def emit(held: list[pa.RecordBatch]):
+        key = _unpack(held, "key", "<u8")
+        sizes = np.array([len(x) // 8 for r in held for x in r.column("key").to_pylist()], np.int64)
+        u, first, at = np.unique(key, return_index=True, return_inverse=True)
+        mark = np.zeros(len(key), bool)
+        mark[first] = True
+        sums = [np.bincount(at, weights=_unpack(held, c, "<u4"), minlength=len(u)).astype("<i8")[at]
+                for c in ("n", "n_target")]
+        ends = np.cumsum(sizes)
+        spans = list(zip(ends - sizes, ends))
+        packed = [pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()) for x in (*sums, mark)]
+        whole = pa.Table.from_batches(held)
+        yield pa.RecordBatch.from_arrays([whole["block"].combine_chunks(), whole["i"].combine_chunks(), *packed], names)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches):
+        bucket, held = None, []
+        for i, _, part in _runs(batches):
+            if held and i != bucket:
+                yield from emit(held)
+                held = []
+            bucket = i
+            held.append(part)
+        if held:
+            yield from emit(held)
 
+    dealt = (coded.filter(F.col("kind") == GRAM).select("i", "kind", "block", "key", "n", "n_target")
+             .repartition("i").sortWithinPartitions("i", "block"))
+    return dealt.mapInArrow(run, "block long, i int, n binary, n_target binary, first binary")
 
-def encode(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids binary): the words of every text as ids of two bytes (the vocabulary is below 65,536)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most 1 / VOCAB_SHARE words
 
-    def run(batches):
-        get = shared.value.get
-        for b in slices(batches):
-            ids = [np.array([get(w, UNKNOWN) for w in _words(t)], "<u2").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+def _by_block(parts: list[tuple[int, DataFrame]], types: dict[str, str]) -> DataFrame:
+    """Rows of several kinds, those of a block together and in the order of (kind, i); missing columns are null."""
+    united = None
+    for kind, part in parts:
+        part = part.withColumn("kind", F.lit(kind)).select(*[
+            (F.col(c) if c in part.columns or c == "kind" else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+        united = part if united is None else united.unionByName(part)
+    return united.repartition("block").sortWithinPartitions("block", "kind", "i")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+def _whole_blocks(batches):
+    """The rows of every block, by kind."""
+    block, held = None, {}
+    for at, kind, part in _runs(batches):
+        if at != block:
+            if held:
+                yield held
+            block, held = at, {WORD: [], TOTAL: [], TEXT: []}
+        held[kind].append(part)
+    if held:
+        yield held
 
 
-def _joined(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word ids of all texts, each text after a START; number of words per text)."""
-    start = np.array([START], "<u2").tobytes()
-    ids = np.frombuffer(b"".join(start + c for c in coded), "<u2").astype(np.int64)
-    return ids, np.array([len(c) // 2 for c in coded], np.int64)
+def _texts(held: dict[int, list[pa.RecordBatch]]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i4") for r in held[TEXT] for x in r.column("ids").to_pylist()]
 
 
-def bigram_counts(flagged: DataFrame, size: int) -> DataFrame:
-    """(key, n, n_target) of (ids, target): ``key`` = previous id * size + id; the previous id -1 counts
-    single words, and texts under START."""
+def word_totals(coded: DataFrame, totals: DataFrame) -> DataFrame:
+    """(word, n, n_target, given, given_target): counts (of START: texts) and what discounting gives to followers."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for held in _whole_blocks(batches):
+            hashes = np.concatenate([r.column("word").to_numpy() for r in held[WORD]])
+            first = _unpack(held[TOTAL], "first", bool)
+            _, prev, word, *_ = _bigrams(hashes, _texts(held))
+            prev, word, out = prev[first], word[first], []
+            for side in ("n", "n_target"):
+                n = _unpack(held[TOTAL], side, "<i8")[first]
+                count = np.bincount(word, weights=n, minlength=len(hashes))
+                count[0] = n[prev == 0].sum()
+                given = np.bincount(prev, weights=np.maximum(n - DISCOUNT, 0), minlength=len(hashes))
+                out += [pa.array(count.astype(np.int64)), pa.array(given.astype(float))]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), *out],
+                                             ["word", "n", "given", "n_target", "given_target"])
+
+    kinds = [(k, coded.filter(F.col("kind") == k).drop("n", "n_target")) for k in (WORD, TEXT)]
+    together = _by_block([kinds[0], (TOTAL, totals), kinds[1]], {
+        "block": "long", "kind": "int", "i": "int", "word": "long", "n": "binary", "n_target": "binary",
+        "first": "binary", "ids": "binary"})
+    return (together.mapInArrow(run, "word long, n long, given double, n_target long, given_target double")
+            .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_target", "given", "given_target")]))
+
+
+def log_probabilities(words: np.ndarray, given: np.ndarray, prev: np.ndarray, word: np.ndarray, pairs: np.ndarray,
+                      tokens: np.ndarray, size: int) -> np.ndarray:
+    """(2, bigrams) of a block: row 0 target, row 1 background, as in ``words``, ``given`` and ``pairs``."""
+    p = np.maximum((words + 1.0) / (tokens[:, None] - 1 + size), 1e-300)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        back = np.clip(np.where(words > 0, 1 - given / words, 1.0), 1e-6, 1.0)
+        rate = np.where(words[:, prev] > 0, np.maximum(pairs - DISCOUNT, 0) / words[:, prev], 0.0)
+    return np.log(rate + back[:, prev] * p[:, word])
 
-        def flush():
-            key = np.concatenate([k for k, _ in held])
-            target = np.concatenate([t for _, t in held])
-            u, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-            nt = np.bincount(inv, weights=target, minlength=len(u)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64)), pa.array(nt)],
-                                              ["key", "n", "n_target"])
 
-        for b in slices(batches):
-            ids, sizes = _joined(b.column(0).to_pylist())
-            target = np.repeat(np.array(b.column(1).to_pylist(), bool), sizes + 1)
-            word = np.flatnonzero(ids != START)
-            first = word[ids[word - 1] == START] - 1  # every text with a word is one START context
-            pair = word[(ids[word] > UNKNOWN) & (ids[word - 1] > UNKNOWN)]
-            held.append((np.concatenate((ids[word] - size, ids[first] - size, ids[pair - 1] * size + ids[pair])),
-                         np.concatenate((target[word], target[first], target[pair]))))
-            if sum(len(k) for k, _ in held) > 5 * FLUSH:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
-
-    return (flagged.select("ids", "target").mapInArrow(run, "key long, n long, n_target long")
-            .groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-
-
-@dataclass
-class Models:
-    """Log probabilities of both models: [0] target, [1] background."""
-
-    keys: np.ndarray  #: kept bigrams, sorted
-    pair: np.ndarray  #: (2, len(keys))
-    single: np.ndarray  #: (2, size)
-    back: np.ndarray  #: (2, size) back-off weight of a previous word
-
-    def losses(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, unknown tokens, (2, texts) mean loss) of every text; NaN without tokens."""
-        ids, sizes = _joined(coded)
-        at = np.flatnonzero(ids != START)
-        loss = np.full((2, len(coded)), np.nan)
-        unknown = np.zeros(len(coded), np.int64)
-        if len(at):
-            word, prev = ids[at], ids[at - 1]
-            log_p = self.single[:, word] + self.back[:, prev]
-            if len(self.keys):
-                key = prev * self.single.shape[1] + word
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[place] == key
-                log_p[:, known] = self.pair[:, place[known]]
-            owner = np.repeat(np.arange(len(coded)), sizes)
-            some = sizes > 0
-            for m in range(2):
-                total = np.bincount(owner, weights=log_p[m], minlength=len(coded))
-                loss[m, some] = -total[some] / sizes[some]
-            unknown = np.bincount(owner, weights=word == UNKNOWN, minlength=len(coded)).astype(np.int64)
-        return sizes, unknown, loss
-
-
-def build(single_n: np.ndarray, keys: np.ndarray, pair_n: np.ndarray) -> Models:
-    """Models from (2, size) word counts and (2, kept) bigram counts (row 0 target, row 1 background)."""
-    size = single_n.shape[1]
-    seen = single_n.copy()
-    seen[:, START] = -1  # never predicted
-    p = np.maximum((seen + 1.0) / (seen.sum(axis=1, keepdims=True) + size), 1e-300)
-    prev, word = keys // size, keys % size
-    # How often a word is followed at all is bounded by its own count; a START precedes every text.
-    context = np.maximum(single_n[:, prev], pair_n)
-    context = np.where(prev == START, np.maximum(single_n[:, [START]], pair_n), context)
-    given = np.maximum(pair_n - DISCOUNT, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.where(context > 0, given / context, 0.0)
-    back = np.ones((2, size))
+def _losses(log_p: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(2, texts) mean loss of texts whose tokens are the bigrams ``at``; NaN without tokens."""
+    owner, some = np.repeat(np.arange(len(sizes)), sizes), sizes > 0
+    loss = np.full((2, len(sizes)), np.nan)
     for m in range(2):
-        back[m] -= np.bincount(prev, weights=rate[m], minlength=size)[:size] if len(keys) else 0
-    back = np.clip(back, 1e-6, 1.0)
-    pair = rate + back[:, prev] * p[:, word]
-    return Models(keys, np.log(pair), np.log(p), np.log(back))
-
-
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Ids of the words with at least VOCAB_SHARE of all tokens, in byte order after UNKNOWN and START."""
-    counts = stored(word_counts(docs), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = counts.filter(F.col("n") >= VOCAB_SHARE * total).orderBy("word").collect()
-    return {bytes(r.word): i + 2 for i, r in enumerate(words)}
-
-
-def train(flagged: DataFrame, size: int) -> Models:
-    """Models from the encoded corpus (ids, target boolean); ``size`` counts the vocabulary, UNKNOWN and START."""
-    grams = stored(bigram_counts(flagged, size), "lm-bigrams")
-    single = np.zeros((2, size))
-    rows = grams.filter("key < 0").toPandas()  # at most one row per vocabulary word
-    at = rows["key"].to_numpy(np.int64) + size
-    single[0, at], single[1, at] = rows["n_target"], rows["n"]
-    tokens = single.sum(axis=1) - single[:, START]
-    kept = (grams.filter("key >= 0")
-            .filter((F.col("n") >= BIGRAM_SHARE * float(tokens[1]))
-                    | ((F.col("n_target") > 0) & (F.col("n_target") >= BIGRAM_SHARE * float(tokens[0]))))
-            .toPandas().sort_values("key"))
-    pair_n = np.stack([kept["n_target"].to_numpy(float), kept["n"].to_numpy(float)])
-    return build(single, kept["key"].to_numpy(np.int64), pair_n)
+        total = np.bincount(owner, weights=log_p[m, at], minlength=len(sizes))
+        loss[m, some] = -total[some] / sizes[some]
+    return loss
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -214,21 +277,40 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """
     wanted = targets.select(F.col("doc_id").cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vocab = vocabulary(plain)
-    coded = stored(encode(plain, vocab), "lm-ids")
-    flagged = (coded.join(wanted.hint("merge"), F.col("doc_id") == F.col("_t"), "left")
-               .select("ids", F.col("_t").isNotNull().alias("target")))
-    shared = docs.sparkSession.sparkContext.broadcast(train(flagged, len(vocab) + 2))  # bounded by the two shares
+    n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (n_bytes // BUCKET_BYTES).bit_length())
+    flagged = (plain.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_t"), "left")
+               .select("doc_id", "text", F.col("_t").isNotNull().alias("target")))
+    coded = stored(encode(flagged, bits), "lm-coded")
+    totals = stored(bigram_totals(coded), "lm-bigrams")
+    words = stored(word_totals(coded, totals), "lm-words")
+    sums = words.filter(F.col("word") != START_HASH).agg(F.sum("n_target"), F.sum("n"), F.count(F.lit(1))).first()
+    tokens, size = np.array([sums[0] or 0, sums[1] or 0], float), sums[2] + 2  # START and an unknown word
+
+    counts = ["n", "n_target", "given", "given_target"]
+    of_words = (coded.filter(F.col("kind") == WORD).select("block", "i", "word").join(words.hint("merge"), "word")
+                .select("block", "i", "word", *[F.col(c).alias(f"w_{c}") for c in counts]))
+    texts = coded.filter(F.col("kind") == TEXT).drop("n", "n_target")
+    dealt = _by_block([(WORD, of_words), (TOTAL, totals), (TEXT, texts)], {
+        "block": "long", "kind": "int", "i": "int", "word": "long", **{f"w_{c}": "double" for c in counts},
+        "n": "binary", "n_target": "binary", "doc_id": "long", "ids": "binary"})
 
     def run(batches):
-        for b in slices(batches):
-            n, unknown, loss = shared.value.losses(b.column(1).to_pylist())
-            none = n == 0
+        for held in _whole_blocks(batches):
+            w = {c: np.concatenate([r.column(c).to_numpy() for r in held[WORD]])
+                 for c in ("word", *(f"w_{c}" for c in counts))}
+            _, prev, word, _, at, sizes = _bigrams(w["word"], _texts(held))
+            pairs = np.stack([_unpack(held[TOTAL], c, "<i8") for c in ("n_target", "n")])
+            log_p = log_probabilities(np.stack([w["w_n_target"], w["w_n"]]),
+                                      np.stack([w["w_given_target"], w["w_given"]]), prev, word, pairs, tokens, size)
+            loss, none = _losses(log_p, at, sizes), sizes == 0
+            ids = pa.concat_arrays([r.column("doc_id") for r in held[TEXT]])
             cols = [pa.array(x, mask=none) for x in (loss[0], loss[1], loss[0] - loss[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(unknown), *cols],
-                                             ["doc_id", "n_tokens", "n_unknown", "loss_target", "loss_background", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64)), *cols],
+                ["doc_id", "n_tokens", "n_unknown", "loss_target", "loss_background", "score"])
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
+    return dealt.mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
                                  "loss_background double, score double")
 
 

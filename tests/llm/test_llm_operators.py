@@ -503,6 +503,19 @@ def test_cross_entropy_edge_cases(spark):
     assert cross_entropy.score(docs.limit(0), targets).count() == 0
 
 
+def test_cross_entropy_counts_rare_words(spark, monkeypatch):
+    """Texts that differ only in rare words differ in their losses, at any size of the corpus, in any blocks."""
+    common = "a b " * 300_000
+    docs = frame(spark, [common, "a rare b", "a scarce b", "a rare b", "a b a"])
+    targets = spark.createDataFrame([(1,)], "doc_id long")
+    got = {r.doc_id: r for r in cross_entropy.score(docs, targets).collect()}
+    assert got[1].loss_background < got[2].loss_background  # "rare" twice, "scarce" once
+    assert all(r.n_unknown == 0 for r in got.values())
+    monkeypatch.setattr(cross_entropy, "BLOCK", 1)
+    again = {r.doc_id: r.score for r in cross_entropy.score(docs, targets).collect()}
+    assert again == pytest.approx({d: r.score for d, r in got.items()}, abs=1e-9)
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_matches_brute_force(spark):
