@@ -516,6 +516,15 @@ def test_cross_entropy_counts_rare_words(spark, monkeypatch):
     assert again == pytest.approx({d: r.score for d, r in got.items()}, abs=1e-9)
 
 
+def test_cross_entropy_keeps_words_of_a_small_target(spark):
+    """A word and a bigram that only a small target has lower the target loss, however rare in the corpus."""
+    docs = frame(spark, ["a b " * 300_000, "a zebra zebra b", "a zebra zebra b", "a b zebra a b"])
+    targets = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {r.doc_id: r for r in cross_entropy.score(docs, targets).collect()}
+    assert got[1].score == got[2].score < got[3].score < got[0].score
+    assert got[1].n_unknown == 0
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_matches_brute_force(spark):
