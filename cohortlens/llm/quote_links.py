@@ -4,10 +4,13 @@ A line that starts with one or more ``>`` (white space between them allowed)
 is quoted; the number of ``>`` is its level. A line that ends in ``wrote:`` or
 ``writes:`` directly before a quoted line introduces the quote and belongs to it.
 
-Every quoted line is normalised (markers off, lower case, white space runs one
-space, trimmed) and hashed, as is every line that a message says itself. Inside
-a conversation a quoted line is joined to the first earlier message that says
-it; a frequent line has one row per conversation on that side, so a join never
+Lines are normalised (markers off, lower case, white space runs one space,
+trimmed) and hashed; so are passages, consecutive non-blank lines of one level
+joined by a space, so that a passage that was wrapped anew is still found. A
+quoted passage links to the latest earlier message of its conversation that
+says it; when no message says the whole passage, each of its lines links to the
+latest earlier message that says the line. The look-up needs one row per
+(conversation, hash, turn) and spreads a frequent line over many tasks; no join
 multiplies rows. A message replies to the message that its level-1 lines link
 to (most quoted characters; ties: the latest), or, when none links, to its
 deepest linked quote; ``quoted_turns`` lists all linked messages.
@@ -62,22 +65,66 @@ def messages(conversations: DataFrame) -> DataFrame:
     return with_lines.withColumn("_own", own)
 
 
+def passages(found: DataFrame) -> DataFrame:
+    """(conv_id, turn, _m, first, level, parts, _p): runs of non-blank lines of one level (0: said by the message itself)
+    with their normalised lines and the hash of the whole."""
+    lines = found.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND _lines IS NOT NULL").select(
+        "conv_id", "turn", "_m", F.transform("_lines", lambda x, i: F.struct(
+            F.when(F.get("_own", i), 0).when(x.rlike(QUOTED), level(x)).otherwise(-1).alias("level"),
+            normalise(x).alias("n"))).alias("_u"))
+    at = lambda i: F.get("_u", i)
+    apart = lambda i, j: (j < 0) | (j >= F.size("_u")) | (at(j)["n"] == "") | (at(i)["level"] != at(j)["level"])
+    real = lambda i: (at(i)["n"] != "") & (at(i)["level"] >= 0)
+    places = F.sequence(F.lit(0), F.size("_u") - 1)
+    runs = F.arrays_zip(F.filter(places, lambda i: real(i) & apart(i, i - 1)).alias("a"),
+                        F.filter(places, lambda i: real(i) & apart(i, i + 1)).alias("z"))
+    each = lines.select("conv_id", "turn", "_m", "_u", F.explode(runs).alias("_r")).select(
+        "conv_id", "turn", "_m", F.col("_r.a").alias("first"), at(F.col("_r.a"))["level"].alias("level"),
+        F.transform(F.slice("_u", F.col("_r.a") + 1, F.col("_r.z") - F.col("_r.a") + 1), lambda x: x["n"]).alias("parts"))
+    return each.withColumn("_p", F.xxhash64(F.array_join("parts", " ")))
+
+
+def latest_sayers(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """(conv_id, turn, _h, said_turn): the latest turn before ``turn`` that says the hash, for distinct rows asked.
+
+    Rows are range-partitioned on (conv_id, _h, turn) and written; a key that goes over a partition's edge is continued
+    from the latest sayer before, one row per partition and key that starts it.
+    """
+    key = ["conv_id", "_h"]
+    needed = said.join(asked.select(*key).distinct(), key, "left_semi")
+    rows = (asked.withColumn("_said", F.lit(None).cast("long")).unionByName(needed.withColumn("_said", F.col("turn")))
+            .groupBy(*key, "turn").agg(F.max("_said").alias("_said"), F.max(F.col("_said").isNull()).alias("_asked")))
+    placed = stored(rows.repartitionByRange(*key, "turn").withColumn("_part", F.spark_partition_id()), "quote-sayers")
+    inside = F.max("_said").over(Window.partitionBy("_part", *key).orderBy("turn")
+                                 .rangeBetween(Window.unboundedPreceding, -1))
+    ends = placed.groupBy("_part", *key).agg(F.max("_said").alias("_said"))
+    before = F.max("_said").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # Only keys that go on from an earlier partition: at most one a partition.
+    carried = (ends.withColumn("_before", before).filter("_before IS NOT NULL")
+               .select(F.col("_part").alias("_q"), F.col("conv_id").alias("_c"), F.col("_h").alias("_k"), "_before"))
+    return (placed.withColumn("_inside", inside)
+            .join(F.broadcast(carried), (F.col("_part") == F.col("_q")) & (F.col("conv_id") == F.col("_c"))
+                  & (F.col("_h") == F.col("_k")), "left")
+            .filter("_asked").select("conv_id", "turn", "_h", F.coalesce("_inside", "_before").alias("said_turn"))
+            .filter("said_turn IS NOT NULL"))
+
+
 def links(found: DataFrame) -> DataFrame:
     """(_m, i, level, chars, said_turn): every non-blank quoted line, with the turn it quotes, if any."""
-    each = found.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
-        "conv_id", "turn", "_m", F.posexplode(F.arrays_zip("_lines", "_own")).alias("i", "_x"))
-    line = F.col("_x._lines")
-    # Only conversations with a quote need their own lines.
-    quoted = (each.filter(~F.col("_x._own") & line.rlike(QUOTED))
-              .select("conv_id", "turn", "_m", "i", level(line).alias("level"), normalise(line).alias("_n"))
-              .filter("_n <> ''").select("conv_id", "turn", "_m", "i", "level", F.length("_n").alias("chars"),
-                                         F.xxhash64("_n").alias("_h")))
-    said = (each.filter("_x._own").select("conv_id", "turn", normalise(line).alias("_n")).filter("_n <> ''")
-            .select("conv_id", "turn", F.xxhash64("_n").alias("_h")))
-    first = said.groupBy("conv_id", "_h").agg(F.min("turn").alias("_first"))
-    return (quoted.join(first, ["conv_id", "_h"], "left")
-            .select("conv_id", "turn", "_m", "i", "level", "chars",
-                    F.when(F.col("_first") < F.col("turn"), F.col("_first")).alias("said_turn")))
+    each = passages(found)
+    quoted = (each.filter("level > 0").select("conv_id", "turn", "_m", "level", "_p", "first", F.posexplode("parts").alias("_k", "_n"))
+              .select("conv_id", "turn", "_m", (F.col("first") + F.col("_k")).alias("i"), "level",
+                      F.length("_n").alias("chars"), F.xxhash64("_n").alias("_l"), "_p"))
+    quoted = stored(quoted, "quote-quoted")
+    hashes = F.explode(F.array_distinct(F.concat(F.array("_p"), F.transform("parts", lambda x: F.xxhash64(x))))).alias("_h")
+    said = each.filter("level = 0").select("conv_id", "turn", hashes).distinct()
+    asked = quoted.select("conv_id", "turn", F.explode(F.array("_l", "_p")).alias("_h")).distinct()
+    sayers = stored(latest_sayers(asked, said), "quote-found")
+    for name, by in (("_line_turn", "_l"), ("_passage_turn", "_p")):
+        quoted = quoted.join(sayers.select("conv_id", "turn", F.col("_h").alias(by), F.col("said_turn").alias(name)),
+                             ["conv_id", "turn", by], "left")
+    return quoted.select("conv_id", "turn", "_m", "i", "level", "chars",
+                         F.coalesce("_passage_turn", "_line_turn").alias("said_turn"))
 
 
 def parents(linked: DataFrame) -> DataFrame:

@@ -425,6 +425,30 @@ def test_hot_conversation_order(spark):
     assert [(r.root_turn, r.turn) for r in got] == sorted((r.root_turn, r.turn) for r in got)
 
 
+def test_quotes_link_to_the_latest_sayer_and_by_passage(spark):
+    long = "The bridge will be closed from Monday on,\nand the ferry will not run either,\nso plan your way."
+    rows = [(1, 0, "u", long + "\n\nAgreed."), (1, 1, "a", "Agreed."), (1, 2, "u", "Something else"),
+            (1, 8, "a", "Agreed."), (1, 9, "u", "> Agreed.\nGood."), (1, 10, "a", "so plan your way."),
+            (1, 11, "u", "> " + long.replace("\n", "\n> ") + "\nThanks"),  # as it stands
+            (1, 12, "a", "> The bridge will be closed\n> from Monday on, and the ferry\n> will not run either, so\n> plan "
+                         "your way.\nBad"),  # wrapped anew
+            (1, 13, "u", "> Agreed.\nAgreed."), (2, 1, "u", "> Agreed.")]
+    got = {(r.conv_id, r.turn): r for r in quote_links.threads(
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 9].parent_turn == 8 and got[1, 9].quoted_turns == [8] and got[1, 9].root_turn == 8
+    assert got[1, 11].quoted_turns == [0] and got[1, 12].quoted_turns == [0] and got[1, 12].unlinked_quotes == []
+    assert got[1, 13].parent_turn == 8 and got[2, 1].parent_turn is None
+
+
+def test_hot_line_links_across_partitions(spark):
+    n = 4000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"),
+                               F.when(F.col("id") % 4 == 0, F.lit("Agreed.")).otherwise(F.lit("> Agreed.\nno"))
+                               .alias("text"))
+    got = {r.turn: r.parent_turn for r in quote_links.threads(df).collect()}
+    assert got == {t: t - t % 4 if t % 4 else None for t in range(n)}
+
+
 # --- op6, op10 ---------------------------------------------------------------------------------
 
 def test_cotraining_held_out(spark):
