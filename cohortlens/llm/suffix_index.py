@@ -354,14 +354,16 @@ def repeated_spans(docs: DataFrame, key: tuple[Column, Column], length: int = LE
     spark = docs.sparkSession
     rows = docs.select(key[0].alias("d"), key[1].alias("tag"), "text")
     index = SuffixIndex(spark, length, gram)
-    cuts = sorted(set(rows.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    shares = [i / batches for i in range(1, batches)]
+    # Quantiles are doubles: that of rows without an id is 2^63, beyond a long.
+    cuts = sorted({min(int(c), NO_ID - 1) for c in rows.approxQuantile("d", shares, 0.01)}) if shares else []
     hits: DataFrame | None = None
     for i in range(len(cuts) + 1):
         part = rows
         if i > 0:
-            part = part.filter(F.col("d") > F.lit(int(cuts[i - 1])))
+            part = part.filter(F.col("d") > F.lit(cuts[i - 1]))
         if i < len(cuts):
-            part = part.filter(F.col("d") <= F.lit(int(cuts[i])))
+            part = part.filter(F.col("d") <= F.lit(cuts[i]))
         got = index.add(part, last=i == len(cuts))
         hits = got if hits is None else hits.unionByName(got)
     index.close()

@@ -246,6 +246,22 @@ def test_suffix_dedup_ids(spark):
         ("3", "x" + p, n + 1), ("7", "", 0), ("7", "", 0), ("None", "", 0)]
 
 
+@pytest.mark.parametrize("nulls", [2, 3])
+def test_suffix_dedup_many_rows_without_id(spark, nulls):
+    p = words(40, 4)
+    docs = frame(spark, [p + x for x in "abcd"], [*([None] * nulls), *range(7, 11 - nulls)])
+    got = sorted((str(r.doc_id), r.n_removed) for r in suffix_index.digest(docs).collect())
+    assert [d for d, _ in got] == [*map(str, range(7, 11 - nulls)), *["None"] * nulls]
+    assert sorted(n for _, n in got) == [0, len(p), len(p), len(p)]
+
+
+@pytest.mark.parametrize("top", [(1 << 63) - 1, (1 << 63) - 2])
+def test_suffix_dedup_largest_ids(spark, top):
+    p = words(40, 4)
+    got = suffix_index.digest(frame(spark, [p, p], [top - 1, top - 2])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(top - 2, 0), (top - 1, len(p))]
+
+
 # --- op9 ---------------------------------------------------------------------------------------
 
 def test_masks_are_lossless():
