@@ -376,6 +376,26 @@ def test_extract_finds_articles(spark):
         assert r.text.split() == want
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><p>{}</p></body>", "<body class='sidebar hidden menu-open'><article>{}</article></body>",
+    "<article class='post comments-open tag-news'><p>{}</p></article>", "<main class='search'><p>{}</p></main>",
+    "<div id='content' class='with-sidebar'><p>{}</p></div>", "<div style='overflow:hidden'><p>{}</p></div>",
+    "<div style='backface-visibility:hidden'><p>{}</p></div>", "<div title='A hidden valley'><p>{}</p></div>",
+    "<div data-id='footer' data-hidden='1' aria-hidden='false'><p>{}</p></div>",
+])
+def test_class_words_and_attributes_keep_main_text(page):
+    assert html_blocks.main_text(page.format(LONG)) == LONG
+
+
+@pytest.mark.parametrize("start", [
+    "<div hidden>", "<div hidden=''>", "<div class=x hidden id=y>", "<div style='color:red; display : none'>",
+    "<div style='visibility:hidden !important;'>", "<div aria-hidden=true>", "<div class='hidden'>",
+    "<div class='cookie-banner x'>", "<div id='left-sidebar'>", "<div class='footerText'>", "<article hidden>",
+])
+def test_hidden_and_named_furniture_goes(start):
+    assert html_blocks.main_text(f"{start}<p>{LONG}</p></{start[1:].split()[0].rstrip('>')}><main><p>x</p></main>") == "x"
+
+
 # --- op3 ---------------------------------------------------------------------------------------
 
 def test_codewords_differ():
