@@ -72,14 +72,16 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the 64-bit pattern as a signed long."""
+    """(doc_id, text_hash, fp): ``fp`` is the 64-bit pattern as a signed long."""
 
     def run(batches):
         for b in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return named.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _fp_column(batch) -> np.ndarray:
@@ -301,8 +303,9 @@ def links(cells: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for every document row."""
+def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 3, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every document row, and (fp, first_id, root) of every fingerprint: ``root`` names its
+    component."""
     by_doc = stored(fingerprints(docs, shingle), "simhash-fp")
     folded = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     units = bit_units(folded)
@@ -310,9 +313,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, block:
     plan = plan_partitions(hist, max_bits)
     edges = links(probe(folded, units, hist, plan, block), max_bits)
     roots = components(edges)
-    # Component of every distinct fingerprint, then the smallest id in it.
     rooted = folded.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
+    return by_doc, rooted
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) for every document row."""
+    by_doc, rooted = grouped(docs, shingle, max_bits, block)
+    # The smallest id in the component of every distinct fingerprint.
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
     return by_doc.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -325,14 +334,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """Pipeline form: one document of each group (its smallest doc_id), with its own columns.
+    """Pipeline form: one document of each group (its smallest doc_id, then text hash), with its own columns.
 
     Rows that repeat the kept document's id and text are one document. Rows
     without an id cannot be told apart by one and are all kept.
     """
     names = docs.columns
-    keep = (near_duplicates(docs, shingle, max_bits).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias("_keep_id")).distinct())
-    named = docs.filter(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep_id"), "left_semi")
-    once = named.dropDuplicates(["doc_id", "text"])
+    by_doc, rooted = grouped(docs, shingle, max_bits)
+    least = by_doc.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first"))
+    keep = (least.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("_first").alias("_first"))
+            .select(F.col("_first.doc_id").alias("_keep_id"), F.col("_first.text_hash").alias("_keep_hash")))
+    same = (F.col("doc_id") == F.col("_keep_id")) & (F.xxhash64("text") == F.col("_keep_hash"))
+    once = docs.filter(F.col("doc_id").isNotNull()).join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(names).unionByName(docs.filter(F.col("doc_id").isNull()).select(names))

@@ -186,6 +186,15 @@ def test_components_long_chain(spark):
     assert got == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
 
 
+def test_keep_one_by_id_and_text(spark):
+    a, b = words(200, 31), words(200, 32)
+    near = a + " "  # the same shingles in another text
+    # A kept id keeps neither its other text, which belongs to the group of id 0, nor a second text of its own group.
+    docs = frame(spark, [b, a, b, near], [0, 1, 1, 1])
+    got = [(r.doc_id, r.text.strip()) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got) == sorted([(0, b), (1, a)])
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 def brute_dedup(rows, length=100):
