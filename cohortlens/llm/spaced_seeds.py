@@ -19,8 +19,11 @@ rows. Beyond it, narrow (document, position, hash) rows are shuffled on the
 hash, reduced to distinct (document, item, diagonal) and verified after a join
 with the texts.
 
-Edge cases: null or empty texts, and documents or items of fewer than 13
-tokens, are never part of a match. A null doc_id or item_id is carried through.
+An item of fewer than 13 tokens is its own window: a document that holds all of
+its tokens in a row is contaminated by it (exact runs of that length, hashed and
+compared). The SQL twin has only the windows of 13.
+
+Edge cases: null or empty texts are never part of a match. A null doc_id or item_id is carried through.
 Repeated documents give one row per (doc_id, item_id). Empty tables give an
 empty result. Other columns are ignored, whatever their names.
 """
@@ -79,6 +82,25 @@ def _verified(hits: DataFrame) -> DataFrame:
                     (F.col("_at") + F.element_at("_good", -1) + WINDOW).alias("token_end")))
 
 
+def _short_matches(texts: DataFrame, items: DataFrame, broadcast_seeds: int) -> DataFrame | None:
+    """(doc_id, item_id, best, token_start, token_end): places in (doc_id, _words) that repeat a whole item of fewer than
+    WINDOW tokens; None without such items."""
+    keyed = items.filter(F.size("_item") > 0).distinct().withColumn("_bseed", F.xxhash64("_item"))
+    sizes = keyed.groupBy(F.size("_item").alias("n")).count().collect()  # at most WINDOW - 1 rows
+    if not sizes:
+        return None
+    if sum(r["count"] for r in sizes) <= broadcast_seeds:
+        keyed = F.broadcast(keyed)
+    here = F.array(*[F.lit(r.n) for r in sizes]).cast("array<int>")
+    runs = (texts.select("doc_id", "_words", F.explode(here).alias("_n")).filter(F.size("_words") >= F.col("_n"))
+            .select("doc_id", "_words", "_n", F.explode(F.sequence(F.lit(0), F.size("_words") - F.col("_n"))).alias("_at"))
+            .select("doc_id", "_at", "_n", F.slice("_words", F.col("_at") + 1, F.col("_n")).alias("_run")))
+    return (runs.withColumn("_seed", F.xxhash64("_run"))
+            .join(keyed, (F.col("_seed") == F.col("_bseed")) & (F.col("_run") == F.col("_item")))
+            .select("doc_id", "item_id", F.col("_n").alias("best"), F.col("_at").alias("token_start"),
+                    (F.col("_at") + F.col("_n")).alias("token_end")))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, best, token_start, token_end) of every contaminated pair.
 
@@ -86,7 +108,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     spans all qualifying windows in the document.
     """
     texts = docs.select("doc_id", tokens(F.col("text")).alias("_words"))
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("_item")).filter(F.size("_item") >= WINDOW)
+    items_of = benchmark.select("item_id", tokens(F.col("text")).alias("_item"))
+    items = items_of.filter(F.size("_item") >= WINDOW)
     keyed = items.select(F.xxhash64("item_id", "_item").alias("_k"), "item_id", "_item").dropDuplicates(["_k"])
     bench = seeds(keyed.select("_k", "_item"), "_item", "_j").select("_k", "_j", F.col("_seed").alias("_bseed"))
     small = bench.count() <= broadcast_seeds
@@ -100,7 +123,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
                   .select("doc_id", "_k", (F.col("_i") - F.col("_j")).alias("_shift")).distinct()
                   .withColumnRenamed("doc_id", "_id"))
         found = (texts.join(narrow, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").join(keyed, "_k"))
-    return (_verified(found).groupBy("doc_id", "item_id")
+    every = _verified(found)
+    short = _short_matches(texts, items_of.filter(F.size("_item") < WINDOW), broadcast_seeds)
+    if short is not None:
+        every = every.unionByName(short)
+    return (every.groupBy("doc_id", "item_id")
             .agg(F.max("best").alias("best"), F.min("token_start").alias("token_start"),
                  F.max("token_end").alias("token_end")))
 

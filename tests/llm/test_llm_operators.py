@@ -319,6 +319,17 @@ def test_decontaminate(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "None"]
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_short_items_match_as_a_whole(spark, bound):
+    bench = spark.createDataFrame([(1, "What is the capital of Peru?"), (2, "Who won"), (3, ""), (4, None),
+                                   (5, words(20, 1))], "item_id long, text string")
+    docs = frame(spark, ["So, what is the CAPITAL of Peru? who won", "what is the capital of Chile", "Peru", None,
+                         words(20, 1), words(12, 1), "who won, who won"])
+    got = {tuple(r) for r in spaced_seeds.overlaps(docs, bench, bound).collect()}
+    assert got == {(0, 1, 6, 1, 7), (0, 2, 2, 7, 9), (4, 5, 13, 0, 20), (6, 2, 2, 0, 4)}
+    assert sorted(r.doc_id for r in spaced_seeds.decontaminate(docs, bench).collect()) == [1, 2, 3, 5]
+
+
 # --- op7 ---------------------------------------------------------------------------------------
 
 def test_budgets_fill_siblings_first(spark):
