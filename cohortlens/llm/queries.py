@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import (cotraining, cross_entropy, html_blocks, language_codes, mixing, quality_ledger,
-                            quote_links, simhash, spaced_seeds, suffix_index)
+from cohortlens.llm import (cotraining, cross_entropy, hard_negatives, html_blocks, language_codes, mixing, quality_ledger,
+                            quote_links, simhash, spaced_seeds, suffix_index, token_alignment)
 from cohortlens.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,20 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score(read_table(spark, sf_dir, "documents"), cross_entropy.good_documents(labels))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over the bytes of every document: groups, links and their corpus counts."""
+    return token_alignment.digest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector: slots below its positives' upper limits."""
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_html_blocks, op2_quality_ledger, op3_language_codes, op4_suffix_dedup, op5_quote_links, op6_cotraining,
-    op7_mixing, op8_simhash, op9_spaced_seeds, op10_cross_entropy)}
+    op7_mixing, op8_simhash, op9_spaced_seeds, op10_cross_entropy, op11_token_alignment,
+    op13_hard_negatives)}
 
 
 _OP2_SQL = r"""
@@ -115,4 +126,5 @@ ORACLE_SQL: dict[str, str] = {
         "{mask}", str(quality_ledger.POLICIES[quality_ledger.CURRENT].mask | quality_ledger.BASE.mask)),
     "op7_mixing": mixing.sql(),
     "op9_spaced_seeds": spaced_seeds.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
