@@ -111,7 +111,7 @@ def _cells(rows: DataFrame, anchors: DataFrame, pick, ddl: str, schema: pa.Schem
     left = rows.withColumn("r", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(r))).withColumn(
         "c", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
     right = anchors.withColumn("c", F.pmod(F.xxhash64("vec_id", "key"), F.lit(c)).cast("int")).withColumn(
-        "r", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).cast("long"))
+        "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r - 1).cast("long"))))
 
     def run(x: pa.Table, a: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in schema]
@@ -144,7 +144,8 @@ def _cells(rows: DataFrame, anchors: DataFrame, pick, ddl: str, schema: pa.Schem
 _PICKED = pa.schema([("anchor_id", pa.int64()), ("key", pa.int64()), ("slot", pa.int32()), ("other_id", pa.int64()),
                      ("score", pa.int64())])
 _PICKED_DDL = "anchor_id long, key long, slot int, other_id long, score long"
-_ORDER = (F.col("score").desc(), F.col("other_id").asc_nulls_last())
+def _order():
+    return F.col("score").desc(), F.col("other_id").asc_nulls_last()
 
 
 def positives_of(rows: DataFrame, anchors: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
@@ -154,7 +155,7 @@ def positives_of(rows: DataFrame, anchors: DataFrame, k: int = 5, scale: int = 2
         yield 0, first(s, np.flatnonzero(other & (labels == anchor["label"])), k)
 
     best = _cells(rows, anchors, pick, _PICKED_DDL, _PICKED, scale)
-    place = F.row_number().over(Window.partitionBy("anchor_id", "key").orderBy(*_ORDER))
+    place = F.row_number().over(Window.partitionBy("anchor_id", "key").orderBy(*_order()))
     return best.withColumn("place", place).filter(F.col("place") <= k).select(
         "anchor_id", "key", "place", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
 
@@ -174,7 +175,7 @@ def slots_of(rows: DataFrame, anchors: DataFrame, positives: DataFrame, k: int =
             yield slot, first(s, open_rows[inside], k)
 
     best = _cells(rows, asked, pick, _PICKED_DDL, _PICKED, scale)
-    place = F.row_number().over(Window.partitionBy("anchor_id", "key", "slot").orderBy(*_ORDER))
+    place = F.row_number().over(Window.partitionBy("anchor_id", "key", "slot").orderBy(*_order()))
     return best.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
@@ -194,7 +195,7 @@ def mine(rows: DataFrame, every: int = 100, n_positives: int = 5, n_negatives: i
         .withColumn("hi", F.floor(exact * F.lit(high) / F.lit(100)).cast("long")), "negatives-positives")
     slots = slots_of(taking, anchors, positives, n_negatives, scale)
     # One ordered list per anchor; what a window sees of it is the suffix below its upper limit.
-    whole = Window.partitionBy("anchor_id", "key").orderBy(*_ORDER)
+    whole = Window.partitionBy("anchor_id", "key").orderBy(*_order())
     ordered = slots.withColumn("at", F.row_number().over(whole)).groupBy("anchor_id", "key").agg(
         F.sort_array(F.collect_list(F.struct("at", "score", "other_id"))).alias("list"))
     seen = F.slice(F.filter("list", lambda x: x["score"] <= F.col("hi")), 1, n_negatives)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import (cotraining, cross_entropy, hard_negatives, html_blocks, language_codes, mixing, quality_ledger,
-                            quote_links, simhash, spaced_seeds, suffix_index, token_alignment)
+from cohortlens.llm import (cotraining, cross_entropy, hard_negatives, html_blocks, language_codes, mixing,
+                            quality_ledger, quote_links, simhash, spaced_seeds, suffix_index, token_alignment)
 from cohortlens.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
