@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import (cotraining, cross_entropy, hard_negatives, html_blocks, language_codes, mixing,
-                            quality_ledger, quote_links, simhash, spaced_seeds, suffix_index, token_alignment)
+from cohortlens.llm import (cotraining, cross_entropy, hard_negatives, html_blocks, language_codes,
+                            lsh_forest, mixing, quality_ledger, quote_links, simhash, spaced_seeds, suffix_index,
+                            token_alignment)
 from cohortlens.llm.common import read_table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +71,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are 0.85 alike, from an LSH forest."""
+    return lsh_forest.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector: slots below its positives' upper limits."""
     return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
@@ -78,7 +84,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Build] = {f.__name__: f for f in (
     op1_html_blocks, op2_quality_ledger, op3_language_codes, op4_suffix_dedup, op5_quote_links, op6_cotraining,
     op7_mixing, op8_simhash, op9_spaced_seeds, op10_cross_entropy, op11_token_alignment,
-    op13_hard_negatives)}
+    op12_lsh_forest, op13_hard_negatives)}
 
 
 _OP2_SQL = r"""
