@@ -2,18 +2,24 @@
 
 Probabilities, argmax, margins, integrity checks and review flags are array
 built-ins. The model itself is outside Spark's optimizer: ``score_batches``
-and ``label_batches`` run a pluggable function over Arrow batches with
-``mapInPandas`` (the function is loaded once per task, batches bounded by
-``spark.sql.execution.arrow.maxRecordsPerBatch``).
+and ``label_batches`` run a pluggable function over Arrow batches (bounded by
+``spark.sql.execution.arrow.maxRecordsPerBatch``): a model is built once per
+Python worker, a labeller is called from several threads of a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +35,8 @@ REVIEW_MORE = " Additional review triggers: "
 SUM_TOLERANCE = 1e-3
 CONFIDENCE_TOLERANCE = 1e-4
 MAX_LABEL_ATTEMPTS = 6
-BASE_WAIT_SECONDS, MAX_WAIT_SECONDS = 2.0, 60.0
+MAX_CONCURRENT_LABELS = 8
+BASE_WAIT_SECONDS, MAX_WAIT_SECONDS = 1.0, 60.0
 
 
 # PRJ-19 -----------------------------------------------------------------------
@@ -97,53 +104,119 @@ def review_flags(df: DataFrame, conf: float = C.CONFIDENCE_THRESHOLD, margin: fl
 
 
 # UDF-01 -----------------------------------------------------------------------
+#: Models that a Python worker keeps; the one used longest ago goes first.
+MODELS_KEPT = 2
+_models: dict[str, Callable] = {}
+
+
+def worker_model(name: str, model_fn: Callable[[], Callable]) -> Callable:
+    """The model ``name`` of this Python worker, built by ``model_fn`` when the worker has none.
+
+    Workers outlive tasks (``spark.python.worker.reuse``), so a stage of many
+    tasks builds a model once per worker.
+    """
+    if name in _models:
+        _models[name] = _models.pop(name)  # used last
+        return _models[name]
+    while len(_models) >= MODELS_KEPT:
+        del _models[next(iter(_models))]
+    _models[name] = model_fn()
+    return _models[name]
+
+
 def score_batches(df: DataFrame, model_fn: Callable[[], Callable[[pd.Series], list[list[float]]]],
-                  text: str = "text", key: str = "sample_id", n_classes: int = 3) -> DataFrame:
-    """Candidate scores from a batch model: ``model_fn()`` builds the scorer once per
-    task; the scorer maps a pandas Series of texts to per-class log scores."""
-    schema = f"{key} string, scores array<double>"
+                  text: str = "text", key: str = "sample_id", n_classes: int = 3, name: str | None = None,
+                  profile: ResourceProfile | None = None) -> DataFrame:
+    """Candidate scores from a batch model: ``model_fn()`` builds the scorer, once per Python worker; the scorer maps
+    a pandas Series of texts to ``n_classes`` log scores each.
+
+    ``name`` identifies the model in the worker's cache; by default it is a digest of ``model_fn`` with all it closes
+    over, so another model never answers for this one. ``profile`` asks for the executors and task slots of the stage
+    (memory or a GPU for the model). Another number of scores than ``n_classes`` is an error.
+    """
+    name = name or hashlib.sha256(cloudpickle.dumps(model_fn)).hexdigest()
 
     def run(batches):
-        scorer = model_fn()
+        scorer = worker_model(name, model_fn)
         for pdf in batches:
-            out = scorer(pdf[text])
-            yield pd.DataFrame({key: pdf[key].astype(str), "scores": [list(map(float, s)) for s in out]})
+            out = [list(map(float, s)) for s in scorer(pdf[text])]
+            if len(out) != len(pdf) or any(len(s) != n_classes for s in out):
+                raise ValueError(f"the model must give {n_classes} scores for each of {len(pdf)} texts")
+            yield pd.DataFrame({key: pdf[key], "scores": out})
 
-    return df.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, schema)
+    return df.select(F.col(key).cast("string").alias(key), text).mapInPandas(
+        run, f"{key} string, scores array<double>", profile=profile)
 
 
 # UDF-02 -----------------------------------------------------------------------
+class Pace:
+    """Hands out start times, ``per_second`` of them each second, to the threads of one task."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = (1.0 / per_second if per_second else 0.0), 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            start = max(time.monotonic(), self.next)
+            self.next = start + self.gap
+        time.sleep(max(0.0, start - time.monotonic()))
+
+
+def attempt_label(label_fn: Callable[[str], int | None], text: str | None, retries: int, base_wait: float,
+                  pace: Pace) -> tuple:
+    """(status, label, label_failed, error_type, unresolved_reason, attempts) of one text."""
+    error = None
+    for attempt in range(1, retries + 1):
+        pace.wait()
+        try:
+            label = label_fn(text)
+        except Exception as exc:  # noqa: BLE001 - any failure is retried
+            error = type(exc).__name__
+            if base_wait and attempt < retries:
+                time.sleep(min(MAX_WAIT_SECONDS, base_wait * 2 ** (attempt - 1) + random.random()))
+            continue
+        if label is None:
+            return "unresolved", None, False, None, "labeller_uncertain", attempt
+        return "resolved", int(label), False, None, None, attempt
+    return "unresolved", None, True, error, "api_failure", retries
+
+
+_LABELLED = pa.schema([("status", pa.string()), ("label", pa.int32()), ("label_failed", pa.bool_()),
+                       ("error_type", pa.string()), ("unresolved_reason", pa.string()), ("attempts", pa.int32())])
+
+
 def label_batches(df: DataFrame, label_fn: Callable[[str], int | None], text: str = "text", key: str = "note_id",
-                  retries: int = MAX_LABEL_ATTEMPTS, base_wait: float = BASE_WAIT_SECONDS) -> DataFrame:
+                  retries: int = MAX_LABEL_ATTEMPTS, base_wait: float = BASE_WAIT_SECONDS,
+                  concurrency: int = MAX_CONCURRENT_LABELS, per_second: float | None = None) -> DataFrame:
     """Label each row with bounded retries: after ``retries`` failures the row is
     unresolved / api_failure; a None answer is unresolved / labeller_uncertain.
 
-    Between attempts a task waits ``base_wait`` * 2^attempt seconds and up to one
+    A task keeps up to ``concurrency`` calls under way, so the waits of failing
+    rows overlap with the calls of others, and starts at most ``per_second``
+    calls a second (retries included; None: no limit). Both hold per task: a
+    service sees them times the running tasks. ``label_fn`` must allow calls
+    from several threads; ``concurrency=1`` calls it from one at a time.
+
+    Between attempts a row waits ``base_wait`` * 2^attempt seconds and up to one
     more, at most ``MAX_WAIT_SECONDS``; 0 turns waiting off (labellers without a service).
+
+    Keys stay Arrow longs: a null key gives a row with a null key, and large ids are exact beside it. Results keep the
+    order of the rows.
     """
     schema = (f"{key} long, status string, label int, label_failed boolean, error_type string, "
               "unresolved_reason string, attempts int")
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text]):
-                label, err, attempts = None, None, 0
-                for attempts in range(1, retries + 1):
-                    try:
-                        label, err = label_fn(t), None
-                        break
-                    except Exception as exc:  # noqa: BLE001 - any failure is retried
-                        err = type(exc).__name__
-                        if base_wait and attempts < retries:
-                            time.sleep(min(MAX_WAIT_SECONDS, base_wait * 2 ** (attempts - 1) + random.random()))
-                failed = err is not None
-                if label is None:
-                    rows.append((int(k), "unresolved", None, failed, err,
-                                 "api_failure" if failed else "labeller_uncertain", attempts))
-                else:
-                    rows.append((int(k), "resolved", int(label), False, None, None, attempts))
-            yield pd.DataFrame(rows, columns=[key, "status", "label", "label_failed", "error_type",
-                                              "unresolved_reason", "attempts"])
-
-    return df.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, schema)
+        pace = Pace(per_second)
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                rows = list(pool.map(lambda t: attempt_label(label_fn, t, retries, base_wait, pace),
+                                     batch.column(1).to_pylist()))
+                columns = list(zip(*rows)) or [()] * len(_LABELLED)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, _LABELLED.types)]],
+                    [key, *_LABELLED.names])
+
+    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)

@@ -495,7 +495,7 @@ def evl_10(cdm):
 
 # ---------------------------------------------------------------- UDF-01 / UDF-02 (rows-only: model code)
 def stub_model():
-    """Deterministic stand-in scorer (a real one loads weights here, once per task)."""
+    """Deterministic stand-in scorer (a real one loads weights here, once per worker)."""
     def score(texts):
         out = []
         for t in texts:
@@ -521,7 +521,7 @@ def stub_labeller(text):
   SELECT sample_id, CAST(CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS INTEGER) AS predicted_label,
          round(exp(greatest(a, b, c)) / (exp(a) + exp(b) + exp(c)), 6) AS confidence FROM s""")
 def udf_01(cdm):
-    """Batch scorer over every document text (mapInPandas, scorer built once per task) -> probabilities."""
+    """Batch scorer over every document text (mapInPandas, scorer built once per worker) -> probabilities."""
     d = cdm.raw("documents").select(F.col("doc_id").cast("string").alias("sample_id"), "text")
     scored = S.score_batches(d, stub_model, "text", "sample_id")
     return S.decide(scored.withColumn("probs", C.softmax("scores")), "probs").select(

@@ -40,5 +40,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
     from cohortlens.plans import (profile_plans, record_plans, dataset_plans,  # noqa: F401
-                                  evaluation_plans, quality_plans, run_plans, io_plans)
+                                  evaluation_plans, quality_plans, run_plans, io_plans, stream_plans)
     return QUERIES
