@@ -106,28 +106,129 @@ def prefix_sum(df: DataFrame, by: list[str], order: list[Column | str], cols: li
         *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}{suffix}") for c in cols], *whole)
 
 
-def exact_quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float]) -> DataFrame:
+def last_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of greatest ``order`` per key (null keys are keys); equal orders: the greatest row hash.
+
+    Only the keys, the order and a 64-bit row hash are aggregated; the chosen rows are met again by a join, so no text
+    is sorted or buffered. Rows that agree in all columns are one.
+    """
+    checkpoint_dir(df.sparkSession)
+    names = [*keys, *[c for c in df.columns if c not in keys]]
+    hashed = df.withColumn("_last_row", F.xxhash64(*names))
+    counts = hashed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(order).alias("_last_order"), F.col("_last_row").alias("_last_hash")).agg(
+        F.count(F.lit(1)).alias("_last_times"))
+    own = [f"_k_{k}" for k in keys]
+    last = counts.groupBy(*own).agg(F.max(F.struct("_last_order", "_last_hash", "_last_times")).alias("_last")).select(
+        *own, "_last._last_order", "_last._last_hash", "_last._last_times")
+    last = last.checkpoint(eager=True)  # narrow
+    same = [*same_keys(keys, "_k_"), F.col(order).eqNullSafe(F.col("_last_order")), F.col("_last_row") == F.col("_last_hash")]
+    chosen = hashed.join(last.filter("_last_times = 1"), same, "left_semi").select(names)
+    repeated = last.filter("_last_times > 1")
+    if repeated.isEmpty():
+        return chosen
+    return chosen.unionByName(hashed.join(repeated, same, "left_semi").select(names).dropDuplicates(keys))
+
+
+#: Relative error of the quantile sketch that brackets a value; a bracket holds about 6 / SKETCH of a group's rows.
+SKETCH = 10_000
+
+
+def same_keys(by: list[str], prefix: str) -> list[Column]:
+    """Join condition on ``by`` against columns of the same names behind ``prefix``; null keys meet."""
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in by]
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per group); null group keys are keys like others."""
+    if not by:
+        return left.join(F.broadcast(right), F.lit(True), how)  # one row
+    named = right.select(*[F.col(k).alias(f"_j_{k}") for k in by], *[c for c in right.columns if c not in by])
+    return left.join(named, same_keys(by, "_j_"), how).drop(*[f"_j_{k}" for k in by])
+
+
+def exact_quantiles(df: DataFrame, by: list[str], col: str, at: dict[str, float], sketch: int = SKETCH) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``col`` per group, one column per entry of ``at``.
 
-    From (group, value) counts and their running sum, so no task ever holds the values of a group.
+    1. A mergeable sketch per group gives a bracket that surely holds the
+       wanted ranks: its rank error is 1 / ``sketch``, the bracket is three
+       times as wide to both sides.
+    2. One count of the rows below each bracket and of every value inside.
+       Values outside are only counted, so neither a group's values nor its
+       distinct values are ever sorted or held in a buffer.
+
+    Nulls are left out; groups without a value give no row (without ``by``: a row of nulls). The sketch (one row
+    per group) is computed when the quantiles are declared.
+    """
+    spark = df.sparkSession
+    values = df.select(*by, F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    margin = 3.0 / sketch
+    ends = [x for q in at.values() for x in (max(0.0, q - margin), min(1.0, q + margin))]
+    groups = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"),
+                                     F.percentile_approx("_v", [float(x) for x in ends], sketch).alias("_p"))
+    bounds = [f"_{side}{i}" for i in range(len(at)) for side in ("lo", "hi")]
+    groups = groups.select(*[F.col(k).alias(f"_s_{k}") for k in by], "_total",
+                           *[F.col("_p")[i].alias(b) for i, b in enumerate(bounds)])
+    if by:
+        known = values.join(checked_broadcast(groups), same_keys(by, "_s_"))
+    else:  # one row
+        first = groups.first()
+        if first[bounds[0]] is None:
+            return spark.createDataFrame([tuple(None for _ in at)], ", ".join(f"{n} double" for n in at))
+        known = values.select("_v", *[F.lit(first[c]).alias(c) for c in groups.columns])
+    inside = [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(at))]
+    any_inside = F.lit(False)
+    for x in inside:
+        any_inside = any_inside | x
+    # Outside values share the null key, whose row comes first in each group.
+    counts = known.withColumn("_key", F.when(any_inside, F.col("_v"))).groupBy(*by, "_total", *bounds, "_key").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(at))])
+    counts = counts.withColumnRenamed("_key", "_v")
+    whole = Window.partitionBy(*by)
+    running = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.select(*by, "_v", "_n", "_total", *[
+        c for i in range(len(at)) for c in (
+            inside[i].alias(f"_in{i}"),
+            (F.sum(f"_b{i}").over(whole) + F.sum(F.when(inside[i], F.col("_n")).otherwise(0)).over(running)).alias(f"_c{i}"))])
+    return _interpolated(ranked, by, at)
+
+
+def count_quantiles(counts: DataFrame, by: list[str], col: str, n: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles where ``counts`` already has one row per group and value, ``n`` times each.
+
+    For values that are few by their nature (counts per person, bands); a group's distinct values share a window.
     """
-    counts = (df.select(*by, F.col(col).cast("double").alias("_v")).filter("_v IS NOT NULL")
-              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    cum = prefix_sum(counts, by, [F.col("_v").asc()], ["_n"], total_suffix="_total")
-    found = []
-    for name, q in at.items():
-        place = F.lit(q) * (F.col("_n_total") - 1)
+    whole = Window.partitionBy(*by)
+    ranked = counts.filter(F.col(col).isNotNull()).select(
+        *by, F.col(col).cast("double").alias("_v"), F.col(n).alias("_n"), F.sum(n).over(whole).alias("_total"),
+        F.sum(n).over(whole.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"))
+    for i in range(len(at)):
+        ranked = ranked.withColumn(f"_in{i}", F.lit(True)).withColumn(f"_c{i}", F.col("_cum"))
+    return _interpolated(ranked, by, at)
+
+
+def _interpolated(ranked: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """Quantiles from values ``_v`` that end at the running count ``_c<i>`` where they are candidates (``_in<i>``)."""
+    found, out = [F.max("_total").alias("_total")], []
+    for i, (name, q) in enumerate(at.items()):
+        place = F.lit(float(q)) * (F.col("_total") - 1)
         for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            holds = (F.col("_n_cum") > index) & (F.col("_n_cum") - F.col("_n") <= index)
+            holds = F.col(f"_in{i}") & (F.col(f"_c{i}") > index) & (F.col(f"_c{i}") - F.col("_n") <= index)
             found.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}_{side}"))
-    wide = cum.groupBy(*by).agg(F.max("_n_total").alias("_n_total"), *found)
-    out = []
-    for name, q in at.items():
-        place = F.lit(q) * (F.col("_n_total") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         mixed = (F.ceil(place) - place) * lo + (place - F.floor(place)) * hi
-        out.append(F.when(lo == hi, lo).otherwise(mixed).alias(name))
-    return wide.select(*by, *out)
+        out.append(F.when(F.col("_total").isNull(), F.lit(None).cast("double"))
+                   .when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile outside the bracket of its sketch")))
+                   .when(lo == hi, lo).otherwise(mixed).cast("double").alias(name))
+    return ranked.groupBy(*by).agg(*found).select(*by, *out)
+
+
+def exact_medians(df: DataFrame, by: list[str], cols: dict[str, str]) -> DataFrame:
+    """Exact medians of several columns, named as in ``cols`` (name -> column), in the two passes of one."""
+    tall = df.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("v")) for name, c in cols.items()])).alias("_x"))
+    found = exact_quantiles(tall.select(*by, F.col("_x.name").alias("_name"), F.col("_x.v").alias("_value")),
+                            [*by, "_name"], "_value", {"_median": 0.5})
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_median"))).alias(name) for name in cols])
 
 
 #: Leading hex digits of the seeded key that are counted: about a million slots per class.

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
-from cohortlens.operators.dist import checked_broadcast, exact_quantiles
-from cohortlens.session import bounded_broadcast
+from cohortlens.operators.dist import (checked_broadcast, count_quantiles, exact_medians, exact_quantiles,
+                                       dist_rank, join_groups, rank_within, same_keys)
+from cohortlens.session import bounded_broadcast, checkpoint_dir
 
 
 def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
@@ -28,6 +29,33 @@ def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
             .drop("_one"))
 
 
+# PRJ-03 / PRJ-04 ----------------------------------------------------------------
+# The date column of each clinical table.
+DATE_COLUMNS = {
+    "condition_occurrence": "condition_start_date", "drug_exposure": "drug_exposure_start_date",
+    "visit_occurrence": "visit_start_date", "procedure_occurrence": "procedure_date",
+    "measurement": "measurement_date", "observation": "observation_date", "note": "note_date"}
+
+
+def coerce_dates(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as dates; text that is no date or time becomes null. Columns that are not there are left out."""
+    dates = {c: F.trim(F.col(c).cast("string")).try_cast("timestamp").cast("date") for c in cols if c in df.columns}
+    return df.withColumns(dates) if dates else df
+
+
+def coerce_table_dates(tables: dict[str, DataFrame], date_columns: dict[str, str] = DATE_COLUMNS) -> dict[str, DataFrame]:
+    """Every table with its date column coerced; tables without an entry stay as they are."""
+    return {name: coerce_dates(df, [date_columns[name]]) if name in date_columns else df for name, df in tables.items()}
+
+
+def coerce_positive(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """Rows whose ``col`` is a number above 0, as a double in ``out`` (default: ``<col>_clean``); bad text, NaN and
+    nulls go."""
+    out = out or f"{col}_clean"
+    number = F.nanvl(F.trim(F.col(col).cast("string")).try_cast("double"), F.lit(None).cast("double"))
+    return df.withColumn(out, number).filter(F.col(out) > 0)
+
+
 # JON-03 / JON-02 ------------------------------------------------------------
 def with_concept(df: DataFrame, key: str, concept: DataFrame, name: str = "concept_name",
                  fallback: str | None = None, domain: str | None = None) -> DataFrame:
@@ -88,12 +116,14 @@ def null_profile(df: DataFrame, cols: list[str], table_name: str = "") -> DataFr
 
 # AGG-03 -----------------------------------------------------------------------
 def describe(df: DataFrame, col: str, by: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """min / max / mean / median, nulls and NaN left out."""
-    v = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    med = F.percentile_approx(v, 0.5, 10000) if approx else F.median(v)
-    aggs = [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.avg(v).alias("mean"), med.alias("median")]
-    return df.groupBy(*(by or [])).agg(*aggs)
+    """min / max / mean / median, nulls and NaN left out; the median is exact unless ``approx``."""
+    by = by or []
+    data = df.select(*by, F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double")).alias("_value"))
+    aggs = [F.count("_value").alias("n"), F.min("_value").alias("min"), F.max("_value").alias("max"),
+            F.avg("_value").alias("mean")]
+    if approx:
+        return data.groupBy(*by).agg(*aggs, F.percentile_approx("_value", 0.5, 10000).alias("median"))
+    return join_groups(data.groupBy(*by).agg(*aggs), exact_quantiles(data, by, "_value", {"median": 0.5}), by)
 
 
 # AGG-04 -----------------------------------------------------------------------
@@ -134,38 +164,69 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by: list[str] | None = No
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def unit_histogram(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    """Unit-width integer bins (counts per integer value), zero bins included."""
+def value_gaps(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
+    """(value, value_to, n): counts per integer value in order, and one row per run of absent values with n = 0.
+
+    As many rows as the values that occur, at most twice: a value far away is a
+    gap, not a row for each integer between. The running order of one group's
+    distinct values comes from one global rank, so no group is ordered in one task.
+    """
     by = by or []
     v = F.col(col).cast("long")
-    data = df.select(*by, v.alias("value")).filter(F.col("value").isNotNull())
-    counts = data.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    rng = data.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    # Two steps, so that a wide range is rows of the result but never one array.
-    block = rng.select(*by, "_lo", "_hi", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.expr("(_hi - _lo) div 4096"))).alias("_b"))
-    start = F.col("_lo") + F.col("_b") * 4096
-    grid = block.select(*by, F.explode(F.sequence(start, F.least(start + 4095, F.col("_hi")))).alias("value"))
-    return grid.join(counts, by + ["value"], "left").select(
-        *by, "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    counts = (df.select(*by, v.alias("value")).filter(F.col("value").isNotNull())
+              .groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
+    placed = rank_within(counts, by, [F.col("value")], "_r") if by else dist_rank(counts, [F.col("value")], "_r")
+    # The value before: the row of the place before, met by an equi-join on (group, place).
+    before = placed.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("value").alias("_last"),
+                           (F.col("_r") + 1).alias("_next"))
+    pairs = placed.join(before, [*same_keys(by, "_b_"), F.col("_r") == F.col("_next")])
+    # (last + 1 does not overflow: it is below the value)
+    gaps = pairs.filter(F.col("_last") < F.col("value") - 1).select(
+        *by, (F.col("_last") + 1).alias("value"), (F.col("value") - 1).alias("value_to"), F.lit(0).cast("long").alias("n"))
+    return placed.select(*by, "value", F.col("value").alias("value_to"), "n").unionByName(gaps)
+
+
+#: Widest range that ``unit_histogram`` spells out, one row per integer.
+DENSE_RANGE = 1_000_000
+
+
+def unit_histogram(df: DataFrame, col: str, by: list[str] | None = None, dense_range: int = DENSE_RANGE) -> DataFrame:
+    """Unit-width integer bins (counts per integer value), zero bins included.
+
+    Gaps between values are spelled out as rows with n = 0, ``dense_range``
+    integers at most each; a longer gap (a wild value) stays one row, which
+    ``value_to`` ends. For every other row ``value_to`` is ``value``.
+    """
+    by = by or []
+    rows = value_gaps(df, col, by)
+    width = F.col("value_to").cast("decimal(20,0)") - F.col("value").cast("decimal(20,0)")  # may pass a long
+    short = (F.col("n") == 0) & (width < dense_range)
+    block = 4096  # two steps: a gap is rows of the result, but never one array
+    blocks = rows.filter(short).select(*by, "value", "value_to", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.expr(f"(value_to - value) div {block}"))).alias("_b"))
+    start = F.col("value") + F.col("_b") * block
+    spelled = blocks.select(*by, F.explode(F.sequence(start, F.least(start + block - 1, F.col("value_to")))).alias("value"))
+    spelled = spelled.select(*by, "value", F.col("value").alias("value_to"), F.lit(0).cast("long").alias("n"))
+    return rows.filter(~short).unionByName(spelled)
 
 
 # AGG-06 -----------------------------------------------------------------------
 def events_per_person(domains: dict[str, DataFrame]) -> DataFrame:
     """Events per patient in each domain (patients with >= 1 event)."""
-    parts = []
+    out = None
     for name, df in domains.items():
-        per = df.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
-        parts.append(per.agg(F.sum("n").cast("long").alias("total_events"),
-                             F.count(F.lit(1)).alias("n_persons"),
-                             F.median("n").alias("median_per_person"),
-                             F.avg("n").alias("mean_per_person"),
-                             F.max("n").cast("long").alias("max_per_person"))
-                     .select(F.lit(name).alias("domain"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        per = df.groupBy("person_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("domain"), "n")
+        out = per if out is None else out.unionByName(per)
+    # One small number per patient and domain, read by the totals and by both passes of the median.
+    checkpoint_dir(out.sparkSession)
+    out = out.groupBy("domain", "n").agg(F.count(F.lit(1)).alias("_times")).checkpoint(eager=True)
+    totals = out.groupBy("domain").agg(
+        F.sum(F.col("n") * F.col("_times")).cast("long").alias("total_events"), F.sum("_times").alias("n_persons"),
+        (F.sum(F.col("n") * F.col("_times")) / F.sum("_times")).alias("mean_per_person"),
+        F.max("n").cast("long").alias("max_per_person"))
+    middle = count_quantiles(out, ["domain"], "n", "_times", {"median_per_person": 0.5})
+    return join_groups(totals, middle, ["domain"]).select(
+        "domain", "total_events", "n_persons", "median_per_person", "mean_per_person", "max_per_person")
 
 
 # AGG-07 -----------------------------------------------------------------------
@@ -297,21 +358,27 @@ def supply_summary(drug: DataFrame, cap: float = 0.99) -> DataFrame:
     valid = drug.filter(d.isNotNull() & (d > 0)).select(d.alias("d"))
     coverage = drug.agg(F.count(F.lit(1)).alias("exposures"),
                         F.count_if(d.isNotNull() & (d > 0)).alias("with_supply"))
-    limit = valid.agg(F.percentile("d", F.lit(cap)).alias("cap_value"))
-    below = _with_scalar(valid, limit).filter(F.col("d") <= F.col("cap_value"))
-    stats = below.agg(F.first("cap_value").alias("cap_value"), F.count(F.lit(1)).alias("n_below_cap"),
-                      F.median("d").alias("median_days"), F.avg("d").alias("mean_days"))
-    out = _with_scalar(coverage, stats)
+    limit = exact_quantiles(valid, [], "d", {"cap_value": cap}).first()[0]  # one number
+    below = valid.filter(F.col("d") <= F.lit(limit).cast("double"))
+    stats = below.agg(F.count(F.lit(1)).alias("n_below_cap"), F.avg("d").alias("mean_days"))
+    stats = _with_scalar(stats, exact_quantiles(below, [], "d", {"median_days": 0.5}))
+    out = _with_scalar(coverage, stats.withColumn("cap_value", F.lit(limit).cast("double")))
     return out.withColumn("coverage_pct", F.try_divide(F.col("with_supply") * 100.0, F.col("exposures")))
 
 
 # AGG-15 -----------------------------------------------------------------------
 def supply_by_drug(named_drug: DataFrame, n: int = 10, name: str = "concept_name") -> DataFrame:
     d = F.col("days_supply").cast("double")
-    valid = named_drug.filter(d.isNotNull() & (d > 0)).withColumn("_d", d)
-    return (valid.groupBy(name).agg(F.count("_d").alias("record_count"), F.median("_d").alias("median_days"),
-                                    F.avg("_d").alias("mean_days"))
-            .orderBy(F.desc("record_count"), F.asc(name)).limit(n))
+    valid = named_drug.filter(d.isNotNull() & (d > 0)).select(name, d.alias("_d"))
+    checkpoint_dir(valid.sparkSession)
+    top = (valid.groupBy(name).agg(F.count("_d").alias("record_count"), F.avg("_d").alias("mean_days"))
+           .orderBy(F.desc("record_count"), F.asc(name)).limit(n).checkpoint(eager=True))  # n rows
+    # Only the values of the drugs in the report are looked at again.
+    shown = top.select(F.col(name).alias("_top"))
+    theirs = valid.join(F.broadcast(shown), F.col(name).eqNullSafe(F.col("_top")), "left_semi")
+    middle = exact_quantiles(theirs, [name], "_d", {"median_days": 0.5})
+    return join_groups(top, middle, [name]).select(name, "record_count", "median_days", "mean_days").orderBy(
+        F.desc("record_count"), F.asc(name))
 
 
 # AGG-16 -----------------------------------------------------------------------
@@ -322,18 +389,23 @@ def note_features(note: DataFrame, concept: DataFrame) -> DataFrame:
 
 
 def note_summary(features: DataFrame) -> DataFrame:
-    """Corpus statistics. Patients come from the per-person counts, medians from one buffer of value counts
-    (lengths are small integers), so no buffer is shuffled per person."""
-    per_person = features.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"))
-    corpus = features.agg(
-        F.count(F.lit(1)).alias("notes"),
-        F.avg("note_length").alias("mean_chars"), F.median("note_length").alias("median_chars"),
-        F.max("note_length").alias("max_chars"), F.avg("word_count").alias("mean_words"),
-        F.median("word_count").alias("median_words"), F.max("word_count").alias("max_words"))
-    pp = per_person.agg(F.count("person_id").alias("patients"), F.avg("_n").alias("mean_notes_per_patient"),
-                        F.median("_n").alias("median_notes_per_patient"),
-                        F.max("_n").alias("max_notes_per_patient"))
-    return _with_scalar(corpus, pp)
+    """Corpus statistics. Patients come from the per-person counts; the medians are exact, from two passes over the
+    lengths, whose texts are measured once."""
+    checkpoint_dir(features.sparkSession)
+    sizes = features.select("person_id", "note_length", "word_count").checkpoint(eager=True)  # numbers only
+    per_person = sizes.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("_n").agg(
+        F.count(F.lit(1)).alias("_times"), F.count("person_id").alias("_known")).checkpoint(eager=True)
+    corpus = sizes.agg(F.count(F.lit(1)).alias("notes"), F.avg("note_length").alias("mean_chars"),
+                       F.max("note_length").alias("max_chars"), F.avg("word_count").alias("mean_words"),
+                       F.max("word_count").alias("max_words"))
+    people = per_person.agg(F.sum("_known").alias("patients"),
+                            (F.sum(F.col("_n") * F.col("_times")) / F.sum("_times")).alias("mean_notes_per_patient"),
+                            F.max("_n").alias("max_notes_per_patient"))
+    middle = exact_medians(sizes, [], {"median_chars": "note_length", "median_words": "word_count"})
+    notes = count_quantiles(per_person, [], "_n", "_times", {"median_notes_per_patient": 0.5})
+    out = _with_scalar(_with_scalar(_with_scalar(corpus, people), middle), notes)
+    return out.select("notes", "mean_chars", "median_chars", "max_chars", "mean_words", "median_words", "max_words",
+                      "patients", "mean_notes_per_patient", "median_notes_per_patient", "max_notes_per_patient")
 
 
 def note_types(features: DataFrame, n: int = 10) -> DataFrame:

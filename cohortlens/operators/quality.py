@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import columns as C
-from cohortlens.session import bounded_broadcast
+from cohortlens.operators.dist import count_quantiles
+from cohortlens.session import bounded_broadcast, checkpoint_dir
 
 # Rule thresholds.
 MULTIMORBIDITY_MIN = 3
@@ -95,6 +96,12 @@ def person_flags(tables: dict[str, DataFrame], specialty_map=None) -> DataFrame:
         F.bool_or("_open").alias("medication_status_unknown"))
     per_year = visit.groupBy("person_id", F.year("visit_start_date").alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
     v_agg = per_year.groupBy("person_id").agg(F.sum("_n").alias("n_visits"), F.max("_n").alias("max_visits_per_year"))
+    # The median over all persons needs their visit counts only; those are counted once for it and for the flags.
+    checkpoint_dir(person.sparkSession)
+    v_agg = v_agg.checkpoint(eager=True)
+    counted = person.select("person_id").join(v_agg, "person_id", "left").groupBy(
+        F.coalesce("n_visits", F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("persons"))
+    median_visits = count_quantiles(counted, [], "n", "persons", {"m": 0.5}).first()[0]  # one number
     n_agg = note.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_notes"))
     per_type = meas.filter(F.col("value_as_number").isNotNull()).groupBy("person_id", "measurement_concept_id").agg(
         F.countDistinct("measurement_date").alias("_dates"))
@@ -107,8 +114,6 @@ def person_flags(tables: dict[str, DataFrame], specialty_map=None) -> DataFrame:
     zero = ["n_conditions", "n_active_conditions", "n_drug_exposures", "n_single_administrations", "n_visits",
             "max_visits_per_year", "n_notes", "n_trendable_measurements"]
     out = out.fillna(0, subset=zero)
-    median_visits = out.agg(F.median("n_visits").alias("_median_visits")).withColumn("_one", F.lit(1))
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(median_visits), "_one").drop("_one")
     out = out.select(
         "person_id", *[F.col(c).cast("long").alias(c) for c in zero],
         ((F.col("n_conditions") == 0) & ((F.col("n_visits") > 1) | (F.col("n_notes") > 1))).alias("coding_gap"),
@@ -120,7 +125,7 @@ def person_flags(tables: dict[str, DataFrame], specialty_map=None) -> DataFrame:
         F.coalesce("repeated_courses", F.lit(False)).alias("repeated_courses"),
         F.coalesce("only_single_administrations", F.lit(False)).alias("only_single_administrations"),
         ((F.col("n_visits") > 0) & (F.col("max_visits_per_year") < LOW_VISITS_PER_YEAR)).alias("low_visit_frequency"),
-        (F.col("n_visits") < F.col("_median_visits")).alias("sparse_visits"),
+        (F.col("n_visits") < F.lit(median_visits).cast("double")).alias("sparse_visits"),
         (F.col("n_trendable_measurements") > 0).alias("trend_possible"))
     if specialty_map is not None:
         # The keyword lists run once per vocabulary entry, not per fact row.

@@ -80,17 +80,27 @@ def newest_first(df: DataFrame, date: str, tie: str) -> DataFrame:
 
 
 # WIN-01 -----------------------------------------------------------------------
-def newest(df: DataFrame, date: str, tie: str, n: int, key: str = "person_id") -> DataFrame:
+def newest(df: DataFrame, date: str, tie: str, n: int, key: str = "person_id", salted: bool = True) -> DataFrame:
     """Newest ``n`` rows per key (salted two-stage top-k: a patient with a
-    third of all rows is still ranked by many tasks)."""
-    return top_k_per_group(df, [key], [F.col(date).desc_nulls_last(), F.col(tie)], n, salt_by=tie,
+    third of all rows is still ranked by many tasks).
+
+    ``salted=False`` is for facts that are laid out by person already: no row
+    moves, and every task keeps the newest ``n`` of its persons.
+    """
+    return top_k_per_group(df, [key], [F.col(date).desc_nulls_last(), F.col(tie)], n, salt_by=tie if salted else None,
                            out="_rn").drop("_rn")
 
 
 # JON-01 -----------------------------------------------------------------------
 def history(tables, domain: str, ids: DataFrame | None = None, limit: int | None = None,
-            sort: bool = True) -> DataFrame:
-    """One domain history for every person in ``ids`` (all persons when None)."""
+            sort: bool = True, laid_out: bool = False) -> DataFrame:
+    """One domain history for every person in ``ids`` (all persons when None).
+
+    ``sort`` orders the whole result newest first per person, for an answer
+    that is shown; cohort-wide results leave it out and take the place of a row
+    from ``newest_rank``. ``laid_out`` says that the tables come from
+    ``sources.layout``: their facts are not moved then.
+    """
     table, key, name, date, tie, cols = DOMAIN_SPECS[domain]
     facts = _cohort(tables[table], ids)
     if key is not None:
@@ -99,7 +109,7 @@ def history(tables, domain: str, ids: DataFrame | None = None, limit: int | None
     if limit is not None:
         if not 1 <= limit <= QUERY_LIMIT_MAX:
             raise ValueError(f"limit {limit} is outside 1..{QUERY_LIMIT_MAX}; leave it out for the whole history")
-        facts = newest(facts, date, tie, limit)
+        facts = newest(facts, date, tie, limit, salted=not laid_out)
     return newest_first(facts, date, tie) if sort else facts
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.dist import dist_rank
+from cohortlens.operators.dist import dist_rank, last_rows
 
 
 # PRJ-28 -----------------------------------------------------------------------
@@ -71,8 +71,5 @@ def last_bundle(bundles: DataFrame, keys: list[str], order: str = "source") -> D
 
 
 def latest(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Newest row per key by timestamp (``max_by``: one pass, partial aggregation); equal times: greatest row hash."""
-    others = [c for c in df.columns if c not in keys]
-    place = F.struct(F.col(ts), F.xxhash64(*others))
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*others), place).alias("_b"))
-            .select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others]))
+    """Newest row per key by timestamp; equal times: greatest row hash."""
+    return last_rows(df, keys, ts)

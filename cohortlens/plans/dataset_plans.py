@@ -8,6 +8,7 @@ from cohortlens.functions import columns as C
 from cohortlens.functions.keywords import CORPUS_NEGATIVE, CORPUS_POSITIVE, CONDITION_SPECIALTY_MAP, \
     CORPUS_SPECIALTY_MAP
 from cohortlens.operators import datasets as D
+from cohortlens.operators import splits as SPL
 from cohortlens.plans import fixtures as FX
 from cohortlens.plans.oracle_views import with_views
 from cohortlens.plans.registry import query
@@ -186,8 +187,8 @@ def prj_18(cdm):
   SELECT note_id, person_id, CAST(length(note_text) AS INTEGER) AS note_length FROM note
   WHERE length(note_text) BETWEEN 100 AND 2000""", "note"))
 def win_12(cdm):
-    """Candidate pool: all notes of 100..2000 characters."""
-    pool = D.candidate_pool(cdm.note)
+    """Candidate pool: all notes of 100..2000 characters, 50 at least."""
+    pool = D.candidate_pool(cdm.note, at_least=50)
     return pool.select("note_id", "person_id", F.length("note_text").alias("note_length"))
 
 
@@ -262,6 +263,15 @@ def set_03(cdm):
     return D.except_rows(cdm.raw("documents").select("doc_id"), cdm.raw("labels").select("doc_id"))
 
 
+@query("set_03_required_columns", with_views("""
+  SELECT 'person_id' AS column_name, true AS present, CAST(count(*) FILTER (WHERE person_id IS NULL) AS BIGINT) AS n_null FROM letters
+  UNION ALL SELECT 'label', true, CAST(count(*) FILTER (WHERE label IS NULL) AS BIGINT) FROM letters
+  UNION ALL SELECT 'split', false, NULL""", "letters"))
+def set_03_columns(cdm):
+    """Columns that a split needs: which the letters lack, and the rows without a value in the others."""
+    return D.required_columns(FX.letters(cdm), ["person_id", "label", "split"])
+
+
 # ---------------------------------------------------------------- JON-07 / JON-08 / WIN-10 / WIN-11 / AGG-24
 @query("jon_07_pending", with_views("""
   SELECT note_id FROM letters WHERE note_id NOT IN (SELECT note_id FROM relabel WHERE note_id % 3 <> 0)""",
@@ -303,48 +313,88 @@ def jon_08_unres(cdm):
 
 _GROUPED_SQL = f"""
   , resolved AS ({_RESOLVED_SQL}),
-  groups AS (SELECT person_id, CAST(round(avg(CAST(label AS DOUBLE)) * 10) AS INTEGER) AS stratum FROM resolved GROUP BY 1),
-  ranked AS (SELECT person_id, row_number() OVER (PARTITION BY stratum ORDER BY {_key('person_id')}, person_id) - 1 AS r0
-             FROM groups),
-  assigned AS (SELECT person_id, CASE WHEN r0 % 5 = 0 THEN 'test'
-                                      WHEN (r0 - floor(r0 / 5) - 1) % 8 = 0 THEN 'validation' ELSE 'train' END AS split
-               FROM ranked),
+  groups AS (SELECT person_id, count(*) AS n, count(*) FILTER (WHERE label > 0) AS pos,
+                    CAST(round(count(*) FILTER (WHERE label > 0) * 10 / count(*)) AS INTEGER) AS stratum,
+                    {_key('person_id')} AS k FROM resolved GROUP BY person_id),
+  tot AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(n) - sum(pos) AS BIGINT) AS neg FROM groups),
+  heavy AS (SELECT person_id, g.n, g.pos, g.n - g.pos AS neg, row_number() OVER (ORDER BY g.n DESC, k) AS i
+            FROM groups g, tot WHERE g.n * {SPL.HEAVY} > tot.n),
+  -- Rows missing in test, validation and train (scaled by 40), after the first i heavy groups; p: positive, o: other.
+  heavy_placed AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS person_id, CAST(NULL AS VARCHAR) AS split,
+           8 * pos AS tp, 8 * neg AS t_o, 4 * pos AS vp, 4 * neg AS vo, 28 * pos AS rp, 28 * neg AS ro FROM tot
+    UNION ALL
+    SELECT i, person_id, split, tp - (CASE WHEN split = 'test' THEN 40 * gp ELSE 0 END), t_o - (CASE WHEN split = 'test' THEN 40 * gn ELSE 0 END),
+           vp - (CASE WHEN split = 'validation' THEN 40 * gp ELSE 0 END), vo - (CASE WHEN split = 'validation' THEN 40 * gn ELSE 0 END),
+           rp - (CASE WHEN split = 'train' THEN 40 * gp ELSE 0 END), ro - (CASE WHEN split = 'train' THEN 40 * gn ELSE 0 END)
+    FROM (SELECT h.i, h.person_id, h.pos AS gp, h.neg AS gn, tp, t_o, vp, vo, rp, ro,
+                 list_sort([
+                   (greatest(0, 40 * h.pos - tp) - greatest(0, -tp) + greatest(0, 40 * h.neg - t_o) - greatest(0, -t_o),
+                    -7 * (tp + t_o), 0, 'test'),
+                   (greatest(0, 40 * h.pos - vp) - greatest(0, -vp) + greatest(0, 40 * h.neg - vo) - greatest(0, -vo),
+                    -14 * (vp + vo), 1, 'validation'),
+                   (greatest(0, 40 * h.pos - rp) - greatest(0, -rp) + greatest(0, 40 * h.neg - ro) - greatest(0, -ro),
+                    -2 * (rp + ro), 2, 'train')])[1][4] AS split
+          FROM heavy_placed p JOIN heavy h ON h.i = p.i + 1)),
+  last AS (SELECT greatest(0, tp) AS tp, greatest(0, t_o) AS t_o, greatest(0, vp) AS vp, greatest(0, vo) AS vo,
+                  greatest(0, rp) AS rp, greatest(0, ro) AS ro FROM heavy_placed ORDER BY i DESC LIMIT 1),
+  shares AS (SELECT CASE WHEN tp + vp + rp > 0 THEN tp / CAST(tp + vp + rp AS DOUBLE) ELSE CAST(8 AS DOUBLE) / 40 END AS tp,
+                    CASE WHEN t_o + vo + ro > 0 THEN t_o / CAST(t_o + vo + ro AS DOUBLE) ELSE CAST(8 AS DOUBLE) / 40 END AS t_o,
+                    CASE WHEN tp + vp + rp > 0 THEN vp / CAST(tp + vp + rp AS DOUBLE) ELSE CAST(4 AS DOUBLE) / 40 END AS vp,
+                    CASE WHEN t_o + vo + ro > 0 THEN vo / CAST(t_o + vo + ro AS DOUBLE) ELSE CAST(4 AS DOUBLE) / 40 END AS vo FROM last),
+  light AS (SELECT g.person_id, g.n, g.stratum, 2 * sum(g.n) OVER (PARTITION BY g.stratum ORDER BY k, g.person_id) - g.n AS middle
+            FROM groups g, tot WHERE g.n * {SPL.HEAVY} <= tot.n),
+  strata AS (SELECT stratum, sum(g.n) AS rows_in, sum(g.pos) * any_value(s.tp) + (sum(g.n) - sum(g.pos)) * any_value(s.t_o) AS wt,
+                    sum(g.pos) * any_value(s.vp) + (sum(g.n) - sum(g.pos)) * any_value(s.vo) AS wv
+             FROM groups g, tot, shares s WHERE g.n * {SPL.HEAVY} <= tot.n GROUP BY stratum),
+  once AS (SELECT coalesce(sum(n) FILTER (WHERE middle <= 2 * wt), 0) AS t,
+                  coalesce(sum(n) FILTER (WHERE middle > 2 * wt AND middle <= 2 * (wt + wv)), 0) AS v
+           FROM light JOIN strata USING (stratum)),
+  wanted AS (SELECT sum(wt) AS t, sum(wv) AS v FROM strata),
+  bounds AS (SELECT stratum, CASE WHEN place = 1 THEN wt - (once.t - wanted.t) ELSE wt END AS b1,
+                    CASE WHEN place = 1 THEN wt + wv - (once.t - wanted.t) - (once.v - wanted.v) ELSE wt + wv END AS b2
+             FROM (SELECT *, row_number() OVER (ORDER BY rows_in DESC, stratum) AS place FROM strata), once, wanted),
+  assigned AS (SELECT person_id, split FROM heavy_placed WHERE i > 0
+               UNION ALL SELECT person_id, CASE WHEN middle <= 2 * b1 THEN 'test' WHEN middle <= 2 * b2 THEN 'validation'
+                                                ELSE 'train' END FROM light JOIN bounds USING (stratum)),
   split_rows AS (SELECT resolved.*, assigned.split FROM resolved JOIN assigned ON resolved.person_id = assigned.person_id)"""
 
 
+def _grouped_sql(select: str) -> str:
+    return with_views(_GROUPED_SQL + select, "letters", "relabel").replace("WITH", "WITH RECURSIVE", 1)
+
+
 def grouped(cdm):
     res, _ = _merge(cdm)
     return D.grouped_split(res, "person_id", "label", SEED)
 
 
-@query("win_10_grouped_split", with_views(_GROUPED_SQL + "\n  SELECT note_id, person_id, split FROM split_rows",
-                                          "letters", "relabel"))
+@query("win_10_grouped_split", _grouped_sql("\n  SELECT note_id, person_id, split FROM split_rows"))
 def win_10(cdm):
-    """Grouped stratified split of resolved letters: 1/5 of persons to test, 1/8 of the rest to validation."""
+    """Grouped stratified split of resolved letters: 1/5 of the rows to test, 1/8 of the rest to validation."""
     return grouped(cdm).select("note_id", "person_id", "split")
 
 
-@query("win_11_person_leaks", with_views(_GROUPED_SQL + """
+@query("win_11_person_leaks", _grouped_sql("""
   SELECT CAST(person_id AS VARCHAR) AS leak_key, CAST(count(DISTINCT split) AS BIGINT) AS n_splits,
          string_agg(DISTINCT split, ',' ORDER BY split) AS splits
-  FROM split_rows GROUP BY 1 HAVING count(DISTINCT split) > 1""", "letters", "relabel"))
+  FROM split_rows GROUP BY 1 HAVING count(DISTINCT split) > 1"""))
 def win_11_person(cdm):
     """Leakage check: persons in more than one split (must be empty)."""
     return D.leaks(grouped(cdm), F.col("person_id").cast("string"))
 
 
-@query("win_11_text_leaks", with_views(_GROUPED_SQL + f"""
+@query("win_11_text_leaks", _grouped_sql(f"""
   SELECT {_NORM.format(c='l.text')} AS leak_key, CAST(count(DISTINCT s.split) AS BIGINT) AS n_splits,
          string_agg(DISTINCT s.split, ',' ORDER BY s.split) AS splits
-  FROM split_rows s JOIN letters l ON s.note_id = l.note_id GROUP BY 1 HAVING count(DISTINCT s.split) > 1""",
-                                        "letters", "relabel"))
+  FROM split_rows s JOIN letters l ON s.note_id = l.note_id GROUP BY 1 HAVING count(DISTINCT s.split) > 1"""))
 def win_11_text(cdm):
     """Leakage check: normalised letter texts found in more than one split (exact copies across persons)."""
     g = grouped(cdm).select("note_id", "split").join(FX.letters(cdm).select("note_id", "text"), "note_id")
     return D.leaks(g, C.norm_hash("text"))
 
 
-@query("agg_24_relabel_counts", with_views(_GROUPED_SQL + """
+@query("agg_24_relabel_counts", _grouped_sql("""
   , un AS (SELECT r.* FROM letters l JOIN relabel r ON l.note_id = r.note_id WHERE r.status <> 'resolved')
   SELECT CAST(count(*) AS BIGINT) AS n_resolved, CAST(count(*) FILTER (WHERE label_changed) AS BIGINT) AS n_changed,
          CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS n_label_0,
@@ -355,7 +405,7 @@ def win_11_text(cdm):
          (SELECT CAST(count(*) AS BIGINT) FROM un) AS n_unresolved,
          (SELECT CAST(count(*) FILTER (WHERE label_failed) AS BIGINT) FROM un) AS n_failed,
          (SELECT CAST(count(*) FILTER (WHERE NOT label_failed) AS BIGINT) FROM un) AS n_uncertain
-  FROM split_rows""", "letters", "relabel"))
+  FROM split_rows"""))
 def agg_24(cdm):
     """Re-label accounting: changed, failed, uncertain, per class, split sizes."""
     res, un = _merge(cdm)

@@ -1,4 +1,4 @@
-"""Registered cores of the readers and sinks (SRC-04/06/08/09/10, SNK-01/03/04) and of small
+"""Registered cores of the readers and sinks (SRC-02/03/04/06/07/08/09/10, SNK-01..04) and of small
 column operators (PRJ-11/20, AGG-23 totals, binary JON-09).
 
 The file wrappers are thin; what they compute is run here on text and rows that
@@ -22,6 +22,7 @@ from cohortlens.plans.evaluation_plans import BY, bscores, cases3
 from cohortlens.plans.oracle_views import with_views
 from cohortlens.plans.registry import query
 from cohortlens.plans.run_plans import _STEPS_SQL, steps
+from cohortlens.sources import catalog as CAT
 from cohortlens.sources import files as FILES
 from cohortlens.sources import sinks as SNK
 
@@ -86,7 +87,79 @@ def src_10(cdm):
     return FILES.checksums(cdm.raw("pages").select("page_id", "html"), "html")
 
 
+@query("src_02_required_tables", """
+  SELECT 'documents' AS table_name, true AS present, CAST(5 AS INTEGER) AS n_columns, CAST(count(*) AS BIGINT) AS n_rows FROM documents
+  UNION ALL SELECT 'labels', true, 3, CAST(count(*) AS BIGINT) FROM labels
+  UNION ALL SELECT 'person', false, NULL, NULL""")
+def src_02(cdm):
+    """Required tables of a folder: those that are missing (``person``), columns and rows of the others."""
+    return CAT.table_report({n: cdm.raw(n) for n in ("documents", "labels")}, ["documents", "labels", "person"])
+
+
+@query("src_03_table_list", " UNION ALL ".join(f"""
+  SELECT '{t}' AS table_name, true AS present,
+         (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns, CAST(count(*) AS BIGINT) AS n_rows FROM {t}"""
+                                               for t in ("customer", "events", "nation", "orders", "region")))
+def src_03(cdm):
+    """Listed tables with their columns and rows."""
+    names = ["customer", "events", "nation", "orders", "region"]
+    return CAT.table_report(CAT.load_tables(cdm.spark, cdm.sf_dir, names, register=False), [])
+
+
+@query("src_07_required_inputs", """
+  WITH f AS (SELECT 'runs/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '/' || role || '.json' AS path,
+                    role || '.json' AS name FROM conversations)
+  SELECT w.name, CAST(count(f.path) AS BIGINT) AS n, min(f.path) AS path
+  FROM (VALUES ('user.json'), ('assistant.json'), ('metrics.json')) w(name) LEFT JOIN f ON f.name = w.name GROUP BY 1""")
+def src_07(cdm):
+    """How often each required file name occurs among many paths (one of them nowhere)."""
+    path = F.concat(F.lit("runs/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("/"),
+                    F.col("role"), F.lit(".json"))
+    return FILES.input_matches(cdm.raw("conversations").select(path.alias("path")),
+                               ["user.json", "assistant.json", "metrics.json"])
+
+
+@query("src_08_path_tags", """
+  WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'data/PIFU/' ELSE 'data/letters_base/' END
+               || CASE doc_id % 5 WHEN 0 THEN 'challenge_base' WHEN 1 THEN 'external' WHEN 2 THEN 'Base' ELSE 'tuned' END
+               || '_metrics.json' AS source FROM labels)
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pifu' ELSE 'original' END AS dataset,
+         CASE WHEN doc_id % 5 IN (0, 2) THEN 'base' ELSE 'fine_tuned' END AS model,
+         CASE doc_id % 5 WHEN 0 THEN 'challenge' WHEN 1 THEN 'external_test' ELSE 'test' END AS split FROM f""")
+def src_08_tags(cdm):
+    """Dataset, model and split of metric files, from their paths."""
+    k3, k5 = F.col("doc_id") % 3, F.col("doc_id") % 5
+    name = F.when(k5 == 0, "challenge_base").when(k5 == 1, "external").when(k5 == 2, "Base").otherwise("tuned")
+    source = F.concat(F.when(k3 == 0, "data/PIFU/").otherwise("data/letters_base/"), name, F.lit("_metrics.json"))
+    files = cdm.raw("labels").select("doc_id", source.alias("source"))
+    return FILES.tag_paths(files, "source").select("doc_id", "dataset", "model", "split")
+
+
+@query("src_09_log_bundles", """
+  SELECT 'original' AS dataset, 'base' AS model, 'test' AS split, CAST(doc_id AS VARCHAR) AS source, 'f1' AS metric,
+         CAST(quality + 0.25 AS DOUBLE) AS value FROM labels
+  UNION ALL SELECT 'original', 'fine_tuned', 'test', CAST(doc_id AS VARCHAR), 'macro_f1', CAST(toxic + 0.5 AS DOUBLE) FROM labels""")
+def src_09_bundles(cdm):
+    """Tagged metrics of the two models in evaluation logs; the first of a repeated metric counts, other lines do not."""
+    q, t = [(F.col(c) + x).cast("double").cast("string") for c, x in (("quality", 0.25), ("toxic", 0.5))]
+    log = F.concat(F.lit("F1 : 0.1\nBASE MODEL Results:\n  F1 : "), q, F.lit(" (best)\n  F1 : 0.3\n  Loss : 2\nFINE-TUNED MODEL Results:\n"
+                   "  Macro F1: "), t, F.lit("\nOTHER Results:\n  Recall : 1.0\n"))
+    logs = cdm.raw("labels").select(F.col("doc_id").cast("string").alias("source"), log.alias("value"))
+    return FILES.collect_log_metrics(logs)
+
+
 # ---------------------------------------------------------------- SNK
+@query("snk_02_case_rows", with_views("""
+  SELECT sample_id, label_name, CASE WHEN doc_id % 3 = 0 THEN 'long text | checked' WHEN doc_id % 3 = 1 THEN 'checked' ELSE '' END AS flags
+  FROM samples3""", "samples3"))
+def snk_02(cdm):
+    """Rows of a case file: a fixed column list, flags joined into one text."""
+    k = F.col("doc_id") % 3
+    flags = F.when(k == 0, F.array(F.lit("long text"), F.lit("checked"))).when(k == 1, F.array(F.lit("checked"))).otherwise(
+        F.array().cast("array<string>"))
+    return SNK.case_rows(FX.samples3(cdm).withColumn("flags", flags), ["sample_id", "label_name", "flags"])
+
+
 @query("snk_01_manifest", with_views("""
   , s AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, label FROM samples3)
   SELECT split, CAST(sum(n) AS BIGINT) AS n_samples,

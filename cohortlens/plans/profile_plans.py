@@ -160,7 +160,7 @@ def agg_05(cdm):
 def agg_05_unit(cdm):
     """Unit-width (one year) age histogram, empty years included."""
     ages = cdm.person.select(C.age("year_of_birth").alias("age"))
-    return P.unit_histogram(ages, "age")
+    return P.unit_histogram(ages, "age").select("value", "n")
 
 
 @query("agg_09_fenced_histogram", with_views(f"""
@@ -347,26 +347,44 @@ def agg_15(cdm):
     return out.withColumn("median_days", R("median_days")).withColumn("mean_days", R("mean_days"))
 
 
-@query("prj_04_positive_supply", with_views("""
-  SELECT drug_exposure_id, TRY_CAST(CAST(days_supply AS VARCHAR) AS DOUBLE) AS days_supply_clean
-  FROM drug_exposure WHERE TRY_CAST(CAST(days_supply AS VARCHAR) AS DOUBLE) > 0""", "drug_exposure"))
+_SUPPLY_TEXT = """CASE k WHEN 0 THEN 'n/a' WHEN 1 THEN '-3' WHEN 2 THEN '0' WHEN 3 THEN '12 days' WHEN 4 THEN ''
+         ELSE ' ' || CAST(days_supply AS VARCHAR) || ' ' END"""
+
+
+@query("prj_04_positive_supply", with_views(f"""
+  SELECT drug_exposure_id, days_supply_clean FROM (
+    SELECT drug_exposure_id, TRY_CAST({_SUPPLY_TEXT} AS DOUBLE) AS days_supply_clean
+    FROM (SELECT *, hash_key % 9 AS k FROM (SELECT *, CAST(days_supply AS BIGINT) + person_id AS hash_key FROM drug_exposure)))
+  WHERE days_supply_clean > 0""", "drug_exposure"))
 def prj_04(cdm):
-    """Numeric coercion of days_supply (bad -> null) keeping positive values."""
-    d = cdm.drug_exposure
-    clean = F.col("days_supply").cast("string").try_cast("double")
-    return d.select("drug_exposure_id", clean.alias("days_supply_clean")).filter(F.col("days_supply_clean") > 0)
+    """Days of supply from text, positive numbers only; words, blanks, zeros and negative numbers are planted."""
+    k = (F.col("days_supply").cast("long") + F.col("person_id")) % 9
+    text = (F.when(k == 0, "n/a").when(k == 1, "-3").when(k == 2, "0").when(k == 3, "12 days").when(k == 4, "")
+            .otherwise(F.concat(F.lit(" "), F.col("days_supply").cast("string"), F.lit(" "))))
+    raw = cdm.drug_exposure.select("drug_exposure_id", text.alias("days_supply"))
+    return P.coerce_positive(raw, "days_supply").select("drug_exposure_id", "days_supply_clean")
+
+
+_BAD_DATES = """CASE {k} % 10 WHEN 0 THEN 'not a date' WHEN 1 THEN '2024-02-30' WHEN 2 THEN '' ELSE CAST({d} AS VARCHAR) END"""
 
 
-@query("prj_03_coerce_dates", with_views("""
-  SELECT note_id, CAST(TRY_CAST(raw_date AS DATE) AS VARCHAR) AS note_date FROM (
-    SELECT note_id, CASE WHEN note_id % 10 = 0 THEN 'not a date' ELSE CAST(note_date AS VARCHAR) END AS raw_date FROM note)""",
-                                         "note"))
+@query("prj_03_coerce_dates", with_views(f"""
+  SELECT 'note' AS table_name, note_id AS row_id, CAST(TRY_CAST({_BAD_DATES.format(k='note_id', d='note_date')} AS DATE) AS VARCHAR) AS date FROM note
+  UNION ALL
+  SELECT 'measurement', measurement_id, CAST(TRY_CAST({_BAD_DATES.format(k='measurement_id', d='measurement_date')} AS DATE) AS VARCHAR)
+  FROM measurement""", "note", "measurement"))
 def prj_03(cdm):
-    """Date coercion: text dates parsed, unparseable values become null."""
-    raw = cdm.note.select("note_id", F.when(F.col("note_id") % 10 == 0, F.lit("not a date"))
-                          .otherwise(F.col("note_date").cast("string")).alias("raw_date"))
-    return raw.select("note_id", F.try_to_timestamp("raw_date", F.lit("yyyy-MM-dd")).cast("date")
-                      .cast("string").alias("note_date"))
+    """Date columns of the clinical tables from text: words, impossible days and blanks (planted) become null."""
+    out, tables = None, {}
+    for name, key in (("note", "note_id"), ("measurement", "measurement_id")):
+        k, date = F.col(key) % 10, P.DATE_COLUMNS[name]
+        text = (F.when(k == 0, "not a date").when(k == 1, "2024-02-30").when(k == 2, "")
+                .otherwise(F.col(date).cast("string")))
+        tables[name] = cdm[name].select(F.col(key).alias("row_id"), text.alias(date))
+    for name, df in P.coerce_table_dates(tables).items():
+        part = df.select(F.lit(name).alias("table_name"), "row_id", F.col(P.DATE_COLUMNS[name]).cast("string").alias("date"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---------------------------------------------------------------- AGG-16 / AGG-17 / AGG-26 / PRJ-10

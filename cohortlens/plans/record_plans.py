@@ -39,8 +39,8 @@ def _domain_sql(domain: str, limit: int | None = None) -> str:
 def _domain_query(domain: str, limit: int | None = None):
     def build(cdm):
         ids = cdm.person.select("person_id")
-        return dates_as_text(REC.history(cdm.tables(), domain, ids, limit=limit))
-    build.__doc__ = f"{domain.capitalize()} history of every person, newest first, named by concept."
+        return dates_as_text(REC.history(cdm.tables(), domain, ids, limit=limit, sort=False))
+    build.__doc__ = f"{domain.capitalize()} history of every person, named by concept (win_14 has the order)."
     return build
 
 

@@ -26,6 +26,12 @@ def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _parquet_stems(spark: SparkSession, directory: str) -> list[str]:
     """Names of the tables below ``directory``: one row each, from file metadata only."""
     if "://" not in directory and not directory.startswith(("/", "file:")):
@@ -75,3 +81,20 @@ def table(spark: SparkSession, name: str) -> DataFrame:
     if not spark.catalog.tableExists(name):
         raise KeyError(f"Table '{name}' not found. Available: {', '.join(list_tables(spark))}")
     return spark.table(name)
+
+
+def table_report(tables: dict[str, DataFrame], required: list[str]) -> DataFrame:
+    """SRC-02 / SRC-03 over data: (table_name, present, n_columns, n_rows) of every table and every required one."""
+    out = None
+    for name in sorted(set(tables) | set(required)):
+        if name in tables:
+            row = tables[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(name).alias("table_name"), F.lit(True).alias("present"),
+                F.lit(len(tables[name].columns)).alias("n_columns"), "n_rows")
+        else:
+            some = next(iter(tables.values()))
+            row = some.sparkSession.range(1).select(
+                F.lit(name).alias("table_name"), F.lit(False).alias("present"), F.lit(None).cast("int").alias("n_columns"),
+                F.lit(None).cast("long").alias("n_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -8,10 +8,16 @@ line number.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.sources import logs as LOGS
+from cohortlens.sources.json_elements import read_elements
+
 CORRUPT = "_corrupt_record"
 
 
@@ -57,26 +63,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 # SRC-05 -----------------------------------------------------------------------
+def _records(elements: DataFrame, schema: T.StructType) -> DataFrame:
+    """(file, the fields of ``schema``) of JSON texts; a text that does not fit is an error that names its file."""
+    strict = F.from_json("text", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = elements.select("file", strict.alias("_r"))
+    bad = rows.filter(F.col("_r").isNull() | F.col("_r").getField(CORRUPT).isNotNull()).select("file").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['file']}: broken JSON")
+    return rows.select("file", *[F.col("_r").getField(f.name).alias(f.name) for f in schema.fields])
+
+
 def read_json_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON file holding a non-empty list of records; other JSON and broken files are errors."""
-    whole = spark.read.text(path, wholetext=True)
-    if whole.filter(~F.regexp_replace("value", r"^[\s\ufeff]+", "").startswith("[")).limit(1).collect():
-        raise ValueError(f"{path}: not a list of records")
-    strict = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(strict).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path))
-    if df.filter(F.col(CORRUPT).isNotNull()).limit(1).collect():
-        raise ValueError(f"{path}: broken JSON")
-    if not df.limit(1).collect():
-        raise ValueError(f"{path}: an empty list")
-    return df.drop(CORRUPT)
+    """JSON files that hold a non-empty list of records each, a large one read by many tasks.
+
+    Other JSON, broken files and empty lists are errors that name the file.
+    """
+    elements, files = read_elements(spark, path)
+    records = _records(elements, schema)
+    full = {r["file"] for r in records.select("file").distinct().collect()}  # one row per file
+    empty = sorted(set(files) - full)
+    if empty or not files:
+        raise ValueError(f"{empty[0] if empty else path}: an empty list")
+    return records.drop("file")
 
 
 # SRC-06 -----------------------------------------------------------------------
 SAMPLE_SCHEMA = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("text", T.StringType()),
                               T.StructField("label", T.IntegerType()), T.StructField("label_name", T.StringType()),
                               T.StructField("source", T.StringType())])
-SPLIT_SCHEMA = T.StructType([T.StructField("task", T.StringType()), T.StructField("split", T.StringType()),
-                             T.StructField("samples", T.ArrayType(SAMPLE_SCHEMA))])
 
 
 def split_violations(samples: DataFrame, labels: list[int]) -> DataFrame:
@@ -87,8 +101,15 @@ def split_violations(samples: DataFrame, labels: list[int]) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, labels: list[int]) -> DataFrame:
-    payload = spark.read.schema(SPLIT_SCHEMA).option("multiLine", True).json(path)
-    samples = payload.select("split", F.explode("samples").alias("s")).select("split", "s.*")
+    """Samples of split payloads (an object with ``task``, ``split`` and the list ``samples``), with their split.
+
+    A large payload is read by many tasks. Fewer than two classes, or a sample
+    without text or an allowed label, is an error.
+    """
+    elements, files = read_elements(spark, path, "samples")
+    splits = spark.createDataFrame([(f, x.get("split")) for f, x in files.items()], "file string, split string")
+    samples = _records(elements, SAMPLE_SCHEMA).join(F.broadcast(splits), "file").select(  # one row per file
+        "split", *SAMPLE_SCHEMA.fieldNames())
     stats = samples.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
     bad = split_violations(samples, labels).limit(1).collect()
     if bad:
@@ -99,16 +120,22 @@ def read_split(spark: SparkSession, path: str, labels: list[int]) -> DataFrame:
 
 
 # SRC-07 -----------------------------------------------------------------------
+def input_matches(files: DataFrame, names: list[str], path: str = "path") -> DataFrame:
+    """(name, n, path): how many of the paths end in each required file name, and the first; ``n`` should be 1."""
+    named = files.select(F.col(path).alias("path"), F.element_at(F.split(F.col(path), "/"), -1).alias("name"))
+    found = named.filter(F.col("name").isin(*names)).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
+    wanted = files.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return wanted.join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "path")
+
+
 def require_inputs(spark: SparkSession, directory: str, names: list[str]) -> DataFrame:
     """Exactly one file of each required name below ``directory`` (metadata only, content not read)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-             .select("path", F.element_at(F.split("path", "/"), -1).alias("name")))
-    found = files.filter(F.col("name").isin(*names)).groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("path").alias("path"))
-    rows = {r["name"]: (r["n"], r["path"]) for r in found.collect()}  # at most len(names) rows
-    problems = [n for n in names if rows.get(n, (0, None))[0] != 1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    found = input_matches(files, names)
+    problems = sorted(r["name"] for r in found.filter("n <> 1").collect())  # at most len(names) rows
     if problems:
-        raise ValueError("Required inputs missing or ambiguous: " + ", ".join(sorted(problems)))
+        raise ValueError("Required inputs missing or ambiguous: " + ", ".join(problems))
     return found
 
 
@@ -140,41 +167,46 @@ def collect_metric_files(spark: SparkSession, pattern: str, tags: dict[str, dict
     ``tags`` maps a tag column to {path fragment: value}; the first fragment in
     the lower-cased path (for model and split: the file name) wins, else the default.
     """
+    texts = spark.read.text(pattern, wholetext=True).withColumn("source", F.col("_metadata.file_path"))
+    tagged = tag_paths(texts, "source", tags, defaults)
+    names = METRIC_TAGS if tags is None else tags
+    return flat_metrics(tagged).select(*names, "source", "metric", "value")
+
+
+def tag_paths(df: DataFrame, path: str, tags: dict[str, dict[str, str]] | None = None,
+              defaults: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with a column per tag, from fragments of its paths (see ``collect_metric_files``)."""
     by_name = ("model", "split") if tags is None else ()  # the standard tags read these from the file name
     tags = METRIC_TAGS if tags is None else tags
     defaults = METRIC_DEFAULTS if defaults is None else defaults
-    df = spark.read.text(pattern, wholetext=True).withColumn("source", F.col("_metadata.file_path"))
-    path = F.lower("source")
+    low = F.lower(F.col(path))
     for col, mapping in tags.items():
-        where = F.element_at(F.split(path, "/"), -1) if col in by_name else path
+        where = F.element_at(F.split(low, "/"), -1) if col in by_name else low
         expr = F.lit(defaults.get(col))
         for frag, value in reversed(mapping.items()):
             expr = F.when(where.contains(frag.lower()), value).otherwise(expr)
         df = df.withColumn(col, expr)
-    return flat_metrics(df).select(*tags, "source", "metric", "value")
+    return df
 
 
 # SRC-09 -----------------------------------------------------------------------
-# A section ends at the next section, or at the comparison block below a rule.
-_SECTION = r"(?s)([A-Z][A-Z \-]+ Results:)(.*?)(?=\n[A-Z][A-Z \-]+ Results:|\n=+\s*\nCOMPARISON|$)"
-_PAIR = r"(?m)^\s*([A-Za-z][A-Za-z0-9 _\-]*?)\s*:\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of log files, in parts; a log is never one value."""
+    return LOGS.read_logs(spark, path)
 
 
 def extract_log_metrics(logs: DataFrame, text: str = "value") -> DataFrame:
-    """``key : value`` metrics per model section of evaluation-log text, names in lower snake case."""
-    sec = logs.select(F.col("source") if "source" in logs.columns else F.lit(None).cast("string").alias("source"),
-                      F.regexp_extract_all(F.col(text), F.lit(_SECTION), 1).alias("heads"),
-                      F.regexp_extract_all(F.col(text), F.lit(_SECTION), 2).alias("bodies"))
-    one = sec.select("source", F.explode(F.arrays_zip("heads", "bodies")).alias("s"))
-    pairs = one.select("source", F.regexp_replace("s.heads", r"\s*Results:$", "").alias("section"),
-                       F.arrays_zip(F.regexp_extract_all("s.bodies", F.lit(_PAIR), 1).alias("k"),
-                                    F.regexp_extract_all("s.bodies", F.lit(_PAIR), 2).alias("v")).alias("kv"))
-    return pairs.select("source", "section", F.explode("kv").alias("p")).select(
-        "source", "section", F.regexp_replace(F.lower(F.trim(F.col("p.k"))), r"[\s\-]+", "_").alias("metric"), F.col("p.v").try_cast("double").alias("value"))
+    """(source, section, metric, value) of the ``key : number`` lines per section, names in lower snake case.
+
+    ``logs`` has lines (``read_logs``), or whole logs in the column ``text``.
+    """
+    lines = logs if "part" in logs.columns else LOGS.log_lines(logs, text)
+    return LOGS.log_metrics(lines).select("source", "section", "metric", "value")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).withColumn("source", F.col("_metadata.file_path"))
+def collect_log_metrics(logs: DataFrame, text: str = "value") -> DataFrame:
+    """(dataset, model, split, source, metric, value) of the models' sections, like ``collect_metric_files``."""
+    return LOGS.log_bundles(logs if "part" in logs.columns else LOGS.log_lines(logs, text))
 
 
 # SRC-10 -----------------------------------------------------------------------
@@ -185,7 +217,62 @@ def checksums(files: DataFrame, content: str = "content") -> DataFrame:
                         F.octet_length(raw).cast("long").alias("length"))
 
 
-def checksum_manifest(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per file. A file is one value of a task, so each must be smaller than 2 GB."""
+#: Files of more bytes are hashed from pieces.
+LARGE_FILE = 256 * 1024 * 1024
+
+
+def streamed_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, sha256, length) of large files, each fed to its digest in pieces.
+
+    The pieces are the file's lines, read by many tasks and brought into order
+    by an external sort; the task that hashes a file holds one batch of them.
+    (Only bytes between two line feeds must fit a value.)
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("path"),
+        F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("data"))
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "row")
+    mark = b"\xef\xbb\xbf"  # the text reader leaves out a byte order mark, which the size of the file tells
+
+    def run(batches):
+        path, size, fed, plain, marked = None, 0, 0, None, None
+
+        def out():
+            left = size - fed  # a last line feed, a mark, or both
+            if left in (1, 4):
+                plain.update(b"\n")
+                marked.update(b"\n")
+            if left not in (0, 1, 3, 4):
+                raise ValueError(f"{path}: {fed} bytes read of {size}")
+            digest = marked if left > 1 else plain
+            return pa.RecordBatch.from_pydict({"sha256": [digest.hexdigest()], "path": [path], "length": [size]})
+
+        for b in batches:
+            for p, s, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4)):
+                if p != path:
+                    if plain:
+                        yield out()
+                    path, size, fed, plain, marked = p, s, 0, hashlib.sha256(), hashlib.sha256(mark)
+                else:
+                    plain.update(b"\n")
+                    marked.update(b"\n")
+                    fed += 1
+                raw = data.as_buffer()
+                plain.update(raw)
+                marked.update(raw)
+                fed += raw.size
+        if plain:
+            yield out()
+
+    return ordered.mapInArrow(run, "sha256 string, path string, length long")
+
+
+def checksum_manifest(spark: SparkSession, directory: str, large: int = LARGE_FILE) -> DataFrame:
+    """SHA-256 and length of every file below ``directory``; files of more than ``large`` bytes are hashed in pieces."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return checksums(files.select("path", "content"))
+    big = [r[0] for r in files.filter(F.col("length") > large).select("path").collect()]  # names from metadata
+    small = checksums(files.filter(F.col("length") <= large).select("path", "content"))
+    if not big:
+        return small
+    return small.unionByName(streamed_checksums(spark, big))

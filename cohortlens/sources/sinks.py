@@ -3,25 +3,76 @@ manifests are assembled from small aggregates."""
 
 from __future__ import annotations
 
-import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 # SNK-01 -----------------------------------------------------------------------
+@contextmanager
+def committed_folder(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder to write into that becomes ``path`` when the block ends, and goes when it fails.
+
+    Readers of ``path`` see what was there before until the rename, then all of
+    the new data; a failed or killed job leaves at most a ``.staging-`` folder
+    beside it that no reader looks at.
+    """
+    path = path.rstrip("/")
+    run = uuid.uuid4().hex
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    final, staging, before = hadoop(path), hadoop(f"{path}.staging-{run}"), hadoop(f"{path}.before-{run}")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        yield staging.toString()
+        fs.mkdirs(final.getParent())
+        replaced = fs.exists(final) and fs.rename(final, before)
+        if not fs.rename(staging, final):
+            if replaced:
+                fs.rename(before, final)
+            raise OSError(f"{path}: the written data could not be put in place")
+        if replaced:
+            fs.delete(before, True)
+    finally:
+        fs.delete(staging, True)
+
+
 def write_splits(df: DataFrame, path: str, label_map: dict[str, str], task: str = "classification",
-                 mode: str = "overwrite") -> DataFrame:
-    """Samples partitioned by split plus a one-row manifest (counts, label map, class counts)."""
-    df.write.mode(mode).partitionBy("split").parquet(os.path.join(path, "samples"))
-    manifest = split_manifest(df, label_map, task)
-    manifest.coalesce(1).write.mode(mode).json(os.path.join(path, "manifest"))
-    return manifest
+                 splits: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Samples partitioned by split (``samples``) and the ``manifest`` beside them, committed together.
+
+    The frame is computed once: the manifest is what the writing job observed.
+    A row whose split is not in ``splits`` or whose label is not in
+    ``label_map`` would be missing from the manifest, so it is an error and
+    nothing is written.
+    """
+    spark = df.sparkSession
+    cells = [(s, label) for s in splits for label in label_map]
+    label = F.col("label").cast("string")
+    counts = [F.count_if((F.col("split") == s) & (label == x)).alias(f"c{i}") for i, (s, x) in enumerate(cells)]
+    seen = Observation()
+    with committed_folder(spark, path) as folder:
+        (df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+         .write.partitionBy("split").parquet(f"{folder}/samples"))
+        got = seen.get
+        found = [(s, x, got[f"c{i}"]) for i, (s, x) in enumerate(cells) if got[f"c{i}"]]
+        if sum(n for _, _, n in found) != got["rows"]:
+            raise ValueError(f"{got['rows'] - sum(n for _, _, n in found)} rows have another split or label than "
+                             f"{', '.join(splits)} and {', '.join(label_map)}")
+        rows = spark.createDataFrame(found, "split string, label string, n long")  # one row per split and label
+        _manifest(rows, label_map, task).coalesce(1).write.json(f"{folder}/manifest")
+    return _manifest(rows, label_map, task)
 
 
 def split_manifest(df: DataFrame, label_map: dict[str, str], task: str = "classification") -> DataFrame:
     """One row per split: samples, class counts and the label map."""
     counts = df.groupBy("split", F.col("label").cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return _manifest(counts, label_map, task)
+
+
+def _manifest(counts: DataFrame, label_map: dict[str, str], task: str) -> DataFrame:
     per_split = counts.groupBy("split").agg(F.sum("n").alias("n_samples"),
                                             F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("class_counts"))
     return per_split.select(
@@ -32,9 +83,14 @@ def split_manifest(df: DataFrame, label_map: dict[str, str], task: str = "classi
 # SNK-02 -----------------------------------------------------------------------
 def write_cases(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
     """Case-level CSV with a fixed column list; arrays joined with ' | '."""
+    case_rows(df, columns).write.mode(mode).option("header", True).csv(path)
+
+
+def case_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a case file: the listed columns, arrays as text joined with ' | '."""
     types = dict(df.dtypes)
-    cols = [F.array_join(F.col(c), " | ").alias(c) if types[c].startswith("array") else F.col(c) for c in columns]
-    df.select(*cols).write.mode(mode).option("header", True).csv(path)
+    return df.select(*[F.array_join(F.col(c), " | ").alias(c) if types[c].startswith("array") else F.col(c)
+                       for c in columns])
 
 
 # SNK-03 -----------------------------------------------------------------------
