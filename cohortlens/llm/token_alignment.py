@@ -55,7 +55,7 @@ CHUNK = 1 << 15
 #: Neighbouring fragments composed by one row of the next level.
 FAN = 8
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 250_000
 #: Pair counts broadcast at a time (a slice holds whole A ids, each of at most B's vocabulary).
 SLICE_PAIRS = 4_000_000
 #: Pairs that a task folds at a time while counting.
@@ -165,32 +165,65 @@ class Words:
         self.groups: list[str] = []
         self.pool, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def tokens(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = self.side_a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        return [(x.ids, y) for x, y in zip(a, self.side_b.encode(words, num_threads=1))]
-
-    def ends(self, word: str, ids: tuple[list[int], list[int]]) -> tuple[bool, list, list]:
+    def ends(self, word: str) -> tuple[bool, list, list]:
         """Whether the tokens give the word back, and (id, end) of both sides from its leading space on."""
-        a, b = ids
+        a, b = self.side_a.encode(" " + word, add_special_tokens=False).ids, self.side_b.encode(word)
         x, y = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         ok = b"".join(x) == b"".join(y) == b" " + word.encode()
         return ok, list(zip(a, np.cumsum([len(t) for t in x]).tolist())), list(zip(b, np.cumsum([len(t) for t in y]).tolist()))
 
     def add(self, words: Iterable[str]) -> None:
+        """Make the words known."""
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         if not new:
             return
-        totals, pool = [], []
-        for w, ids in zip(new, self.tokens(new)):
-            ok, a, b = self.ends(w, ids)
-            body = closed(token_fragment(a, b, self.size_b), self.size_b) if ok else Body()
-            totals.append((ok, body.n_a, body.n_b, body.n_groups, body.n_links))
-            pool.append(np.concatenate(body.codes) if body.codes else np.zeros(0, np.int64))
-            self.at[w] = len(self.groups)
-            self.groups.append(";".join(body.groups))
-        self.totals = np.concatenate((self.totals, np.array(totals, np.int64)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(p) for p in pool])))
-        self.pool = np.concatenate([self.pool, *pool])
+        # Blanks at an end of a word could join with those between words; such words go by themselves.
+        bare = [w for w in new if w == w.strip()]
+        found = [self._closed(bare)] if bare else []
+        found += [self._closed([w]) for w in new if w != w.strip()]
+        for w in bare + [w for w in new if w != w.strip()]:
+            self.at[w] = len(self.at)
+        self.groups += [g for f in found for g in f[1]]
+        self.totals = np.concatenate([self.totals, *[f[0] for f in found]])
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate([f[2] for f in found]))))
+        self.pool = np.concatenate([self.pool, *[f[3] for f in found]])
+
+    def _closed(self, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(totals, groups, number of pair codes, the codes) of words, all of them in one text.
+
+        Words do not depend on their neighbours, so the text of all has the tokens of each; its byte offsets are cut at
+        the common ends like those of any text. A word that its tokens do not give back is found by halving.
+        """
+        text = " ".join(words)
+        a = np.array(self.side_a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.side_b.encode(text), np.int64)
+        x, y = [self.bytes_a[i] for i in a.tolist()], [self.bytes_b[i] for i in b.tolist()]
+        if not (b"".join(x) == b"".join(y) == (" " + text).encode()):
+            if len(words) == 1:
+                return np.zeros((1, 5), np.int64), [""], np.zeros(1, np.int64), np.zeros(0, np.int64)
+            half = len(words) // 2
+            one, two = self._closed(words[:half]), self._closed(words[half:])
+            return (np.concatenate((one[0], two[0])), one[1] + two[1], np.concatenate((one[2], two[2])),
+                    np.concatenate((one[3], two[3])))
+        end_a, end_b = np.cumsum([len(t) for t in x]), np.cumsum([len(t) for t in y])
+        cuts = np.intersect1d(end_a, end_b)
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        n_a, n_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        # Every token of A with all tokens of B of its group.
+        times = n_b[group_a]
+        other = np.repeat(at_b[group_a] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        codes = np.repeat(a, times) * self.size_b + b[other]
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        last = np.searchsorted(cuts, ends) + 1  # groups up to the end of each word
+        from_ = np.concatenate(([0], last[:-1]))
+        per = np.stack([n_a, n_b, np.ones(len(cuts), np.int64), n_a * n_b], axis=1)
+        totals = np.concatenate((np.ones((len(words), 1), np.int64), np.add.reduceat(per, from_, axis=0)), axis=1)
+        ids_a, ids_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        spelled = [",".join(ids_a[i:i + n]) + "|" + ",".join(ids_b[j:j + m]) if n > 1 or m > 1 else ids_a[i] + "|" + ids_b[j]
+                   for i, n, j, m in zip(at_a.tolist(), n_a.tolist(), at_b.tolist(), n_b.tolist())]
+        groups = [spelled[i] if j == i + 1 else ";".join(spelled[i:j]) for i, j in zip(from_.tolist(), last.tolist())]
+        return totals, groups, totals[:, 4], codes
 
     def forget(self) -> None:
         """Drop the words beyond those kept (frequent words are met early)."""
@@ -260,25 +293,26 @@ def byte_ranges(text: bytes, chunk: int) -> list[tuple[int, int, int, int]]:
 def range_fragment(words: Words, body: bytes, lead: int, keep: int) -> Fragment:
     """Fragment of the bytes [lead, keep) of ``body``, whole words with their leading space."""
     size_b, parts = words.size_b, _SAFE.split(body[1:].decode())
-    lengths = [1 + len(w.encode()) for w in parts]
-    head = [parts[0]] if lead else []
-    tail = [parts[-1]] if keep < len(body) and (len(parts) > 1 or not head) else []
-    inner = parts[len(head): len(parts) - len(tail)]
-    words.add(inner)
-    out = Fragment()
-
-    def inside(word: str, start: int) -> Fragment:
-        ok, a, b = words.ends(word, words.tokens([word])[0])
-        return token_fragment(*([(i, e + start) for i, e in side if lead < e + start <= keep] for side in (a, b)),
+    ends = np.cumsum([1 + len(w.encode()) for w in parts])
+    starts = np.concatenate(([0], ends[:-1]))
+    inner = np.flatnonzero((starts >= lead) & (ends <= keep))  # consecutive words
+    cut = np.flatnonzero((ends > lead) & (starts < keep) & ((starts < lead) | (ends > keep))).tolist()  # at either boundary
+
+    def inside(k: int) -> Fragment:
+        ok, a, b = words.ends(parts[k])
+        return token_fragment(*([(i, e + starts[k]) for i, e in side if lead < e + starts[k] <= keep] for side in (a, b)),
                               size_b, ok)
 
-    if head:
-        out = inside(head[0], 0)
-    if inner:
-        ok, whole = words.body(inner)
-        out = compose(out, Fragment(ok, True, body=whole), size_b)
-    if tail:
-        out = compose(out, inside(tail[0], len(body) - lengths[-1]), size_b)
+    out = Fragment()
+    if cut and starts[cut[0]] < lead:
+        out = inside(cut.pop(0))
+    if len(inner):
+        whole = [parts[k] for k in inner.tolist()]
+        words.add(whole)
+        ok, body_of = words.body(whole)
+        out = compose(out, Fragment(ok, True, body=body_of), size_b)
+    if cut:
+        out = compose(out, inside(cut[0]), size_b)
     return out
 
 
@@ -352,7 +386,7 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path_a, path_b)
-        for b in slices(batches, 256):
+        for b in slices(batches, 512):
             split = [_SAFE.split(t) if t else [] for t in b.column(2).to_pylist()]
             words.add(w for ws in split for w in ws)
             out = []
