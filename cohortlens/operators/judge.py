@@ -7,11 +7,10 @@ collected in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.dist import top_k_per_group
-from cohortlens.session import checkpoint_dir
 
 DEFAULT_BUDGET = 24
 # Judge pass rule.
@@ -23,43 +22,56 @@ def _case_order():
     return [F.col("confidence"), F.col("top_two_margin"), F.col("split"), F.col("sample_id")]
 
 
+def _priority(cases: DataFrame):
+    """(whether a case has priority, its order, the reason) of wrong / flagged / borderline cases."""
+    correct = F.col("true_label") == F.col("predicted_label")
+    flagged = F.col("safety_flag_count") > 0
+    reason = (F.when(~correct, "misclassified_priority").when(flagged, "safety_flag_priority")
+              .otherwise("borderline_priority"))
+    return (~correct | flagged | (F.col("predicted_label") == 1),
+            [correct.asc(), F.col("safety_flag_count").desc()] + _case_order(), reason)
+
+
 # WIN-04 -----------------------------------------------------------------------
 def priority_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET) -> DataFrame:
     """Up to half the budget (at least 1) of wrong / flagged / borderline cases."""
-    limit = max(1, budget // 2)
-    correct = F.col("true_label") == F.col("predicted_label")
-    pri = cases.filter(~correct | (F.col("safety_flag_count") > 0) | (F.col("predicted_label") == 1))
-    order = [correct.asc(), F.col("safety_flag_count").desc()] + _case_order()
-    top = top_k_per_group(pri, by, order, limit, salt_by="sample_id", out="selection_order")
-    reason = (F.when(~correct, "misclassified_priority").when(F.col("safety_flag_count") > 0, "safety_flag_priority")
-              .otherwise("borderline_priority"))
+    prior, order, reason = _priority(cases)
+    top = top_k_per_group(cases.filter(prior), by, order, max(1, budget // 2), salt_by="sample_id", out="selection_order")
     return top.withColumn("selection_reason", reason)
 
 
 # WIN-05 -----------------------------------------------------------------------
-def select_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET) -> DataFrame:
+def select_cases(cases: DataFrame, by: list[str], budget: int = DEFAULT_BUDGET, salts: int = 64) -> DataFrame:
     """Priority cases, then round-robin over (split, predicted label) buckets by confidence.
 
     Round-robin = rank inside each bucket among the not-yet-selected cases,
     then order by (rank, bucket key): pass one takes the first case of every
     bucket, pass two the second, and so on.
+
+    One pass: every case gets its place among the priority cases and in its
+    bucket, within a slice of the group. Only cases that may be chosen go on (a
+    bucket's best, with as many more as priority cases may be among them); the
+    selection is made among those few.
     """
-    checkpoint_dir(cases.sparkSession)
-    pri = priority_cases(cases, by, budget).checkpoint()  # a few rows per group, used three times
-    n_pri = pri.groupBy(*by).agg(F.count(F.lit(1)).alias("_n_pri"))
-    # A bucket's best rows, with as many more as priority cases may be among them: the anti join sees only those.
-    deep = top_k_per_group(cases, by + ["split", "predicted_label"], _case_order(), budget + max(1, budget // 2),
-                           salt_by="sample_id", out="_deep").drop("_deep")
-    rest = deep.join(pri.select(*by, "sample_id"), by + ["sample_id"], "left_anti")
-    bucketed = top_k_per_group(rest, by + ["split", "predicted_label"], _case_order(), budget, out="_bucket_rank")
-    fill = top_k_per_group(bucketed, by, [F.col("_bucket_rank"), F.col("split"), F.col("predicted_label")],
-                           budget, out="_fill_order")
-    fill = (fill.join(n_pri, by, "left").withColumn("_n_pri", F.coalesce("_n_pri", F.lit(0)))
-            .filter(F.col("_fill_order") <= budget - F.col("_n_pri"))
-            .withColumn("selection_order", F.col("_n_pri") + F.col("_fill_order"))
-            .withColumn("selection_reason", F.lit("split_class_representative"))
-            .drop("_bucket_rank", "_fill_order", "_n_pri"))
-    return pri.unionByName(fill)
+    half = max(1, budget // 2)
+    prior, order, reason = _priority(cases)
+    bucket = [*by, "split", "predicted_label"]
+    place = lambda keys, o: F.row_number().over(Window.partitionBy(*keys).orderBy(*o))
+    marked = cases.withColumn("_prior", F.coalesce(prior, F.lit(False))).withColumn(
+        "_salt", F.pmod(F.xxhash64("sample_id"), F.lit(salts)))
+    few = (marked.withColumn("_p", place([*by, "_salt", "_prior"], order))
+           .withColumn("_b", place([*bucket, "_salt"], _case_order()))
+           .filter((F.col("_prior") & (F.col("_p") <= half)) | (F.col("_b") <= budget + half)).drop("_p", "_b", "_salt"))
+    chosen = few.withColumn("_place", place([*by, "_prior"], order)).withColumn(
+        "_chosen", F.col("_prior") & (F.col("_place") <= half))
+    ranked = chosen.withColumn("_n_chosen", F.count_if("_chosen").over(Window.partitionBy(*by))).withColumn(
+        "_rank", place([*bucket, "_chosen"], _case_order()))
+    filled = ranked.withColumn("_fill", place([*by, "_chosen"], [F.col("_rank"), F.col("split"), F.col("predicted_label")]))
+    taken = filled.filter(F.col("_chosen") | (F.col("_fill") <= budget - F.col("_n_chosen")))
+    return taken.withColumn(
+        "selection_order", F.when(F.col("_chosen"), F.col("_place")).otherwise(F.col("_n_chosen") + F.col("_fill"))).withColumn(
+        "selection_reason", F.when(F.col("_chosen"), reason).otherwise("split_class_representative")).select(
+        *cases.columns, "selection_order", "selection_reason")
 
 
 # Texts that stand for a missing explanation or judgement.

@@ -148,7 +148,7 @@ def specialty(name: F.Column, specialty_map) -> F.Column:
 
 # QLT-13 -----------------------------------------------------------------------
 def coverage(flags: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Shares of the cohort with notes, with numeric measurements, and with zero conditions."""
+    """Shares of the cohort with notes, with measurements, and with zero conditions."""
     has_meas = tables["measurement"].select("person_id").distinct().withColumn("_m", F.lit(1))
     j = flags.join(has_meas, "person_id", "left")
     return j.agg(F.count(F.lit(1)).alias("persons"),

@@ -72,13 +72,25 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+#: Bytes in memory for a byte of a compressed file, at most.
+INFLATION = 8
+
+
 def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its estimated size is proven below ``max_bytes``.
+    """Broadcast ``df`` only when its size is proven below ``max_bytes``.
 
+    The optimizer's estimate starts from the bytes of the files and is never
+    below the truth but for two things: files are compressed, so it must stay
+    below the bound by ``INFLATION``; and rows made by ``explode`` are not
+    counted, so a plan that has them is never broadcast by its estimate.
     Otherwise the frame is returned unchanged and the planner falls back to a
-    shuffle join.
+    shuffle join (which AQE may turn around from measured sizes).
     """
     size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
+    if size is not None and size * INFLATION <= max_bytes and not _explodes(df):
         return F.broadcast(df)
     return df
+
+
+def _explodes(df: DataFrame) -> bool:
+    return "Generate " in df._jdf.queryExecution().optimizedPlan().toString()
