@@ -1,4 +1,4 @@
-"""Registered cores of the readers and sinks (SRC-02/03/04/06/07/08/09/10, SNK-01..04) and of small
+"""Registered cores of the readers and sinks (SRC-02..10, SNK-01..04) and of small
 column operators (PRJ-11/20, AGG-23 totals, binary JON-09).
 
 The file wrappers are thin; what they compute is run here on text and rows that
@@ -7,6 +7,8 @@ Spark derives from the given tables, with planted faults chosen by id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,7 @@ from cohortlens.plans.run_plans import _STEPS_SQL, steps
 from cohortlens.sources import catalog as CAT
 from cohortlens.sources import files as FILES
 from cohortlens.sources import sinks as SNK
+from cohortlens.session import checkpoint_dir
 
 R = C.round6
 
@@ -43,6 +46,17 @@ def src_04(cdm):
     return out.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_hash"), "broken")
 
 
+@query("src_05_json_lists", """
+  SELECT conv_id, turn, CASE WHEN turn % 4 <> 3 THEN role END AS role, sha256(text) AS text_hash FROM conversations""")
+def src_05(cdm):
+    """JSON lists written from all conversations and read back by byte ranges (every fourth role is null)."""
+    rows = cdm.raw("conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 != 3, F.col("role")).alias("role"), "text")
+    folder = f"{checkpoint_dir(cdm.spark).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    SNK.write_json_lists(rows, folder, files=4)
+    return FILES.read_json_list(cdm.spark, folder, rows.schema).select(
+        "conv_id", "turn", "role", F.sha2("text", 256).alias("text_hash"))
+
+
 @query("src_06_split_violations", with_views("""
   SELECT sample_id, CASE WHEN doc_id % 11 = 0 THEN 'missing_text' WHEN doc_id % 7 = 0 THEN 'missing_label'
                          ELSE 'label_not_allowed' END AS violation

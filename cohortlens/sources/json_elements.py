@@ -115,13 +115,17 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes,
             now, at = here, end
 
 
+def plain_name(name: str) -> str:
+    return re.sub("^file:/+", "file:/", unquote(name))
+
+
 def file_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     """Bytes of every file at ``path``, from metadata only; empty files count."""
     listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path"), F.col("_metadata.file_size"))
     found = {r[0]: r[1] for r in listed.collect()}
-    known = {unquote(name) for name in found}
-    # Spark gives no row for a file without bytes.
-    return found | {name: 0 for name in spark.read.text(path).inputFiles() if unquote(name) not in known}
+    # Spark gives no row for a file without bytes, but lists it (in another spelling of its place).
+    listed = {plain_name(name) for name in spark.read.text(path).inputFiles()}
+    return found | dict.fromkeys(listed - {plain_name(name) for name in found}, 0)
 
 
 def starts(spark: SparkSession, path: str, key: str | None, sizes: dict[str, int]) -> dict[tuple[str, int], Start]:

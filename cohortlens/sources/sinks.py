@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,34 @@ def _manifest(counts: DataFrame, label_map: dict[str, str], task: str) -> DataFr
         F.create_map(*[x for k, v in label_map.items() for x in (F.lit(k), F.lit(v))]).alias("label_map"))
 
 
+def write_json_lists(df: DataFrame, path: str, files: int = 1) -> None:
+    """The rows as up to ``files`` JSON files, each one list of records, committed together.
+
+    Rows are dealt by their content; a task writes the lists it gets row by row and holds none of them.
+    """
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).withColumn(
+        "file", F.pmod(F.xxhash64("value"), F.lit(files)).cast("int"))
+
+    def run(batches):
+        last = None  # the row that waits to know whether another follows
+        for b in batches:
+            out = []
+            for text, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if last is None or last[1] != file:
+                    out += [(last[0] + "]", last[1])] if last else []
+                    last = "[" + text, file
+                else:
+                    out.append((last[0] + ",", file))
+                    last = text, file
+            yield pa.RecordBatch.from_pydict({"value": [t for t, _ in out], "file": pa.array([f for _, f in out], pa.int32())})
+        if last:
+            yield pa.RecordBatch.from_pydict({"value": [last[0] + "]"], "file": pa.array([last[1]], pa.int32())})
+
+    lists = rows.repartition("file").sortWithinPartitions("file").mapInArrow(run, "value string, file int")
+    with committed_folder(df.sparkSession, path) as folder:
+        lists.write.partitionBy("file").text(folder)
+
+
 # SNK-02 -----------------------------------------------------------------------
 def write_cases(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
     """Case-level CSV with a fixed column list; arrays joined with ' | '."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.sources import files as IO
+from cohortlens.sources import sinks as SNK
 from cohortlens.sources.json_elements import pieces, read_elements
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
@@ -101,3 +102,14 @@ def test_split_payload_guards(spark, tmpdir_):
     both = _write(os.path.join(tmpdir_, "both.json"), json.dumps(
         {"samples": [sample, sample | {"sample_id": "b", "label": 1}], "split": "train"}))
     assert {(r.split, r.sample_id) for r in IO.read_split(spark, both, [0, 1]).collect()} == {("train", "a"), ("train", "b")}
+
+
+def test_lists_are_written_row_by_row_and_read_back(spark, tmpdir_):
+    rows = [(i, 'a"}],[{' + str(i) if i % 3 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for files in (1, 4, 200):
+        path = os.path.join(tmpdir_, f"lists{files}")
+        SNK.write_json_lists(df, path, files)
+        parts = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+        assert len(parts) <= files and sum(len(json.load(open(p))) for p in parts) == 50
+        assert sorted(map(tuple, IO.read_json_list(spark, path, SCHEMA).collect())) == rows
