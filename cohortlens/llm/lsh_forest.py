@@ -6,22 +6,20 @@ Links are documents whose sets of 5-word shingles have
 1. One pass over the texts gives the set size, a digest of the set and a
    signature of 64 minima. Documents with equal sets are folded to one class.
 2. Sixteen sorted orders: order t reads the signature from its hash ``4 t`` on,
-   round and round. A *region* is a run of an order that shares a prefix.
-   Regions of up to ``REGION`` classes are taken at depth 4; in more crowded
-   parts of an order the depth adapts to 6, and a region that is crowded even
-   there is dealt out in blocks. Two documents at the limit (0.85) miss each
-   other in all orders with probability 7e-6 (5e-4 where every one of their
-   sixteen regions is crowded); closer ones with less.
-3. In every region the longest-common-prefix neighbours (classes that follow
-   each other in the order) are candidates when enough minima agree (40 of 64:
-   five standard deviations below the limit). Each class's best candidate is
-   checked first, then those that still join two components.
-4. Neighbours alone could miss a link, so the exact rest follows: all pairs of a
-   region that lie in *different* components by then and may still be similar
-   enough. Regions that are one component (the usual group of copies) make no
-   pair; crowded mixed regions meet in pairs of blocks, each its own cell.
-5. Every candidate is checked on its full shingle sets. Sets are made only for
-   classes that are in a candidate, and a step is run for its candidates only.
+   round and round. A *region* is a run of an order that shares a prefix, so the
+   classes with the longest common prefixes are neighbours in it. A region is
+   taken at depth 4 where it is small; in more crowded parts of an order the
+   depth adapts to 6, and a region that is crowded even there is dealt out in
+   blocks that meet in pairs. Two documents at the limit (0.85) miss each other
+   in all orders with probability 7e-6 (5e-4 where every one of their sixteen
+   regions is crowded); closer ones with less.
+3. In every region, classes of *different* components whose set sizes allow the
+   limit and whose signatures agree in 40 of 64 minima (five standard deviations
+   below the limit) are candidates. Only the classes go on, not the pairs.
+4. The full sets of the candidates are brought to their cell and compared there;
+   a cell returns a spanning set of its links.
+5. Steps 2 to 4 run for the first two orders, then for all: by then most groups
+   of copies are one component each, and regions of one component are left out.
 
 Edge cases: documents without words, or with a null text, have an empty set,
 link with nothing and keep their own id. Repeated rows give one output row
@@ -48,8 +46,12 @@ from cohortlens.llm.components import components
 HASHES, ORDERS, DEPTH, DEEPER = 64, 16, 4, 6
 #: Minima that two documents above the limit share but for one in some 100,000.
 AGREE = 40
-#: Classes of a region (then: of a block) that are compared in one cell.
-REGION = 1024
+#: Least limit (in percent) that this agreement is made for.
+LEAST = 85
+#: Classes, and shingles of them, of a region (or of a block) that are compared in one cell.
+REGION, WEIGHT = 1024, 4_000_000
+#: Orders of the first round.
+FIRST = 2
 #: Classes (of some 50 bytes) that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 #: Shingles hashed and minima taken at a time: bounds memory for very long texts.
@@ -118,101 +120,61 @@ def _prefix(sig: np.ndarray, order: int, depth: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def regions(classes: DataFrame, region: int = REGION) -> DataFrame:
-    """(order, cell, n, key, comp): the classes of every region that holds more than one component.
+def regions(classes: DataFrame, orders: range, region: int = REGION, weight: int = WEIGHT) -> DataFrame:
+    """(order, cell, x, y, own, key, comp): the classes of every region that holds more than one component.
 
-    ``classes`` has (key, sig, comp); components leave it as 64-bit hashes. ``n`` is the number of classes in the
-    region, more than ``region`` only where the deeper prefix is crowded too.
+    ``classes`` has (key, sig, comp, n_shingles); ``comp`` is a 64-bit hash of
+    the component. A region is one cell, (x, y) = (0, 0); one that is crowded
+    even at the deeper prefix has a cell for every pair x <= y of its blocks,
+    and ``own`` is the block of the row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = _signatures(b)
-            for t in range(ORDERS):
+            for t in orders:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(sig), t, np.int32)), pa.array(_prefix(sig, t, DEPTH)),
-                     pa.array(_prefix(sig, t, DEEPER)), b.column("key"), b.column("comp")],
-                    ["order", "p", "q", "key", "comp"])
+                     pa.array(_prefix(sig, t, DEEPER)), b.column("key"), b.column("comp"), b.column("n_shingles")],
+                    ["order", "p", "q", "key", "comp", "n_shingles"])
 
-    rows = classes.select("key", "sig", F.xxhash64("comp").alias("comp")).mapInArrow(
-        run, "order int, p long, q long, key binary, comp long")
+    rows = classes.select("key", "sig", "comp", "n_shingles").mapInArrow(
+        run, "order int, p long, q long, key binary, comp long, n_shingles long")
+    blocks = F.greatest(F.ceil(F.col("n") / region), F.ceil(F.col("w") / weight)).cast("int")
 
     def mixed(on: list[str]) -> DataFrame:
-        return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(
-            "lo < hi").select(*on, "n")
+        return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.min("comp").alias("lo"),
+                                    F.max("comp").alias("hi")).filter("lo < hi").select(*on, blocks.alias("blocks"))
 
     open_regions = stored(mixed(["order", "p"]), "forest-regions")
-    flat = rows.join(open_regions.filter(F.col("n") <= region), ["order", "p"]).select(
-        "order", F.col("p").alias("cell"), "n", "key", "comp")
-    crowded = open_regions.filter(F.col("n") > region)
+    found = rows.join(open_regions.filter("blocks = 1"), ["order", "p"]).select(
+        "order", F.col("p").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"), "key", "comp")
+    crowded = open_regions.filter("blocks > 1")
     if crowded.isEmpty():
-        return flat
+        return found
     deep = mixed(["order", "p", "q"]).join(crowded.select("order", "p"), ["order", "p"], "left_semi")
-    return flat.unionByName(rows.join(deep, ["order", "p", "q"]).select(
-        "order", F.xxhash64("p", "q").alias("cell"), "n", "key", "comp"))
+    own = F.pmod(F.xxhash64("key", "order"), F.col("blocks")).cast("int")
+    dealt = rows.join(deep, ["order", "p", "q"]).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return found.unionByName(dealt.select(
+        "order", F.xxhash64("p", "q").alias("cell"), F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"), "own", "key", "comp"))
 
 
-def candidates(classes: DataFrame, everything: bool, region: int = REGION) -> DataFrame:
-    """(a, b, agree), a < b: classes of different components that share a region and enough minima.
+_CELL = ["order", "cell", "x", "y"]
+_ROW_DDL = "order int, cell long, x int, y int, own int, key binary, comp long"
 
-    Neighbours of an order only, or ``everything`` a region holds. ``classes``
-    has (key, sig, comp, n_shingles).
-    """
-    rows = regions(classes, region)
-    blocks = F.ceil(F.col("n") / region).cast("int")
-    own = F.pmod(F.xxhash64("key", "order"), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
-    if everything:  # a row of a region in several blocks meets every block once, in a cell per pair of blocks
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    else:
-        rows = rows.withColumn("other", F.col("own"))
-    rows = rows.select("order", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own",
-                       "key", "comp")
-    full = rows.join(classes.select("key", "sig", "n_shingles"), "key")
-    dealt = full.repartition("order", "cell", "x", "y").sortWithinPartitions("order", "cell", "x", "y")
-
-    def found(a: np.ndarray, b: np.ndarray, agree: np.ndarray, keys: list) -> pa.RecordBatch:
-        pairs = [sorted((keys[i], keys[j])) for i, j in zip(a.tolist(), b.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()),
-                                           pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
-
-    def close(sig, n, comp, i, j):
-        """Which of the pairs (i, j) differ in component and may be similar enough."""
-        likely = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= 85 * np.maximum(n[i], n[j]))
-        i, j = i[likely], j[likely]
-        agree = (sig[i] == sig[j]).sum(axis=1) if len(i) else np.zeros(0, np.int64)
-        return i[agree >= AGREE], j[agree >= AGREE], agree[agree >= AGREE]
 
-    def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, n = t["key"].to_pylist(), t["n_shingles"].to_numpy()
-        order, x, y = t["order"][0].as_py(), t["x"][0].as_py(), t["y"][0].as_py()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-        comp = t["comp"].to_numpy()
-        turned = np.roll(sig, -(order * HASHES // ORDERS), axis=1)
-        rank = np.lexsort(turned.T[::-1])  # the sorted order of the region
-        if not everything:
-            yield found(*close(sig, n, comp, rank[:-1], rank[1:]), keys)
-            return
-        if x == y:
-            for d in range(1, len(rank)):
-                i, j, agree = close(sig, n, comp, rank[:-d], rank[d:])
-                if len(i):
-                    yield found(i, j, agree, keys)
-        else:
-            own = t["own"].to_numpy()
-            right = rank[own[rank] == y]
-            for i in rank[own[rank] == x].tolist():
-                a, b, agree = close(sig, n, comp, np.full(len(right), i), right)
-                if len(a):
-                    yield found(a, b, agree, keys)
+def _by_cell(rows: DataFrame, cell, ddl: str) -> DataFrame:
+    """``cell(table)`` for the rows of every cell, a bounded number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the cell that the last batch broke off in
         last = None
         for b in batches:
-            at = [b.column(c).to_numpy() for c in ("order", "cell", "x", "y")]
             if not b.num_rows:
                 continue
+            at = [b.column(c).to_numpy() for c in _CELL]
             new = np.flatnonzero(np.any([v[1:] != v[:-1] for v in at], axis=0)) + 1
             for lo, hi in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
                 name = tuple(v[lo] for v in at)
@@ -224,17 +186,79 @@ def candidates(classes: DataFrame, everything: bool, region: int = REGION) -> Da
         if held:
             yield from cell(pa.Table.from_batches(held))
 
-    pairs = dealt.mapInArrow(run, "a binary, b binary, agree int")
-    return stored(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "forest-candidates")
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, ddl)
+
+
+def _neighbours(order: int, sig: np.ndarray) -> np.ndarray:
+    """The rows of a region in its sorted order: those with the longest common prefixes follow each other."""
+    return np.lexsort(np.roll(sig, -(order * HASHES // ORDERS), axis=1).T[::-1])
+
+
+def likely_rows(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``regions`` that have a likely partner of another component in their cell: enough minima agree, and
+    the set sizes allow the limit."""
+
+    def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, comp, own = t["n_shingles"].to_numpy(), t["comp"].to_numpy(), t["own"].to_numpy()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
+        across = t["x"][0].as_py() != t["y"][0].as_py()
+        rank = _neighbours(t["order"][0].as_py(), sig)
+        chosen = np.zeros(len(rank), bool)
+        for d in range(1, len(rank)):  # every row with the d-th after it
+            if chosen.all():
+                break
+            i, j = rank[:-d], rank[d:]
+            maybe = (comp[i] != comp[j]) & ~(chosen[i] & chosen[j]) & (
+                100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j]))
+            if across:
+                maybe &= own[i] != own[j]
+            i, j = i[maybe], j[maybe]
+            agree = (sig[i] == sig[j]).sum(axis=1) >= AGREE
+            chosen[i[agree]] = chosen[j[agree]] = True
+        if chosen.any():
+            yield from t.select([f.split()[0] for f in _ROW_DDL.split(", ")]).filter(pa.array(chosen)).to_batches()
+
+    return _by_cell(cells.join(classes.select("key", "sig", "n_shingles"), "key"), cell, _ROW_DDL)
+
+
+def link_sets(sets: list[np.ndarray], comp: np.ndarray, own: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of these sets as far as they are ``percent`` alike, a spanning set of them.
+
+    Every set is compared in full with all sets of other components at once (with those of another block only, where
+    ``own`` is given). Sets are sorted, distinct and not empty.
+    """
+    size = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    label = np.unique(comp, return_inverse=True)[1]
+    mark = np.zeros(int(codes.max()) + 1, np.int64)
+    links = []
+    for i in range(len(sets) - 1):
+        later = np.arange(i + 1, len(sets))
+        later = later[(label[later] != label[i])
+                      & (100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i]))]
+        if own is not None:
+            later = later[own[later] != own[i]]
+        if not len(later):
+            continue
+        mark[codes[start[i]:start[i] + size[i]]] = 1
+        n = size[later]
+        ends = np.cumsum(n)
+        met = np.add.reduceat(mark[codes[np.repeat(start[later] - ends + n, n) + np.arange(ends[-1])]], ends - n)
+        mark[codes[start[i]:start[i] + size[i]]] = 0
+        for j in later[100 * met >= percent * (size[i] + n - met)].tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
 
 
 # ---------------------------------------------------------------- links
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = 5) -> DataFrame:
-    """(key, shingles) of the classes in ``pairs``, from the text of one document each."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = classes.join(keys, "key").select("key", "first_id", "text_hash")
+def sets_of(docs: DataFrame, classes: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
+    """(key, shingles) of the classes in ``rows``, from the text of one document each."""
+    wanted = classes.join(rows.select("key").distinct(), "key").select("key", "first_id", "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -246,66 +270,53 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int =
     # Counted first: a small set of classes goes to the texts, else both meet by a shuffle.
     small = wanted.count() <= BROADCAST_CLASSES
     texts = named.join(F.broadcast(wanted) if small else wanted, same).select("key", "text")
-    return stored(texts.dropDuplicates(["key"]).mapInArrow(run, "key binary, shingles array<long>"), "forest-sets")
+    return texts.dropDuplicates(["key"]).mapInArrow(run, "key binary, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """(a, b) of the pairs that reach the limit on their full sets."""
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    met = F.size(F.array_intersect("s", "t"))
-    return stored(both.withColumn("met", met).filter(100 * F.col("met") >= percent * (F.size("s") + F.size("t") - F.col("met")))
-                  .select("a", "b"), "forest-links")
+def confirmed(rows: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
+    """(a, b): links between components in every cell, checked on the full sets."""
 
+    def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, column = t["key"].to_pylist(), t["shingles"].combine_chunks()
+        flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        sets_here = [flat[i:j] for i, j in zip(at, at[1:])]
+        across = t["x"][0].as_py() != t["y"][0].as_py()
+        found = link_sets(sets_here, t["comp"].to_numpy(), t["own"].to_numpy() if across else None, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()),
+                                              pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components."""
-    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter(
-        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+    return stored(_by_cell(rows.join(sets, "key"), cell, "a binary, b binary").distinct(), "forest-links")
 
 
-def grouped(docs: DataFrame, width: int = 5, percent: int = 85, region: int = REGION) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, width: int = 5, percent: int = 85, region: int = REGION,
+            weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): the sketches of every document, and (key, root, ...) of every class."""
+    if percent < LEAST:
+        raise ValueError(f"the signatures are made for limits of {LEAST} percent or more")
     rows = stored(sketches(docs, width), "forest-sketches")
     classes = stored(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"),
         F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select(
         "key", "least_id", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "sig",
         "n_shingles"), "forest-classes")
-    near = candidates(classes.withColumn("comp", F.col("key")), everything=False, region=region)
-    if near.isEmpty():
-        # No two neighbours of any order agree, so no two classes of a region are checked but these few.
-        links, roots = None, None
-    else:
-        sets = sets_of(docs, classes, near, width)
-        ends = near.select(F.col("a").alias("key"), "a", "b", "agree").union(near.select(F.col("b").alias("key"), "a", "b", "agree"))
-        best = ends.groupBy("key").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-        links = confirmed(best, sets, percent)
-        roots = stored(components(links), "forest-roots")
-        # Neighbours that still join two components; the best ones that failed are checked once.
-        rest = _apart(near, roots).join(best, ["a", "b"], "left_anti")
-        links = links.unionByName(confirmed(rest, sets, percent))
-        roots = stored(components(links), "forest-roots")
-    seen = classes if roots is None else classes.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    comp = F.col("key") if roots is None else F.coalesce("root", "key")
-    more = candidates(seen.withColumn("comp", comp).drop("root"), everything=True, region=region).join(
-        near, ["a", "b"], "left_anti")
-    if not more.isEmpty():
-        found = confirmed(more, sets_of(docs, classes, more, width), percent)
+    links, rooted = None, classes.withColumn("root", F.col("key"))
+    for orders in (range(FIRST), range(ORDERS)):
+        now = rooted.withColumn("comp", F.xxhash64("root"))
+        likely = stored(likely_rows(regions(now, orders, region, weight), classes), "forest-likely")
+        if likely.isEmpty():
+            continue
+        found = confirmed(likely, sets_of(docs, classes, likely, width), percent)
         links = found if links is None else links.unionByName(found)
-        roots = stored(components(links), "forest-roots")
-    if roots is None:
-        return rows, classes.withColumn("root", F.col("key"))
-    return rows, classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "root", F.coalesce("root", "key"))
+        roots = stored(components(links), "forest-roots").withColumnRenamed("node", "key")
+        rooted = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return rows, rooted
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, region: int = REGION,
+                    weight: int = WEIGHT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document row."""
-    rows, classes = grouped(docs, width, percent, region)
+    rows, classes = grouped(docs, width, percent, region, weight)
     names = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = rows.join(classes.join(names, "root").select("key", "component_id"), "key")
     alone = rows.filter(F.col("key").isNull()).withColumn("component_id", F.col("doc_id"))
