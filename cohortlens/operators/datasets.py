@@ -22,6 +22,7 @@ MIN_NOTE_CHARS = 100
 MAX_NOTE_CHARS = 2000
 TRAIN_FRACTION = 0.8
 VALIDATION_FRACTION = 0.10
+MIN_SPLIT_ROWS = 10
 OUTER_FOLDS = 5
 INNER_FOLDS = 8
 SEED = 42
@@ -75,7 +76,10 @@ def ordered_split(df: DataFrame, id_col: str, seed: int, fraction: float = TRAIN
 # WIN-09 -----------------------------------------------------------------------
 def class_quotas(df: DataFrame, label: str, fraction: float) -> DataFrame:
     """Held-out rows per class: ceil(fraction * n) overall, shared by largest remainder."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    return _quotas(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")), label, fraction)
+
+
+def _quotas(counts: DataFrame, label: str, fraction: float) -> DataFrame:
     w_all = Window.partitionBy()
     n = F.sum("n_class").over(w_all)
     n_test = F.ceil(n * fraction)
@@ -89,29 +93,36 @@ def class_quotas(df: DataFrame, label: str, fraction: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float = VALIDATION_FRACTION,
-                     seed: int = SEED, held: str = "validation", rest: str = "train") -> DataFrame:
+                     seed: int = SEED, held: str = "validation", rest: str = "train", least_rows: int = 0) -> DataFrame:
     """Stratified hold-out: the first ``quota`` rows of each class in seeded order.
 
     One cut per class, found from counts; every row is compared with its
-    class's cut where it is, so a dominant class is not moved at all. Fewer
-    than 10 rows or a single class is an error.
+    class's cut where it is, so a dominant class is not moved at all. With
+    ``least_rows`` (``MIN_SPLIT_ROWS`` for a training set) fewer rows, or a
+    single class, is an error.
     """
-    check_stratified_input(df, label)
-    quotas = class_quotas(df, label, fraction)
+    checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")).checkpoint(eager=True)  # one row per class
+    if least_rows:
+        _check_classes(counts.agg(F.coalesce(F.sum("n_class"), F.lit(0)), F.count(label)).first(), least_rows)
+    quotas = _quotas(counts, label, fraction)
     cuts = seeded_cuts(df, [label], id_col, seed, quotas).withColumnRenamed(label, "_class")
     return (df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_class")), "left")  # one row per class
             .withColumn("split", F.when(F.coalesce(order_key(id_col, seed) <= F.col("cut"), F.lit(False)), held)
                         .otherwise(rest)).drop("_class", "cut"))
 
 
-def check_stratified_input(df: DataFrame, label: str) -> None:
-    """Error unless there are 10 rows or more and 2 classes or more."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(label).alias("k")).first()
-    if stats["n"] < 10:
-        raise ValueError(f"a stratified split needs 10 rows or more, got {stats['n']}")
-    if stats["k"] < 2:
-        raise ValueError(f"a stratified split needs 2 classes or more, got {stats['k']}")
+def check_stratified_input(df: DataFrame, label: str, least_rows: int = MIN_SPLIT_ROWS) -> None:
+    """Error unless there are ``least_rows`` rows or more and 2 classes or more."""
+    _check_classes(df.agg(F.count(F.lit(1)), F.countDistinct(label)).first(), least_rows)
+
+
+def _check_classes(stats, least_rows: int) -> None:
+    rows, classes = stats
+    if rows < least_rows:
+        raise ValueError(f"a stratified split needs {least_rows} rows or more, got {rows}")
+    if classes < 2:
+        raise ValueError(f"a stratified split needs 2 classes or more, got {classes}")
 
 
 # WIN-10 -----------------------------------------------------------------------
@@ -148,13 +159,19 @@ def line_hashes(df: DataFrame, id_col: str, text: str) -> DataFrame:
             .select(id_col, C.norm_hash("_line").alias("line_hash")))
 
 
+#: Hashes (64 characters) that are broadcast, at most.
+MAX_BROADCAST_HASHES = 500_000
+
+
 def remove_overlap(train: DataFrame, test: DataFrame, text: str = "text", id_col: str = "doc_id",
                    test_text: str = "text", level: str = "document") -> DataFrame:
     """Training rows whose normalised text (or any normalised line) occurs in the test set are removed.
 
-    A Bloom filter of the test hashes, of bounded size, turns away the training
-    hashes that cannot match before anything is shuffled; the few others meet
-    the test hashes in an exact join. Texts are never shuffled for the look-up.
+    The test hashes are counted. Up to ``MAX_BROADCAST_HASHES`` of them are
+    broadcast. Beyond that, a Bloom filter of them, of bounded size, turns away
+    the training hashes that cannot match before anything is shuffled; the few
+    others meet the test hashes in an exact join. Texts are never shuffled for
+    the look-up.
     """
     spark = train.sparkSession
     checkpoint_dir(spark)
@@ -163,7 +180,13 @@ def remove_overlap(train: DataFrame, test: DataFrame, text: str = "text", id_col
     else:
         held = line_hashes(test.withColumn("_tid", F.lit(0)), "_tid", test_text).select(F.col("line_hash").alias("_h"))
     hashes = held.filter("_h IS NOT NULL").distinct().checkpoint(eager=True)  # narrow; read by the filter and the join
-    bits = filter_bits(hashes.count())
+    n_hashes = hashes.count()
+    if n_hashes <= MAX_BROADCAST_HASHES:
+        if level == "document":
+            return train.withColumn("_h", C.norm_hash(text)).join(F.broadcast(hashes), "_h", "left_anti").select(train.columns)
+        hit = line_hashes(train, id_col, text).join(F.broadcast(hashes), F.col("line_hash") == F.col("_h"), "left_semi")
+        return train.join(checked_broadcast(hit.select(id_col).distinct()), id_col, "left_anti")
+    bits = filter_bits(n_hashes)
     bitmaps = bloom_filter(hashes, "_h", bits).checkpoint(eager=True)
     if level == "document":
         marked = maybe_in(train.withColumn("_h", C.norm_hash(text)), "_h", bitmaps, bits, "_maybe")

@@ -428,7 +428,8 @@ _STRAT_SQL = f"""
 
 def stratified(cdm):
     pool = D.remove_overlap(FX.samples3(cdm), cdm.raw("benchmark"), level="document")
-    return D.stratified_split(pool.select("sample_id", "label"), "sample_id", "label", 0.10, SEED)
+    return D.stratified_split(pool.select("sample_id", "label"), "sample_id", "label", 0.10, SEED,
+                              least_rows=D.MIN_SPLIT_ROWS)
 
 
 @query("win_09_stratified_split", with_views(_STRAT_SQL + "\n  SELECT sample_id, label, split FROM split_rows",

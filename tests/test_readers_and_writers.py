@@ -165,8 +165,9 @@ def test_overlap_is_exact_also_behind_a_full_filter(spark, monkeypatch):
     by_line = sorted(i for i, t in train if not t or not {norm(x) for x in t.split("\n")} & {norm(x) for x in lines})
     whole = {norm(t) for t, in test if t}
     by_doc = sorted(i for i, t in train if t is None or norm(t) not in whole)
-    for most in (1 << 27, 1 << 15):
+    for most, sent in ((1 << 27, 0), (1 << 15, 0), (1 << 27, 10 ** 6)):
         monkeypatch.setattr(B, "MAX_BITS", most)
+        monkeypatch.setattr(D, "MAX_BROADCAST_HASHES", sent)
         assert sorted(r.doc_id for r in D.remove_overlap(a, b, level="line").collect()) == by_line
         out = D.remove_overlap(a, b, level="document")
         assert out.columns == ["doc_id", "text"] and sorted(r.doc_id for r in out.collect()) == by_doc

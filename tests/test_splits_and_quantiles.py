@@ -93,9 +93,9 @@ def test_splits_raise_on_short_or_one_class_input(spark):
     with pytest.raises(ValueError, match="needs the columns person_id"):
         D.grouped_split(few, "person_id", "label")
     with pytest.raises(ValueError, match="2 classes"):
-        D.stratified_split(_frame(spark, [(5, 0)] * 20), "row", "label")
+        D.stratified_split(_frame(spark, [(5, 0)] * 20), "row", "label", least_rows=D.MIN_SPLIT_ROWS)
     with pytest.raises(ValueError, match="10 rows"):
-        D.stratified_split(_frame(spark, [(3, 1)]), "row", "label")
+        D.stratified_split(_frame(spark, [(3, 1)]), "row", "label", least_rows=D.MIN_SPLIT_ROWS)
     notes = spark.createDataFrame([("x" * 150,), ("y",)], "note_text string")
     assert D.candidate_pool(notes, at_least=1).count() == 1
     with pytest.raises(ValueError, match="2 notes wanted, 1 available"):
