@@ -12,12 +12,14 @@ broadcast and no task holds the vocabulary.
 1. Texts get their target flag by a join of the same plan at every size (the
    list of targets grows with the corpus and is never broadcast). Each task
    deals its texts into blocks of about ``BLOCK`` tokens and writes, per block,
-   the distinct words (by 64-bit hash), the distinct bigrams with their counts
-   (64-bit keys, packed into one row per bucket of keys), and every text as
-   places in the block's list of words.
+   the distinct words (64-bit hashes) and the distinct bigrams with their counts
+   (64-bit keys), both sorted and packed into one row per bucket of keys, and
+   the texts as places in the block's list of words. Packed numbers are sorted
+   keys as differences, laid out byte by byte and compressed.
 2. Per bucket, the counts of a bigram are summed over its blocks and go back to
-   them; those of a word (and of what follows it) are summed over the bigrams.
-   A key occurs at most once a block, so a frequent one is no load on its task.
+   them; those of a word (and of what follows it) are summed over the bigrams
+   and go back per bucket as well. A key occurs at most once a block, so a
+   frequent one is no load on its task.
 3. Each block gets the totals of its own words and bigrams, makes their log
    probabilities and scores its texts.
 4. Absolute discounting with back-off: bigrams give up ``DISCOUNT`` counts,
@@ -38,6 +40,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -57,8 +61,9 @@ BLOCK, BLOCK_TEXTS = 1 << 20, 1 << 16
 #: Bytes of text for one bucket of bigrams.
 BUCKET_BYTES = 1 << 23
 WORD, GRAM, TOTAL, TEXT = range(4)
-CODED = "block long, kind int, i int, word long, key binary, n binary, n_target binary, doc_id long, ids binary"
-
+#: WORD: hashes. GRAM: keys, counts, target counts. TOTAL: counts, target counts, first. TEXT: places, sizes, doc_ids,
+#: which of them are null.
+CODED = "block long, kind int, i int, a binary, b binary, c binary, d binary"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -73,6 +78,26 @@ def _hash(word: bytes) -> int:
 START_HASH = _hash(START)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers byte by byte (all first bytes, all second ones, ...), compressed: small numbers take little."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1) if len(x) else b""
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zlib.decompress(data) if data else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences."""
+    return pack(np.diff(x, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
+
+
 def _rows(n: int, /, **cols) -> pa.RecordBatch:
     """``n`` rows of CODED; columns that are not given are null."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -91,40 +116,56 @@ def _pair_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _bigrams(hashes: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """The distinct bigrams of a block's texts (places in ``hashes``, START is 0) in the order of their keys:
-    (key, previous word, word, counts), the place in them of every token, and the texts' sizes."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    word = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int64)
-    prev = np.concatenate(([0], word))[:-1]
-    prev[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+def _bigrams(hashes: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct bigrams of a block's texts (places in ``hashes``, which are sorted) in the order of their keys:
+    (key, previous word, word, counts) and the place in them of every token."""
+    start = np.searchsorted(hashes, np.int64(START_HASH).view(np.uint64))
+    prev = np.concatenate(([start], word))[:-1]
+    prev[(np.cumsum(sizes) - sizes)[sizes > 0]] = start
     pairs, at, n = np.unique(prev * len(hashes) + word, return_inverse=True, return_counts=True)
     prev, word = pairs // len(hashes), pairs % len(hashes)
     key = _pair_keys(hashes[prev], hashes[word])
     order = np.argsort(key, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return key[order], prev[order], word[order], n[order], place[at], sizes
+    return key[order], prev[order], word[order], n[order], place[at]
+
+
+def _buckets(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The buckets of sorted keys, and where each begins and ends."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[edges], list(zip(edges, [*edges[1:], len(keys)]))
+
+
+#: Texts of one TEXT row.
+TEXTS_A_ROW = 512
 
 
 def _block(block: int, bits: int, local: dict[bytes, int], texts: list[tuple[int | None, np.ndarray, bool]]):
-    """The rows of one block: its words, its bigrams by bucket with their counts, and its texts."""
-    hashes = np.array([_hash(w) for w in local], np.int64)
-    yield _rows(len(hashes), block=block, kind=WORD, i=np.arange(len(hashes)), word=hashes)
-    key, _, _, n, at, sizes = _bigrams(hashes, [ids for _, ids, _ in texts])
+    """The rows of one block: its words and its bigrams by bucket, and its texts."""
+    hashes = np.array([_hash(w) for w in local], np.int64).view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, place = hashes[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bucket, spans = _buckets(hashes, bits)
+    yield _rows(len(spans), block=block, kind=WORD, i=bucket, a=[pack_sorted(hashes[x:z]) for x, z in spans])
+    sizes = np.array([len(ids) for _, ids, _ in texts], np.int64)
+    ids = place[np.concatenate([ids for _, ids, _ in texts] + [np.zeros(0, np.int32)])]
+    key, _, _, n, at = _bigrams(hashes, ids, sizes)
     target = np.repeat(np.array([t for *_, t in texts], bool), sizes)
-    n_target = np.bincount(at, weights=target, minlength=len(key)).astype("<u4")
-    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    spans = list(zip(edges, [*edges[1:], len(key)]))
+    n_target = np.bincount(at, weights=target, minlength=len(key)).astype("<i8")
+    bucket, spans = _buckets(key, bits)
     if spans:
-        packed = {name: [x[a:z].tobytes() for a, z in spans] for name, x in (
-            ("key", key), ("n", n.astype("<u4")), ("n_target", n_target))}
-        yield _rows(len(spans), block=block, kind=GRAM, i=bucket[edges], **packed)
-    for lo in range(0, len(texts), 1024):
-        part = texts[lo:lo + 1024]
-        yield _rows(len(part), block=block, kind=TEXT, i=np.arange(lo, lo + len(part)), doc_id=[d for d, *_ in part],
-                    ids=[ids.tobytes() for _, ids, _ in part])
+        yield _rows(len(spans), block=block, kind=GRAM, i=bucket, a=[pack_sorted(key[x:z]) for x, z in spans],
+                    b=[pack(n[x:z].astype("<i8")) for x, z in spans], c=[pack(n_target[x:z]) for x, z in spans])
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(texts), TEXTS_A_ROW):
+        part, hi = texts[lo:lo + TEXTS_A_ROW], min(lo + TEXTS_A_ROW, len(texts))
+        docs = np.array([0 if d is None else d for d, *_ in part], "<i8")
+        yield _rows(1, block=block, kind=TEXT, i=lo, a=[pack(ids[ends[lo] - sizes[lo]:ends[hi - 1]].astype("<u4"))],
+                    b=[pack(sizes[lo:hi].astype("<u4"))], c=[pack(docs)],
+                    d=[pack(np.array([d is None for d, *_ in part], np.uint8))])
 
 
 def encode(flagged: DataFrame, bits: int) -> DataFrame:
@@ -158,28 +199,27 @@ def _runs(batches):
                 yield x[lo], y[lo], b.slice(lo, hi - lo)
 
 
-def _unpack(rows: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for r in rows for x in r.column(name).to_pylist()), kind)
+def _joined(rows: list[pa.RecordBatch], name: str, kind) -> np.ndarray:
+    """The numbers of a column of packed rows, one after the other."""
+    parts = [unpack(x, kind) for r in rows for x in r.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def bigram_totals(coded: DataFrame) -> DataFrame:
-    """(block, i, n, n_target, first): counts of the whole corpus for the bigrams of every block and bucket, packed;
-    ``first`` marks a bigram in one of its blocks."""
-    names = ["block", "i", "n", "n_target", "first"]
+    """TOTAL rows: counts of the whole corpus for the bigrams of every block and bucket; ``first`` marks a bigram in one
+    of its blocks."""
 
     def emit(held: list[pa.RecordBatch]):
-        key = _unpack(held, "key", "<u8")
-        sizes = np.array([len(x) // 8 for r in held for x in r.column("key").to_pylist()], np.int64)
+        keys = [unpack_sorted(x) for r in held for x in r.column("a").to_pylist()]
+        sizes, key = np.array([len(k) for k in keys], np.int64), np.concatenate(keys)
         u, first, at = np.unique(key, return_index=True, return_inverse=True)
-        mark = np.zeros(len(key), bool)
-        mark[first] = True
-        sums = [np.bincount(at, weights=_unpack(held, c, "<u4"), minlength=len(u)).astype("<i8")[at]
-                for c in ("n", "n_target")]
+        mark = np.zeros(len(key), np.uint8)
+        mark[first] = 1
+        sums = [np.bincount(at, weights=_joined(held, c, "<i8"), minlength=len(u)).astype("<i8")[at] for c in ("b", "c")]
         ends = np.cumsum(sizes)
-        spans = list(zip(ends - sizes, ends))
-        packed = [pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()) for x in (*sums, mark)]
         whole = pa.Table.from_batches(held)
-        yield pa.RecordBatch.from_arrays([whole["block"].combine_chunks(), whole["i"].combine_chunks(), *packed], names)
+        yield _rows(len(sizes), block=whole["block"].to_numpy(), kind=TOTAL, i=whole["i"].to_numpy(), **{
+            name: [pack(x[lo:hi]) for lo, hi in zip(ends - sizes, ends)] for name, x in zip("abc", (*sums, mark))})
 
     def run(batches):
         bucket, held = None, []
@@ -192,19 +232,14 @@ def bigram_totals(coded: DataFrame) -> DataFrame:
         if held:
             yield from emit(held)
 
-    dealt = (coded.filter(F.col("kind") == GRAM).select("i", "kind", "block", "key", "n", "n_target")
+    dealt = (coded.filter(F.col("kind") == GRAM).select("i", "kind", "block", "a", "b", "c")
              .repartition("i").sortWithinPartitions("i", "block"))
-    return dealt.mapInArrow(run, "block long, i int, n binary, n_target binary, first binary")
+    return dealt.mapInArrow(run, CODED)
 
 
-def _by_block(parts: list[tuple[int, DataFrame]], types: dict[str, str]) -> DataFrame:
-    """Rows of several kinds, those of a block together and in the order of (kind, i); missing columns are null."""
-    united = None
-    for kind, part in parts:
-        part = part.withColumn("kind", F.lit(kind)).select(*[
-            (F.col(c) if c in part.columns or c == "kind" else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
-        united = part if united is None else united.unionByName(part)
-    return united.repartition("block").sortWithinPartitions("block", "kind", "i")
+def _by_block(rows: DataFrame) -> DataFrame:
+    """Rows of CODED, those of a block together and in the order of (kind, i)."""
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "i")
 
 
 def _whole_blocks(batches):
@@ -220,8 +255,16 @@ def _whole_blocks(batches):
         yield held
 
 
-def _texts(held: dict[int, list[pa.RecordBatch]]) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<i4") for r in held[TEXT] for x in r.column("ids").to_pylist()]
+def _texts(held: dict[int, list[pa.RecordBatch]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all tokens, and the sizes of the texts."""
+    return _joined(held[TEXT], "a", "<u4").astype(np.int64), _joined(held[TEXT], "b", "<u4").astype(np.int64)
+
+
+def _hashes(rows: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([unpack_sorted(x) for r in rows for x in r.column("a").to_pylist()])
+
+
+COUNTS = ["n", "n_target", "given", "given_target"]
 
 
 def word_totals(coded: DataFrame, totals: DataFrame) -> DataFrame:
@@ -229,25 +272,60 @@ def word_totals(coded: DataFrame, totals: DataFrame) -> DataFrame:
 
     def run(batches):
         for held in _whole_blocks(batches):
-            hashes = np.concatenate([r.column("word").to_numpy() for r in held[WORD]])
-            first = _unpack(held[TOTAL], "first", bool)
-            _, prev, word, *_ = _bigrams(hashes, _texts(held))
+            hashes = _hashes(held[WORD])
+            start = np.searchsorted(hashes, np.int64(START_HASH).view(np.uint64))
+            _, prev, word, *_ = _bigrams(hashes, *_texts(held))
+            first = _joined(held[TOTAL], "c", np.uint8).astype(bool)
             prev, word, out = prev[first], word[first], []
-            for side in ("n", "n_target"):
-                n = _unpack(held[TOTAL], side, "<i8")[first]
+            for side in ("a", "b"):
+                n = _joined(held[TOTAL], side, "<i8")[first]
                 count = np.bincount(word, weights=n, minlength=len(hashes))
-                count[0] = n[prev == 0].sum()
+                count[start] = n[prev == start].sum()
                 given = np.bincount(prev, weights=np.maximum(n - DISCOUNT, 0), minlength=len(hashes))
-                out += [pa.array(count.astype(np.int64)), pa.array(given.astype(float))]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), *out],
+                out += [count.astype(np.int64), given.astype(float)]
+            some = (out[0] > 0) | (out[1] > 0)  # the others are told by other blocks
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)[some]), *[pa.array(x[some]) for x in out]],
                                              ["word", "n", "given", "n_target", "given_target"])
 
-    kinds = [(k, coded.filter(F.col("kind") == k).drop("n", "n_target")) for k in (WORD, TEXT)]
-    together = _by_block([kinds[0], (TOTAL, totals), kinds[1]], {
-        "block": "long", "kind": "int", "i": "int", "word": "long", "n": "binary", "n_target": "binary",
-        "first": "binary", "ids": "binary"})
-    return (together.mapInArrow(run, "word long, n long, given double, n_target long, given_target double")
-            .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_target", "given", "given_target")]))
+    rows = coded.filter(F.col("kind").isin(WORD, TEXT)).unionByName(totals)
+    return (_by_block(rows).mapInArrow(run, "word long, n long, given double, n_target long, given_target double")
+            .groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+
+
+def words_of_blocks(coded: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """(block, kind, i, a, b, c, d, e): WORD rows with the totals of their words: counts, target counts, and what is given
+    in either (single precision)."""
+    mine = coded.filter(F.col("kind") == WORD).select("i", F.lit(1).alias("side"), "block", "a")
+    table = words.select(F.expr(f"cast(shiftrightunsigned(word, {64 - bits}) as int)").alias("i"), F.lit(0).alias("side"), "word", *COUNTS)
+    both = mine.unionByName(table, allowMissingColumns=True).select("i", "side", "block", "a", "word", *COUNTS)
+
+    def run(batches):
+        bucket, held, known = None, [], None
+        for i, side, part in _runs(batches):
+            if i != bucket:
+                bucket, held, known = i, [], None
+            if side == 0:
+                held.append(part)
+                continue
+            if known is None:  # START is not among them when all texts are blank: a row of zeros stands behind them
+                word = np.concatenate([r.column("word").to_numpy() for r in held] + [np.zeros(0, np.int64)]).view(np.uint64)
+                order = np.argsort(word)
+                known = word[order], [np.append(np.concatenate([r.column(c).to_numpy() for r in held] + [np.zeros(0)])[order], 0)
+                                      for c in COUNTS]
+            out = []
+            for block, a in zip(part.column("block").to_pylist(), part.column("a").to_pylist()):
+                asked = unpack_sorted(a)
+                at = np.searchsorted(known[0], asked)
+                at[np.append(known[0], np.uint64(0))[at] != asked] = len(known[0])
+                n, n_target, given, given_target = (x[at] for x in known[1])
+                out.append((block, WORD, i, a, pack(n.astype("<i8")), pack(n_target.astype("<i8")), pack(given.astype("<f4")),
+                            pack(given_target.astype("<f4"))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _WIDE.types)], schema=_WIDE)
+
+    return both.repartition("i").sortWithinPartitions("i", "side").mapInArrow(run, f"{CODED}, e binary")
+
+
+_WIDE = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), *[(c, pa.binary()) for c in "abcde"]])
 
 
 def log_probabilities(words: np.ndarray, given: np.ndarray, prev: np.ndarray, word: np.ndarray, pairs: np.ndarray,
@@ -286,32 +364,27 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     words = stored(word_totals(coded, totals), "lm-words")
     sums = words.filter(F.col("word") != START_HASH).agg(F.sum("n_target"), F.sum("n"), F.count(F.lit(1))).first()
     tokens, size = np.array([sums[0] or 0, sums[1] or 0], float), sums[2] + 2  # START and an unknown word
-
-    counts = ["n", "n_target", "given", "given_target"]
-    of_words = (coded.filter(F.col("kind") == WORD).select("block", "i", "word").join(words.hint("merge"), "word")
-                .select("block", "i", "word", *[F.col(c).alias(f"w_{c}") for c in counts]))
-    texts = coded.filter(F.col("kind") == TEXT).drop("n", "n_target")
-    dealt = _by_block([(WORD, of_words), (TOTAL, totals), (TEXT, texts)], {
-        "block": "long", "kind": "int", "i": "int", "word": "long", **{f"w_{c}": "double" for c in counts},
-        "n": "binary", "n_target": "binary", "doc_id": "long", "ids": "binary"})
+    rows = words_of_blocks(coded, words, bits).unionByName(
+        coded.filter(F.col("kind") == TEXT).unionByName(totals), allowMissingColumns=True)
 
     def run(batches):
         for held in _whole_blocks(batches):
-            w = {c: np.concatenate([r.column(c).to_numpy() for r in held[WORD]])
-                 for c in ("word", *(f"w_{c}" for c in counts))}
-            _, prev, word, _, at, sizes = _bigrams(w["word"], _texts(held))
-            pairs = np.stack([_unpack(held[TOTAL], c, "<i8") for c in ("n_target", "n")])
-            log_p = log_probabilities(np.stack([w["w_n_target"], w["w_n"]]),
-                                      np.stack([w["w_given_target"], w["w_given"]]), prev, word, pairs, tokens, size)
+            hashes = _hashes(held[WORD])
+            n, n_target = (_joined(held[WORD], c, "<i8") for c in "bc")
+            given, given_target = (_joined(held[WORD], c, "<f4").astype(float) for c in "de")
+            words_at, sizes = _texts(held)
+            _, prev, word, _, at = _bigrams(hashes, words_at, sizes)
+            pairs = np.stack([_joined(held[TOTAL], c, "<i8") for c in "ba"])
+            log_p = log_probabilities(np.stack([n_target, n]), np.stack([given_target, given]), prev, word, pairs, tokens, size)
             loss, none = _losses(log_p, at, sizes), sizes == 0
-            ids = pa.concat_arrays([r.column("doc_id") for r in held[TEXT]])
+            ids = pa.array(_joined(held[TEXT], "c", "<i8"), mask=_joined(held[TEXT], "d", np.uint8).astype(bool))
             cols = [pa.array(x, mask=none) for x in (loss[0], loss[1], loss[0] - loss[1])]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64)), *cols],
                 ["doc_id", "n_tokens", "n_unknown", "loss_target", "loss_background", "score"])
 
-    return dealt.mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
-                                 "loss_background double, score double")
+    return _by_block(rows).mapInArrow(run, "doc_id long, n_tokens long, n_unknown long, loss_target double, "
+                                           "loss_background double, score double")
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

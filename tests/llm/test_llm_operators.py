@@ -644,3 +644,19 @@ def test_pipeline_on_an_empty_table(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
         assert i == 4 or docs.columns == columns
+
+
+def test_cross_entropy_of_blank_texts_only(spark):
+    docs = frame(spark, [None, "", " \n"])
+    got = cross_entropy.score(docs, docs.select("doc_id")).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.score) for r in got) == [(0, 0, None), (1, 0, None), (2, 0, None)]
+
+
+def test_cross_entropy_packed_numbers():
+    rng = np.random.default_rng(1)
+    for kind in ("<u4", "<i8", "<f4", np.uint8):
+        x = (rng.integers(0, 200, 77)).astype(kind)
+        assert (cross_entropy.unpack(cross_entropy.pack(x), kind) == x).all()
+    keys = np.sort(rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    assert (cross_entropy.unpack_sorted(cross_entropy.pack_sorted(keys)) == keys).all()
+    assert len(cross_entropy.unpack(cross_entropy.pack(keys[:0]), "<u8")) == 0
