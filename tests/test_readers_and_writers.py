@@ -60,7 +60,7 @@ LINES = ["BASE MODEL Results:", "FINE-TUNED MODEL Results:", "OTHER Results:  ",
          "base model Results:", "x" * 70, "Time : 12:30", "Results:"]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_sections_carry_over_the_parts_of_a_log(spark, tmpdir_, small_ranges, seed):
     rng = random.Random(seed)
     texts = {f"{k}.log": "\n".join(rng.choice(LINES) for _ in range(rng.choice([3, 60, 200]))) for k in range(3)}
