@@ -46,10 +46,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import slices, stored
+from cohortlens.llm.common import shared_path, short_lived_shuffles, slices, stored
 
 #: Least share of the tokens that a word or bigram needs to be counted: none.
 VOCAB_SHARE = BIGRAM_SHARE = 0.0
@@ -189,6 +189,21 @@ def encode(flagged: DataFrame, bits: int) -> DataFrame:
     return flagged.select("doc_id", "text", "target").mapInArrow(run, CODED)
 
 
+def _stored_by_kind(rows: DataFrame) -> tuple[DataFrame, str]:
+    """Rows of CODED, written to the shared folder with a folder for each kind, and where."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "lm-coded")
+    with short_lived_shuffles(spark):
+        rows.write.partitionBy("kind").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(rows.columns), path
+
+
+def _drop_kind(spark: SparkSession, path: str, kind: int) -> None:
+    """Delete the rows of a kind, which no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _runs(batches):
     """(values of the first two columns, slice) for every run of rows that agree in them."""
     for b in batches:
@@ -353,14 +368,16 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has the doc_id of the target documents.
     """
+    spark = docs.sparkSession
     wanted = targets.select(F.col("doc_id").cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (n_bytes // BUCKET_BYTES).bit_length())
     flagged = (plain.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_t"), "left")
                .select("doc_id", "text", F.col("_t").isNotNull().alias("target")))
-    coded = stored(encode(flagged, bits), "lm-coded")
+    coded, path = _stored_by_kind(encode(flagged, bits))
     totals = stored(bigram_totals(coded), "lm-bigrams")
+    _drop_kind(spark, path, GRAM)  # the totals have taken their place
     words = stored(word_totals(coded, totals), "lm-words")
     sums = words.filter(F.col("word") != START_HASH).agg(F.sum("n_target"), F.sum("n"), F.count(F.lit(1))).first()
     tokens, size = np.array([sums[0] or 0, sums[1] or 0], float), sums[2] + 2  # START and an unknown word
