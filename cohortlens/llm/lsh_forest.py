@@ -15,11 +15,14 @@ Links are documents whose sets of 5-word shingles have
    regions is crowded); closer ones with less.
 3. In every region, classes of *different* components whose set sizes allow the
    limit and whose signatures agree in 40 of 64 minima (five standard deviations
-   below the limit) are candidates. Only the classes go on, not the pairs.
+   below the limit) are candidates. A pair that shares the deeper prefix of an
+   earlier order has met there, whatever its region's depth, and is none here.
+   Only the classes go on, not the pairs.
 4. The full sets of the candidates are brought to their cell and compared there;
    a cell returns a spanning set of its links.
-5. Steps 2 to 4 run for the first two orders, then for all: by then most groups
-   of copies are one component each, and regions of one component are left out.
+5. Steps 2 to 4 run for a few orders at a time: after the first, most groups of
+   copies are one component each, and regions of one component are left out.
+   Shuffle files of a round go when it ends.
 
 Edge cases: documents without words, or with a null text, have an empty set,
 link with nothing and keep their own id. Repeated rows give one output row
@@ -50,8 +53,8 @@ AGREE = 40
 LEAST = 85
 #: Classes, and shingles of them, of a region (or of a block) that are compared in one cell.
 REGION, WEIGHT = 1024, 4_000_000
-#: Orders of the first round.
-FIRST = 2
+#: Orders of a round end here.
+ROUNDS = (2, 6, ORDERS)
 #: Classes (of some 50 bytes) that are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_CLASSES = 200_000
 #: Shingles hashed and minima taken at a time: bounds memory for very long texts.
@@ -110,23 +113,33 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
 
 
+def _places(order: int, depth: int) -> np.ndarray:
+    """Where the first ``depth`` values of an order are in the signature."""
+    return (order * HASHES // ORDERS + np.arange(depth)) % HASHES
+
+
 def _prefix(sig: np.ndarray, order: int, depth: int) -> np.ndarray:
     """The first ``depth`` values of an order, as one number."""
-    at = (order * HASHES // ORDERS + np.arange(depth)) % HASHES
     out = np.zeros(len(sig), np.uint64)
-    for j in at:
+    for j in _places(order, depth):
         out = (out ^ sig[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
+def _of_order(number, order):
+    """A cell's number: a hash of which the last four bits are its order (of ``ORDERS``)."""
+    return number.bitwiseAND(~(ORDERS - 1)).bitwiseOR(order)
+
+
 def regions(classes: DataFrame, orders: range, region: int = REGION, weight: int = WEIGHT) -> DataFrame:
-    """(order, cell, x, y, own, key, comp): the classes of every region that holds more than one component.
+    """(cell, x, y, own, cid, comp): the classes of every region that holds more than one component.
 
-    ``classes`` has (key, sig, comp, n_shingles); ``comp`` is a 64-bit hash of
-    the component. A region is one cell, (x, y) = (0, 0); one that is crowded
-    even at the deeper prefix has a cell for every pair x <= y of its blocks,
-    and ``own`` is the block of the row.
+    ``classes`` has (cid, sig, comp, n_shingles); ``comp`` is the component. A
+    region is one cell, (x, y) = (0, 0); one that is crowded even at the deeper
+    prefix has a cell for every pair x <= y of its blocks, and ``own`` is the
+    block of the row. Classes that are alone in their regions are left behind in
+    one join: whatever follows, crowded regions too, reads the others only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,35 +147,34 @@ def regions(classes: DataFrame, orders: range, region: int = REGION, weight: int
             sig = _signatures(b)
             for t in orders:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sig), t, np.int32)), pa.array(_prefix(sig, t, DEPTH)),
-                     pa.array(_prefix(sig, t, DEEPER)), b.column("key"), b.column("comp"), b.column("n_shingles")],
-                    ["order", "p", "q", "key", "comp", "n_shingles"])
+                    [pa.array(_prefix(sig, t, DEPTH) & ~(ORDERS - 1) | t),
+                     pa.array((_prefix(sig, t, DEEPER) >> 32).astype(np.int32)),
+                     b.column("cid"), b.column("comp"), b.column("n_shingles")], ["p", "q", "cid", "comp", "n_shingles"])
 
-    rows = classes.select("key", "sig", "comp", "n_shingles").mapInArrow(
-        run, "order int, p long, q long, key binary, comp long, n_shingles long")
     blocks = F.greatest(F.ceil(F.col("n") / region), F.ceil(F.col("w") / weight)).cast("int")
 
-    def mixed(on: list[str]) -> DataFrame:
+    def mixed(rows: DataFrame, on: list[str]) -> DataFrame:
         return rows.groupBy(on).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.min("comp").alias("lo"),
                                     F.max("comp").alias("hi")).filter("lo < hi").select(*on, blocks.alias("blocks"))
 
-    open_regions = stored(mixed(["order", "p"]), "forest-regions")
-    found = rows.join(open_regions.filter("blocks = 1"), ["order", "p"]).select(
-        "order", F.col("p").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"), "key", "comp")
-    crowded = open_regions.filter("blocks > 1")
+    rows = classes.select("cid", "sig", "comp", "n_shingles").mapInArrow(
+        run, "p long, q int, cid long, comp long, n_shingles long")
+    met = stored(rows.join(stored(mixed(rows, ["p"]), "forest-regions"), "p"), "forest-rows")
+    found = met.filter("blocks = 1").select(
+        F.col("p").alias("cell"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own"), "cid", "comp")
+    crowded = met.filter("blocks > 1").drop("blocks")
     if crowded.isEmpty():
         return found
-    deep = mixed(["order", "p", "q"]).join(crowded.select("order", "p"), ["order", "p"], "left_semi")
-    own = F.pmod(F.xxhash64("key", "order"), F.col("blocks")).cast("int")
-    dealt = rows.join(deep, ["order", "p", "q"]).withColumn("own", own).withColumn(
+    own = F.pmod(F.xxhash64("cid", "p"), F.col("blocks")).cast("int")
+    dealt = crowded.join(mixed(crowded, ["p", "q"]), ["p", "q"]).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = _of_order(F.xxhash64("p", "q"), F.col("p").bitwiseAND(ORDERS - 1))
     return found.unionByName(dealt.select(
-        "order", F.xxhash64("p", "q").alias("cell"), F.least("own", "other").alias("x"),
-        F.greatest("own", "other").alias("y"), "own", "key", "comp"))
+        cell.alias("cell"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "comp"))
 
 
-_CELL = ["order", "cell", "x", "y"]
-_ROW_DDL = "order int, cell long, x int, y int, own int, key binary, comp long"
+_CELL = ["cell", "x", "y"]
+_ROW_DDL = "cell long, x int, y int, own int, cid long, comp long"
 
 
 def _by_cell(rows: DataFrame, cell, ddl: str) -> DataFrame:
@@ -195,14 +207,16 @@ def _neighbours(order: int, sig: np.ndarray) -> np.ndarray:
 
 
 def likely_rows(cells: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``regions`` that have a likely partner of another component in their cell: enough minima agree, and
-    the set sizes allow the limit."""
+    """The rows of ``regions`` that have a likely partner of another component in their cell: enough minima agree, the
+    set sizes allow the limit, and no earlier order has surely brought both to one cell."""
 
     def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
         n, comp, own = t["n_shingles"].to_numpy(), t["comp"].to_numpy(), t["own"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
         across = t["x"][0].as_py() != t["y"][0].as_py()
-        rank = _neighbours(t["order"][0].as_py(), sig)
+        order = t["cell"][0].as_py() & (ORDERS - 1)
+        rank = _neighbours(order, sig)
+        before = np.array([_places(s, DEEPER) for s in range(order)], int).reshape(-1, DEEPER)
         chosen = np.zeros(len(rank), bool)
         for d in range(1, len(rank)):  # every row with the d-th after it
             if chosen.all():
@@ -213,12 +227,15 @@ def likely_rows(cells: DataFrame, classes: DataFrame) -> DataFrame:
             if across:
                 maybe &= own[i] != own[j]
             i, j = i[maybe], j[maybe]
-            agree = (sig[i] == sig[j]).sum(axis=1) >= AGREE
-            chosen[i[agree]] = chosen[j[agree]] = True
+            same = sig[i] == sig[j]
+            agree = same.sum(axis=1) >= AGREE
+            i, j, same = i[agree], j[agree], same[agree]
+            new = ~same[:, before].all(axis=2).any(axis=1)
+            chosen[i[new]] = chosen[j[new]] = True
         if chosen.any():
             yield from t.select([f.split()[0] for f in _ROW_DDL.split(", ")]).filter(pa.array(chosen)).to_batches()
 
-    return _by_cell(cells.join(classes.select("key", "sig", "n_shingles"), "key"), cell, _ROW_DDL)
+    return _by_cell(cells.join(classes.select("cid", "sig", "n_shingles"), "cid"), cell, _ROW_DDL)
 
 
 def link_sets(sets: list[np.ndarray], comp: np.ndarray, own: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -257,59 +274,65 @@ def link_sets(sets: list[np.ndarray], comp: np.ndarray, own: np.ndarray | None,
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, rows: DataFrame, width: int = 5) -> DataFrame:
-    """(key, shingles) of the classes in ``rows``, from the text of one document each."""
-    wanted = classes.join(rows.select("key").distinct(), "key").select("key", "first_id", "text_hash")
+    """``rows`` with the ``shingles`` of their classes, each set made once, from the text of one document."""
+    wanted = classes.join(rows.select("cid").distinct(), "cid").select("cid", "first_id", "text_hash")
+    cells = rows.groupBy("cid").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "cid"))).alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
-            sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+            sets = [shingle_set(t, width).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("cells"), pa.array(sets, pa.list_(pa.int64()))],
+                                             ["cid", "cells", "shingles"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     same = named["doc_id"].eqNullSafe(wanted["first_id"]) & (named["text_hash"] == wanted["text_hash"])
     # Counted first: a small set of classes goes to the texts, else both meet by a shuffle.
     small = wanted.count() <= BROADCAST_CLASSES
-    texts = named.join(F.broadcast(wanted) if small else wanted, same).select("key", "text")
-    return texts.dropDuplicates(["key"]).mapInArrow(run, "key binary, shingles array<long>")
+    texts = named.join(F.broadcast(wanted) if small else wanted, same).select("cid", "text").dropDuplicates(["cid"])
+    held = texts.join(cells, "cid").select("cid", "cells", "text")
+    ddl = f"cid long, cells {cells.schema['cells'].dataType.simpleString()}, shingles array<long>"
+    return held.mapInArrow(run, ddl).select("cid", "shingles", F.explode("cells").alias("at")).select(
+        *(F.col(c if c == "cid" else f"at.{c}") for c in rows.columns), "shingles")
 
 
-def confirmed(rows: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """(a, b): links between components in every cell, checked on the full sets."""
+def confirmed(rows: DataFrame, percent: int = 85) -> DataFrame:
+    """(a, b): links between components in every cell, checked on the full sets in ``rows``."""
 
     def cell(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, column = t["key"].to_pylist(), t["shingles"].combine_chunks()
+        ids, column = t["cid"].to_numpy(), t["shingles"].combine_chunks()
         flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
         sets_here = [flat[i:j] for i, j in zip(at, at[1:])]
         across = t["x"][0].as_py() != t["y"][0].as_py()
         found = link_sets(sets_here, t["comp"].to_numpy(), t["own"].to_numpy() if across else None, percent)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.binary()),
-                                              pa.array([keys[j] for _, j in found], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[i for i, _ in found]]), pa.array(ids[[j for _, j in found]])],
+                                             ["a", "b"])
 
-    return stored(_by_cell(rows.join(sets, "key"), cell, "a binary, b binary").distinct(), "forest-links")
+    return stored(_by_cell(rows, cell, "a long, b long").distinct(), "forest-links")
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 85, region: int = REGION,
             weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): the sketches of every document, and (key, root, ...) of every class."""
+    """(rows, classes): the sketches of every document, and (cid, key, root, ...) of every class."""
     if percent < LEAST:
         raise ValueError(f"the signatures are made for limits of {LEAST} percent or more")
     rows = stored(sketches(docs, width), "forest-sketches")
+    # A short number instead of the digest travels with every order.
     classes = stored(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("first"),
         F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")).select(
-        "key", "least_id", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "sig",
-        "n_shingles"), "forest-classes")
-    links, rooted = None, classes.withColumn("root", F.col("key"))
-    for orders in (range(FIRST), range(ORDERS)):
-        now = rooted.withColumn("comp", F.xxhash64("root"))
-        likely = stored(likely_rows(regions(now, orders, region, weight), classes), "forest-likely")
+        F.monotonically_increasing_id().alias("cid"), "key", "least_id", F.col("first.doc_id").alias("first_id"),
+        F.col("first.text_hash").alias("text_hash"), "sig", "n_shingles"), "forest-classes")
+    links, rooted = None, classes.withColumn("root", F.col("cid"))
+    for start, end in zip((0, *ROUNDS), ROUNDS):
+        now = rooted.withColumn("comp", F.col("root"))
+        likely = stored(likely_rows(regions(now, range(start, end), region, weight), classes), "forest-likely")
         if likely.isEmpty():
             continue
-        found = confirmed(likely, sets_of(docs, classes, likely, width), percent)
+        found = confirmed(sets_of(docs, classes, likely, width), percent)
         links = found if links is None else links.unionByName(found)
-        roots = stored(components(links), "forest-roots").withColumnRenamed("node", "key")
-        rooted = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        roots = stored(components(links), "forest-roots").withColumnRenamed("node", "cid")
+        rooted = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     return rows, rooted
 
 

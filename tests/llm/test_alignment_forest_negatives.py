@@ -263,6 +263,41 @@ def test_forest_empty_tables_and_registered_query(spark):
         lf.near_duplicates(documents(spark, []), percent=50)
 
 
+def loose(rng, name, n):
+    """Texts of one family at a similarity of some 0.76: candidates, no links."""
+    out = []
+    for k in range(n):
+        x = [f"{name}{i}" for i in range(150)]
+        for at in rng.sample(range(5, 145), 2):
+            x[at] = f"e{name}{k}at{at}"
+        out.append(" ".join(x))
+    return out
+
+
+def test_forest_moves_sets_and_rows_once(spark, monkeypatch):
+    """A refused pair's sets don't go to every cell where it meets, and crowded regions don't deal all rows again."""
+    rng, moved, plans = random.Random(4), [], []
+    sets_of, likely_rows = lf.sets_of, lf.likely_rows
+
+    def counted(docs, classes, rows, *rest):
+        moved.append(rows.count())
+        return sets_of(docs, classes, rows, *rest)
+
+    def planned(cells, classes):
+        plans.append(cells._jdf.queryExecution().optimizedPlan().toString())
+        return likely_rows(cells, classes)
+
+    monkeypatch.setattr(lf, "sets_of", counted)
+    monkeypatch.setattr(lf, "likely_rows", planned)
+    rows = list(enumerate(t for f in range(40) for t in loose(rng, f"f{f}w", 2)))
+    assert sorted(map(tuple, lf.near_duplicates(documents(spark, rows)).collect()), key=str) == plain_components(rows)
+    assert sum(moved) < 3 * len(rows)
+    plans.clear()
+    rows = list(enumerate(loose(rng, "g", 20)))
+    assert sorted(map(tuple, lf.near_duplicates(documents(spark, rows), region=8).collect()), key=str) == plain_components(rows)
+    assert any("explode" in p for p in plans) and not any("MapInArrow" in p for p in plans)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.integers(0, 30), min_size=1, max_size=14), st.integers(0, 3), st.integers(0, 1)), min_size=2,
                 max_size=14), st.booleans())
