@@ -9,15 +9,14 @@ are ignored, so a substitution there does no harm. Every placement of two
 substitutions in 13 tokens leaves at least one placement of one of ``MASKS``
 untouched (tests check all of them), so every contaminated window is hit.
 Every document position is hashed under every mask in one code-generated
-stage; the hashes are joined to those of the benchmark, and each hit is
-verified along its diagonal (equal shift of document and item) over the whole
-overlap of the two.
+stage; the hashes are joined to those of the benchmark, and for each hit the
+windows of 13 tokens around it are compared token by token.
 
 The benchmark's hashes are broadcast while their counted number is at most
 ``BROADCAST_SEEDS``, and then nothing is shuffled before the few verified
 rows. Beyond it, narrow (document, position, hash) rows are shuffled on the
-hash, reduced to distinct (document, item, diagonal) and verified after a join
-with the texts.
+hash, reduced to distinct (document, item, places) and verified after a join
+with the texts, of which each hit takes the tokens in its reach.
 
 An item of fewer than 13 tokens is its own window: a document that holds all of
 its tokens in a row is contaminated by it (exact runs of that length, hashed and
@@ -30,6 +29,8 @@ empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 WINDOW, MATCHES = 13, 11
 #: Lossless for two substitutions in 13 tokens.
 MASKS = ("11010111", "111001011")
+#: Tokens of a window before a seed at most.
+REACH = WINDOW - min(map(len, MASKS))
 #: 16 bytes of key and value each: at most about 100 MB as a hash table.
 BROADCAST_SEEDS = 2_000_000
 
@@ -59,27 +62,28 @@ def seeds(df: DataFrame, words: str, at: str) -> DataFrame:
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """Overlaps of (doc_id, _words, item_id, _item, _shift) that reach MATCHES in a window."""
-    start = F.greatest(F.lit(0), -F.col("_shift"))
-    stop = F.least(F.size("_item"), F.size("_words") - F.col("_shift"))
-    overlap = hits.select("*", start.alias("_from"), (stop - start).alias("_len")).filter(F.col("_len") >= WINDOW)
-    same = F.zip_with(F.slice("_item", F.col("_from") + 1, F.col("_len")),
-                      F.slice("_words", F.col("_from") + F.col("_shift") + 1, F.col("_len")),
-                      lambda x, y: F.when(x == y, 1).otherwise(0))
-    compared = overlap.select("doc_id", "item_id", (F.col("_from") + F.col("_shift")).alias("_at"), "_len",
-                              same.alias("_same"))
-    # A cheap bound first: fewer equal tokens in all than one window needs.
-    likely = compared.filter(F.aggregate("_same", F.lit(0), lambda s, v: s + v) >= MATCHES)
-    counted = likely.select(
-        "doc_id", "item_id", "_at",
-        F.transform(F.sequence(F.lit(0), F.col("_len") - WINDOW),
-                    lambda t: F.aggregate(F.slice("_same", t + 1, F.lit(WINDOW)), F.lit(0),
-                                          lambda s, v: s + v)).alias("_counts"))
-    good = F.filter(F.transform("_counts", lambda c, i: F.when(c >= MATCHES, i)), lambda i: i.isNotNull())
-    return (counted.select("doc_id", "item_id", "_at", F.array_max("_counts").alias("best"), good.alias("_good"))
-            .filter(F.size("_good") > 0)
-            .select("doc_id", "item_id", "best", (F.col("_at") + F.get("_good", F.lit(0))).alias("token_start"),
-                    (F.col("_at") + F.element_at("_good", -1) + WINDOW).alias("token_end")))
+    """(doc_id, _k, _start, _n): the windows around a seed that agree in MATCHES positions.
+
+    ``hits``: doc_id, _words with the seed at _i, _k, _item with the seed at _j; _start counts from ``_off`` tokens before
+    _words. Built-in scalar functions only, so that the rows of a document stream through the code-generated stage:
+    before a lambda they would all be buffered, each with its tokens.
+    """
+    def alike(k: int) -> Column:
+        same = F.get("_words", F.col("_i") - REACH + k) == F.get("_item", F.col("_j") - REACH + k)
+        return F.when(same, 1 << k).otherwise(0)
+
+    inside = F.least(F.size("_words") - F.col("_i"), F.size("_item") - F.col("_j")) + (REACH - WINDOW)
+    compared = hits.select(
+        "doc_id", "_k", (F.col("_off") + F.col("_i") - REACH).alias("_first"),
+        (REACH - F.least(F.col("_i"), F.col("_j"))).alias("_low"), inside.alias("_high"),
+        reduce(Column.bitwiseOR, map(alike, range(WINDOW + REACH))).alias("_same"))
+    # Windows that begin _t tokens after _first and lie inside both texts.
+    counts = F.array(*[F.when((F.col("_low") <= t) & (F.col("_high") >= t),
+                              F.bit_count(F.col("_same").bitwiseAND((1 << WINDOW) - 1 << t)))
+                       for t in range(REACH + 1)])
+    return (compared.select("doc_id", "_k", "_first", F.posexplode(counts).alias("_t", "_n"))
+            .filter(F.col("_n") >= MATCHES)
+            .select("doc_id", "_k", (F.col("_first") + F.col("_t")).alias("_start"), "_n"))
 
 
 def _short_matches(texts: DataFrame, items: DataFrame, broadcast_seeds: int) -> DataFrame | None:
@@ -107,23 +111,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     ``best`` is the largest number of equal tokens in a window; the token range
     spans all qualifying windows in the document.
     """
-    texts = docs.select("doc_id", tokens(F.col("text")).alias("_words"))
+    # Out of a generator the tokens are made once; a projection is repeated in filters.
+    texts = docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("_words"))
     items_of = benchmark.select("item_id", tokens(F.col("text")).alias("_item"))
     items = items_of.filter(F.size("_item") >= WINDOW)
-    keyed = items.select(F.xxhash64("item_id", "_item").alias("_k"), "item_id", "_item").dropDuplicates(["_k"])
-    bench = seeds(keyed.select("_k", "_item"), "_item", "_j").select("_k", "_j", F.col("_seed").alias("_bseed"))
-    small = bench.count() <= broadcast_seeds
-    if small:
+    # Items of the same tokens are compared once.
+    keyed = items.select("_item").distinct().select(F.xxhash64("_item").alias("_k"), "_item")
+    bench = seeds(keyed, "_item", "_j").select("_k", "_j", F.col("_seed").alias("_bseed"))
+    named = items.select(F.xxhash64("_item").alias("_k"), "item_id").distinct()
+    if bench.count() <= broadcast_seeds:
         found = (seeds(texts, "_words", "_i").join(F.broadcast(bench), F.col("_seed") == F.col("_bseed"))
-                 .select("doc_id", "_words", "_k", (F.col("_i") - F.col("_j")).alias("_shift"))
-                 .join(F.broadcast(keyed), "_k"))
+                 .join(F.broadcast(keyed), "_k").withColumn("_off", F.lit(0)))
     else:
         narrow = (seeds(texts, "_words", "_i").select("doc_id", "_i", "_seed")
                   .join(bench, F.col("_seed") == F.col("_bseed"))
-                  .select("doc_id", "_k", (F.col("_i") - F.col("_j")).alias("_shift")).distinct()
-                  .withColumnRenamed("doc_id", "_id"))
-        found = (texts.join(narrow, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").join(keyed, "_k"))
-    every = _verified(found)
+                  .select(F.col("doc_id").alias("_id"), "_k", "_i", "_j").distinct())
+        off = F.greatest(F.col("_i") - REACH, F.lit(0))
+        found = (texts.join(narrow, F.col("doc_id").eqNullSafe(F.col("_id")))
+                 .select("doc_id", "_k", "_j", off.alias("_off"), (F.col("_i") - off).alias("_i"),
+                         F.slice("_words", off + 1, WINDOW + REACH).alias("_words"))
+                 .join(keyed, "_k"))
+    by_text = (_verified(found).groupBy("doc_id", "_k")
+               .agg(F.max("_n").alias("best"), F.min("_start").alias("token_start"),
+                    (F.max("_start") + WINDOW).alias("token_end")))
+    every = (by_text.join(F.broadcast(named) if named.count() <= broadcast_seeds else named, "_k")
+             .select("doc_id", "item_id", "best", "token_start", "token_end"))
     short = _short_matches(texts, items_of.filter(F.size("_item") < WINDOW), broadcast_seeds)
     if short is not None:
         every = every.unionByName(short)

@@ -330,6 +330,24 @@ def test_short_items_match_as_a_whole(spark, bound):
     assert sorted(r.doc_id for r in spaced_seeds.decontaminate(docs, bench).collect()) == [1, 2, 3, 5]
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_a_document_with_the_whole_benchmark_fits_memory(spark, bound):
+    # 24,000 tokens and some 40,000 hits, which are never held each with the document's tokens.
+    items = [words(40, 100 + k) for k in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {tuple(r) for r in spaced_seeds.overlaps(frame(spark, [" ".join(items * 3)]), bench, bound).collect()}
+    assert got == {(0, k, 13, 40 * k, 16_040 + 40 * k) for k in range(200)}
+
+
+def test_items_of_the_same_tokens_are_all_named(spark):
+    item = words(20, 1)
+    bench = spark.createDataFrame([(1, item), (2, item.upper()), (None, item + "."), (1, words(15, 2)), (1, item)],
+                                  "item_id long, text string")
+    got = sorted(map(str, spaced_seeds.overlaps(frame(spark, [item, words(15, 2)]), bench).collect()))
+    assert got == sorted(f"Row(doc_id={d}, item_id={i}, best=13, token_start=0, token_end={n})"
+                         for d, i, n in ((0, 1, 20), (0, 2, 20), (0, None, 20), (1, 1, 15)))
+
+
 # --- op7 ---------------------------------------------------------------------------------------
 
 def test_budgets_fill_siblings_first(spark):
